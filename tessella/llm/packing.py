@@ -85,16 +85,17 @@ def _pieces(vocabulary: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches):
         task, seen = TaskContext.get().partitionId(), Counter()
         encode = tokens.encoder(vocabulary).encode
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in tokens.gathered(batches):
             rows: list[tuple] = []
-            for doc, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"].to_pylist()), strict=True):
-                ids += end
-                n = len(ids) // 4
+            ids, at_ids = encode(batch["text"])
+            ids, at_ids = ids.astype("<u4"), at_ids.tolist()
+            for k, doc in enumerate(batch["doc_id"].to_pylist()):
+                own = np.append(ids[at_ids[k] : at_ids[k + 1]], np.uint32(end_id))
+                n = len(own)
                 at, piece, size = 0, 0, n % capacity or capacity
                 while at < n:
-                    part = ids[4 * at : 4 * (at + size)]
-                    rows.append((task, seen[size], doc, piece, at, size, zlib.crc32(part), part if with_ids else None))
+                    part = own[at : at + size]
+                    rows.append((task, seen[size], doc, piece, at, size, zlib.crc32(part), part.tobytes() if with_ids else None))
                     seen[size] += 1
                     at, piece, size = at + size, piece + 1, capacity
             names = ("task", "rank", "doc_id", "piece", "start", "length", "ids_crc32", "ids")

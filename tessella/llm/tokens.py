@@ -1,23 +1,26 @@
 """Token ids by a public byte-level BPE vocabulary.
 
 The vocabulary splits a text into words before it merges bytes, so the ids of
-a text are those of its words in a row. Texts are cut into words here, by
-plain string work where that is sure to be right, and each distinct word goes to the tokenizers library once; a worker remembers the
-ids of the words it has met.
+a text are those of its words in a row. Texts are cut into words here, a batch
+at a time by Arrow where that is sure to be right, and each distinct word goes
+to the tokenizers library once; a worker remembers the ids of the words it has
+met.
 """
 
 from __future__ import annotations
 
-from array import array
+from itertools import chain, repeat
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words that a worker remembers at most before it starts anew.
 REMEMBERED = 700_000
-#: Characters of text that are cut into words at a time.
-AT_ONCE = 4_000_000
+#: Bytes of text that are encoded at a time.
+AT_ONCE = 8 << 20
+_SIGNS = frozenset(",.\n")
 
-#: Where a cut before every blank, comma, full stop and line end is not one
-#: between words.
-_PAIRS = (",,", ",.", ".,", "..", "\n,", "\n.", "\x01")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -27,17 +30,22 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _plain(piece: str) -> bool:
-    """Whether a cut before and after the piece is one between words."""
-    if piece in (",", ".", "\n"):
-        return True
-    if not piece or piece[-1] > "\uffff" or not piece[-1].isalnum():
-        return False
-    return not piece[1:2].isspace() if piece[0] == " " else not piece[0].isspace()
+class _Grown:
+    """An array that grows."""
+
+    def __init__(self, kind: type) -> None:
+        self.room, self.n = np.zeros(1 << 16, kind), 0
+
+    def extend(self, values) -> None:
+        values = np.asarray(values, self.room.dtype)
+        if self.n + len(values) > len(self.room):
+            self.room = np.concatenate((self.room[: self.n], np.zeros(self.n + len(values), self.room.dtype)))
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
 
 
 class Encoder:
-    """Whole texts to little-endian unsigned 32-bit ids, as bytes."""
+    """Whole texts to ids."""
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
@@ -47,48 +55,87 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, bytes] = {}
-        self.odd: set[str] = set()
-
-    def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 20_000):
-            some = words[i : i + 20_000]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[word] = array("I", got.ids).tobytes()
-
-    def _cut(self, text: str) -> list[str]:
-        """Pieces that are words if all of them are plain, or else the words."""
-        if any(x in text for x in _PAIRS):
-            return self.words(text)
-        text = text.replace(" ", "\x01 ").replace(",", "\x01,").replace(".", "\x01.")
-        return text.replace("\n", "\x01\n\x01").split("\x01")
-
-    def _encode_some(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) + len(self.odd) > REMEMBERED:
-            self.known, self.odd = {}, set()
-        cut = [self._cut(x) for x in texts]
-        new = set().union(*cut).difference(self.known, self.odd)
-        self.odd.update(x for x in new if not _plain(x))
-        self._learn([x for x in new if x not in self.odd])
-        for i, pieces in enumerate(cut):
-            if not self.odd.isdisjoint(pieces):
-                cut[i] = self.words(texts[i])
-                new = set(cut[i]).difference(self.known)
-                self.odd.update(x for x in new if not _plain(x))
-                self._learn(list(new))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        some: list[str] = []
-        size = 0
-        for text in texts:
-            some.append(text or "")
-            size += len(some[-1])
-            if size > AT_ONCE:
-                out += self._encode_some(some)
-                some, size = [], 0
-        return out + self._encode_some(some)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.code: dict[str, int] = {}
+        self.start, self.length, self.ids = _Grown(np.int64), _Grown(np.int64), _Grown(np.uint32)
+        self.odd, self.bare, self.mark = _Grown(bool), _Grown(bool), _Grown(bool)
+
+    def _codes(self, words: list[str]) -> np.ndarray:
+        """The numbers of distinct words; those not met before are learnt."""
+        codes = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(codes < 0)
+        codes[unknown] = len(self.code) + np.arange(len(unknown))
+        new = [words[i] for i in unknown.tolist()]
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, got), np.int64, len(got))
+            self.start.extend(self.ids.n + np.cumsum(lengths) - lengths)
+            self.length.extend(lengths)
+            self.ids.extend(np.fromiter(chain.from_iterable(got), np.uint32))
+            bare = np.array([w in _SIGNS for w in some])
+            # A cut before or after an odd piece may fall inside a word.
+            ends_well = np.array([w[-1:].isalnum() for w in some])
+            blank = np.array([(w[1:2] if w[:1] == " " else w[:1]).isspace() for w in some])
+            self.odd.extend(~bare & (~ends_well | blank))
+            self.bare.extend(bare)
+            self.mark.extend([w[:1] in (",", ".") for w in some])
+            self.code.update(zip(some, range(len(self.code), len(self.code) + len(some)), strict=True))
+        return codes
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and where each text's begin (and the last's end). Nulls are empty."""
+        if len(self.code) > REMEMBERED:
+            self._forget()
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        cut = texts
+        for sign, to in ((" ", "\x01 "), (",", "\x01,"), (".", "\x01."), ("\n", "\x01\n\x01")):
+            cut = pc.replace_substring(cut, sign, to)
+        cut = pc.split_pattern(cut, "\x01")
+        at = cut.offsets.to_numpy().astype(np.int64)
+        pieces = cut.flatten().dictionary_encode()
+        codes = self._codes(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
+
+        awkward = self.odd.room[codes]
+        ends = np.concatenate((at[:-1], at[1:] - 1))  # an empty first or last piece does no harm
+        awkward[ends[self.length.room[codes[ends]] == 0]] = False
+        awkward[:-1] |= self.bare.room[codes[:-1]] & self.mark.room[codes[1:]]
+        count = np.concatenate(([0], np.cumsum(awkward)))
+        bad = count[at[1:]] > count[at[:-1]]
+        bad |= pc.match_substring(texts, "\x01").to_numpy(zero_copy_only=False)
+        if bad.any():
+            each = np.split(codes, at[1:-1])
+            for i in np.flatnonzero(bad):
+                words = self.words(texts[i].as_py())
+                distinct = dict.fromkeys(words)
+                numbers = dict(zip(distinct, self._codes(list(distinct)).tolist(), strict=True))
+                each[i] = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+            codes = np.concatenate(each)
+            at = np.concatenate(([0], np.cumsum([len(x) for x in each])))
+
+        lengths = self.length.room[codes]
+        after = np.cumsum(lengths)
+        shift = self.start.room[codes] - (after - lengths)
+        ids = self.ids.room[np.repeat(shift, lengths) + np.arange(after[-1] if len(after) else 0)]
+        return ids, np.concatenate(([0], after))[at]
+
+
+def gathered(batches, column: str = "text"):
+    """Arrow batches joined until they hold ``AT_ONCE`` bytes of text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch[column].nbytes
+        if size >= AT_ONCE:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def encoder(path: str) -> Encoder:
