@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, sharding, simhash, token_files
+from . import line_dedup, packing, sharding, simhash, token_files, warc
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_token_files": token_files.op3_token_files,
     "op4_simhash": simhash.op4_simhash,
+    "op5_warc": warc.op5_warc,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op5_warc": warc.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
