@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, sharding, simhash, token_files, warc
+from . import embeddings, language_id, line_dedup, packing, sharding, simhash, token_files, warc
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_sharding": sharding.op2_sharding,
     "op3_token_files": token_files.op3_token_files,
     "op4_simhash": simhash.op4_simhash,
     "op5_warc": warc.op5_warc,
+    "op8_embeddings": embeddings.op8_embeddings,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
