@@ -13,12 +13,11 @@ import numpy as np
 
 #: (values, bits) by selector. Selector 0 is the escape.
 LAYOUT = (
-    (1, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6),
+    (1, 0), (60, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6),
     (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60),
 )
 COUNTS = np.array([c for c, _ in LAYOUT])
 BLOCK = 256
-_EDGES = np.array([1 << b for b in range(63)], np.uint64)
 
 
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -28,14 +27,14 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     blocks = -(-n // block)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint32), np.zeros(0, np.uint64)
-    wide = max(COUNTS) + block
-    grid = np.zeros((blocks, wide), np.uint64)
-    grid[:, :block].reshape(-1)[:n] = values if blocks * block == n else 0
-    if blocks * block != n:
-        full = n // block
-        grid[:full, :block] = values[: full * block].reshape(full, block)
+    grid = np.zeros((blocks, block + int(max(COUNTS))), np.uint64)
+    full = n // block
+    grid[:full, :block] = values[: full * block].reshape(full, block)
+    if full < blocks:
         grid[full, : n - full * block] = values[full * block :]
-    bits = np.searchsorted(_EDGES, grid, side="right").astype(np.uint8)
+    # The bits of each value, or one more for values that a double rounds up.
+    # They are the exponent of the double, whose bias is 1022.
+    bits = np.maximum((grid.astype(np.float64).view(np.int64) >> 52) - 1022, 0).astype(np.uint8)
     # The selector at each place: the one of the most values that all fit.
     choice = np.where(bits[:, :block] <= 60, 15, 0).astype(np.uint8)
     most, reach = bits, 1
@@ -50,29 +49,31 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
         choice[fits] = selector
     lengths = np.full(blocks, block)
     lengths[-1] = n - (blocks - 1) * block
-    rows, at = np.arange(blocks), np.zeros(blocks, np.int64)
-    picked_rows, picked_at, picked = [], [], []
+    picked = np.full((blocks, block), 255, np.uint8)
+    places = np.zeros((blocks, block), np.int32)
+    rows, at, step = np.arange(blocks), np.zeros(blocks, np.int64), 0
     while len(rows):
         s = choice[rows, at]
-        picked_rows.append(rows)
-        picked_at.append(at)
-        picked.append(s)
-        at = at + COUNTS[s]
+        picked[rows, step], places[rows, step] = s, at
+        at, step = at + COUNTS[s], step + 1
         live = at < lengths[rows]
         rows, at = rows[live], at[live]
-    row, start, selector = map(np.concatenate, (picked_rows, picked_at, picked))
-    order = np.argsort(row * np.int64(block) + start, kind="stable")
-    row, start, selector = row[order], start[order], selector[order]
+    used = picked != 255
+    per_block = used.sum(axis=1)
+    row, start, selector = np.repeat(np.arange(blocks), per_block), places[used], picked[used]
     words = selector.astype(np.uint64) << np.uint64(60)
+    flat, first = grid.reshape(-1), row * grid.shape[1] + start
     for s in range(1, 16):
         count, width = LAYOUT[s]
         here = np.flatnonzero(selector == s) if width else ()
         if len(here):
+            from_, word = first[here], words[here]
             for k in range(count):
-                words[here] |= grid[row[here], start[here] + k] << np.uint64(k * width)
+                word |= flat[from_ + k] << np.uint64(k * width)
+            words[here] = word
     escaped = np.flatnonzero(selector == 0)
     words[escaped] |= np.arange(len(escaped), dtype=np.uint64)
-    heads = np.searchsorted(row, np.arange(blocks + 1)).astype(np.uint32)
+    heads = np.concatenate(([0], np.cumsum(per_block))).astype(np.uint32)
     return words, heads, grid[row[escaped], start[escaped]]
 
 

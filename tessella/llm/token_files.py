@@ -28,6 +28,8 @@ from . import common, simple8b, tokens
 MAGIC = b"TS8B"
 #: Ids of a segment, unless one document has more.
 SEGMENT_IDS = 1_000_000
+#: With more segments than this, their starts are joined by a shuffle, not a broadcast.
+BROADCAST_SEGMENTS = 100_000
 _HEAD = struct.Struct("<4sIQQQQ")
 SEGMENTS = "part int, segment int, n_docs long, n_ids long, payload binary"
 
@@ -58,28 +60,23 @@ def _segments(vocabulary: str, end_id: int, segment_ids: int):
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
         encode = tokens.encoder(vocabulary).encode
-        end = np.array([end_id], "<u4").tobytes()
-        docs: list[int] = []
-        parts: list[bytes] = []
-        size = 0
-
-        def row():
-            lengths = np.array([len(x) // 4 for x in parts], np.int64)
-            payload = encode_segment(np.array(docs, np.int64), lengths, np.frombuffer(b"".join(parts), "<u4"))
-            return pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "segment": pa.array([number], pa.int32()), "n_docs": [len(docs)], "n_ids": [int(lengths.sum())], "payload": pa.array([payload], pa.binary())}
-            )
-
-        for batch in batches:
-            for key, ids in zip(common.ids64(batch["key"]).tolist(), encode(batch["text"].to_pylist()), strict=True):
-                docs.append(key)
-                parts.append(ids + end)
-                size += len(ids) // 4 + 1
-                if size >= segment_ids:
-                    yield row()
-                    docs, parts, size, number = [], [], 0, number + 1
-        if docs:
-            yield row()
+        for batch in tokens.gathered(batches):
+            keys = common.ids64(batch["key"])
+            ids, at = encode(batch["text"])
+            ends = at[1:] + np.arange(1, len(at))  # with an end id each
+            own = np.full(len(ids) + len(keys), end_id, np.uint32)
+            inside = np.ones(len(own), bool)
+            inside[ends - 1] = False
+            own[inside] = ids
+            begins = np.concatenate(([0], ends[:-1]))
+            i = 0
+            while i < len(keys):
+                j = max(i + 1, int(np.searchsorted(ends, begins[i] + segment_ids, side="right")))
+                some = own[begins[i] : ends[j - 1]]
+                payload = encode_segment(keys[i:j], ends[i:j] - begins[i:j], some)
+                row = (pa.array([part], pa.int32()), pa.array([number], pa.int32()), [j - i], [len(some)], pa.array([payload], pa.binary()))
+                yield pa.RecordBatch.from_pydict(dict(zip(("part", "segment", "n_docs", "n_ids", "payload"), row, strict=True)))
+                i, number = j, number + 1
 
     return run
 
@@ -135,6 +132,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     common.prepare(spark)
     segments = spark.read.schema(SEGMENTS).parquet(path)
     starts = segment_starts(segments.select("part", "segment", "n_ids"))
+    if segments.count() <= BROADCAST_SEGMENTS:
+        starts = F.broadcast(starts)
     rows = segments.select("part", "segment", "payload").join(starts, ["part", "segment"]).select("start", "payload")
     return rows.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
