@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -236,31 +237,32 @@ def label(texts: list[str | None], model: Model, penalty: float = PENALTY, spans
     return out
 
 
-def _predicted(model: Model, penalty: float, spans: bool, text_col: str):
+def _predicted(model: Model, penalty: float, spans: bool, text_col: str, keep: tuple[str, ...]):
     def run(batches):
         for batch in batches:
             got = label(batch[text_col].to_pylist(), model, penalty, spans)
-            columns = {"lang_pred": pa.array([x[0] for x in got]), "score": pa.array([x[1] for x in got], pa.float64())}
+            columns = {"lang_pred": pa.array([x[0] for x in got], pa.string()), "score": pa.array([x[1] for x in got], pa.float64())}
             if spans:
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
                 columns["spans"] = pa.array([[dict(zip(("start", "end", "lang"), s, strict=True)) for s in x[2]] for x in got], kind)
-            rest = [c for c in batch.schema.names if c != text_col]
+            rest = list(keep)
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in rest], *columns.values()], names=[*rest, *columns])
 
     return run
 
 
-def predict(documents: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", penalty: float = PENALTY, spans: bool = True) -> DataFrame:
+def predict(
+    documents: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text",
+    penalty: float = PENALTY, spans: bool = True,
+) -> DataFrame:
     """The columns ``keep``, then lang_pred, score and spans (start, end, lang in characters)."""
-    from pyspark.sql import types as T
-
     common.prepare(documents.sparkSession)
-    rows = documents.select(*keep, text_col)
+    rows = documents.select(*dict.fromkeys((*keep, text_col)))
     schema = T.StructType([rows.schema[c] for c in keep]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
     if spans:
         kind = T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("lang", T.StringType())
         schema = schema.add("spans", T.ArrayType(kind))
-    return rows.mapInArrow(_predicted(model, penalty, spans, text_col), schema)
+    return rows.mapInArrow(_predicted(model, penalty, spans, text_col, keep), schema)
 
 
 def _fold():

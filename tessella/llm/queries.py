@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, language_id, line_dedup, packing, sharding, simhash, suffix_dedup, token_files, warc
+from . import decontamination, embeddings, language_id, line_dedup, packing, sharding, simhash, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_files": token_files.op3_token_files,
     "op4_simhash": simhash.op4_simhash,
     "op5_warc": warc.op5_warc,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_embeddings": embeddings.op8_embeddings,
     "op9_best_fit_packing": packing.op9_best_fit_packing,

@@ -62,7 +62,7 @@ def _fingerprints(words_each: int):
             data, at = common.utf8(batch["text"])
             data = data.tobytes()
             got = [fingerprint(data[a:b], words_each) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(got, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(got, pa.int64())], names=["doc_id", "th", "fp"])
 
     return run
 
@@ -157,13 +157,14 @@ def _shard_keys(fp) -> list:
 def simhash_components(
     documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, radius: int = 3
 ) -> DataFrame:
-    """doc_id, fp (signed long), component_id of every row."""
+    """doc_id, th (hash of the text), fp (signed long), component (a fingerprint), component_id of every row."""
     if not 0 <= radius <= 3:
         raise ValueError("the shards hold all links of at most 3 bits")
     spark = documents.sparkSession
     common.prepare(spark)
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = common.stored(rows.mapInArrow(_fingerprints(words_each), "doc_id long, fp long"), "fingerprints")
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    marked = common.stored(rows.mapInArrow(_fingerprints(words_each), "doc_id long, th long, fp long"), "fingerprints")
     classes = common.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fp-classes")
     shards = classes.select("fp", F.explode(F.array(*_shard_keys(F.col("fp")))).alias("key"))
     shards = shards.repartition("key").sortWithinPartitions("key", "fp")
@@ -171,8 +172,8 @@ def simhash_components(
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     named = named.withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = common.stored(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp-components")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = common.stored(named.select("fp", "root").join(least, "root"), "fp-components")
+    return marked.join(by_fp, "fp").select("doc_id", "th", "fp", F.col("root").alias("component"), "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
