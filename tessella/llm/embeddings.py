@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TREES = 10
+TREES = 8
 #: Classes of a leaf, about.
 LEAF = 400
 #: Width of the band at a cut that goes to both sides, in the projections' standard deviation.
-SPILL = 0.18
+SPILL = 0.15
 #: Classes that the trees are fitted on at most (in expectation).
 SAMPLE = 20_000
 THRESHOLD = 0.95
@@ -111,36 +111,53 @@ def _assigned(forest, dim: int):
     return run
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least name that rows of two padded, sorted tables share, row by row."""
-    shared = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)
-    return np.where(shared.any(axis=2), a, np.iinfo(np.int64).max).min(axis=1)
+def _earlier(leaf: int, leaves: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf number) of all leaves before this one, the leaves numbered from 0."""
+    names = [np.frombuffer(x, np.int64) for x in leaves]
+    row = np.repeat(np.arange(len(names)), [len(x) for x in names])
+    name = np.concatenate(names)
+    row, name = row[name < leaf], name[name < leaf]
+    return row, np.unique(name, return_inverse=True)[1]
+
+
+def _joined(labels: np.ndarray, rows: np.ndarray, columns: np.ndarray, near: np.ndarray) -> None:
+    """Give rows and columns of a tile that are near the least of their labels."""
+    for i in np.flatnonzero(near.any(axis=1)).tolist():
+        met = np.unique(np.append(labels[columns[near[i]]], labels[rows[i]]))
+        if len(met) > 1:
+            labels[np.isin(labels, met[1:])] = met[0]
 
 
 def compare_leaf(leaf: int, reps, copies, unit: np.ndarray, leaves: list[bytes], threshold: float):
-    """(rep, links, root) of each class of the leaf that has a link in it."""
+    """(rep, links, root) of each class of the leaf that has a link in it.
+
+    Tiles of near pairs are handled as matrices: a pair counts here unless the
+    product of the two sides' memberships in earlier leaves says that it has
+    met before.
+    """
     n = len(reps)
-    width = max(len(x) for x in leaves) // 8
-    table = np.full((n, width), -1, np.int64)
-    for i, x in enumerate(leaves):
-        table[i, : len(x) // 8] = np.frombuffer(x, np.int64)
-    union, links, linked = common.LocalUnion(n), np.zeros(n, np.int64), np.zeros(n, bool)
+    labels, links, linked = np.arange(n), np.zeros(n, np.int64), np.zeros(n, bool)
     for i in range(0, n, TILE):
         for j in range(i, n, TILE):
             near = unit[i : i + TILE] @ unit[j : j + TILE].T >= threshold
             if i == j:
                 near = np.triu(near, 1)
-            a, b = np.nonzero(near)
-            a, b = a + i, b + j
-            for k in range(0, len(a), 50_000):
-                x, y = a[k : k + 50_000], b[k : k + 50_000]
-                mine = _first_shared(table[x], table[y]) == leaf
-                np.add.at(links, x[mine], copies[y[mine]])
-                np.add.at(links, y[mine], copies[x[mine]])
-            linked[a] = linked[b] = True
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                union.join(x, y)
-    return [(int(reps[i]), int(links[i]), int(reps[union.find(i)])) for i in np.flatnonzero(linked).tolist()]
+            rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            if not len(rows):
+                continue
+            near = near[np.ix_(rows, columns)]
+            rows, columns = rows + i, columns + j
+            both = np.unique(np.append(rows, columns))
+            row, before = _earlier(leaf, [leaves[x] for x in both.tolist()])
+            member = np.zeros((len(both), int(before.max()) + 1 if len(before) else 1), np.float32)
+            member[row, before] = 1
+            met = member[np.searchsorted(both, rows)] @ member[np.searchsorted(both, columns)].T > 0
+            new = (near & ~met).astype(np.int64)
+            links[rows] += new @ copies[columns]
+            links[columns] += new.T @ copies[rows]
+            linked[rows] = linked[columns] = True
+            _joined(labels, rows, columns, near)
+    return [(int(reps[i]), int(links[i]), int(reps[labels[i]])) for i in np.flatnonzero(linked).tolist()]
 
 
 def _compared(dim: int, threshold: float):
