@@ -9,6 +9,7 @@ met.
 
 from __future__ import annotations
 
+import gc
 from itertools import chain, repeat
 
 import numpy as np
@@ -19,7 +20,8 @@ import pyarrow.compute as pc
 REMEMBERED = 700_000
 #: Bytes of text that are encoded at a time.
 AT_ONCE = 8 << 20
-_SIGNS = frozenset(",.\n")
+_MARKS = (",", ".")
+_BLANK = ("", "\u180e", "\u200b", "\ufeff")
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -59,15 +61,16 @@ class Encoder:
 
     def _forget(self) -> None:
         self.code: dict[str, int] = {}
-        self.start, self.length, self.ids = _Grown(np.int64), _Grown(np.int64), _Grown(np.uint32)
-        self.odd, self.bare, self.mark = _Grown(bool), _Grown(bool), _Grown(bool)
+        self.start, self.length, self.ids = _Grown(np.int32), _Grown(np.int32), _Grown(np.uint32)
+        self.odd, self.sign, self.mark = _Grown(bool), _Grown(bool), _Grown(bool)
 
     def _codes(self, words: list[str]) -> np.ndarray:
         """The numbers of distinct words; those not met before are learnt."""
-        codes = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
+        codes = np.fromiter(map(self.code.get, words, repeat(-1)), np.int32, len(words))
         unknown = np.flatnonzero(codes < 0)
         codes[unknown] = len(self.code) + np.arange(len(unknown))
         new = [words[i] for i in unknown.tolist()]
+        gc.disable()  # the objects of the library make no cycles
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             got = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
@@ -75,14 +78,15 @@ class Encoder:
             self.start.extend(self.ids.n + np.cumsum(lengths) - lengths)
             self.length.extend(lengths)
             self.ids.extend(np.fromiter(chain.from_iterable(got), np.uint32))
-            bare = np.array([w in _SIGNS for w in some])
-            # A cut before or after an odd piece may fall inside a word.
-            ends_well = np.array([w[-1:].isalnum() for w in some])
-            blank = np.array([(w[1:2] if w[:1] == " " else w[:1]).isspace() for w in some])
-            self.odd.extend(~bare & (~ends_well | blank))
-            self.bare.extend(bare)
-            self.mark.extend([w[:1] in (",", ".") for w in some])
+            last = [w[-1:] for w in some]
+            # A cut before or after an odd piece may fall inside a word, and
+            # one behind a sign does if a comma or full stop follows.
+            blank = np.array([(w[1:2] if w[:1] == " " else w[:1]).isspace() or x in _BLANK or x.isspace() for w, x in zip(some, last, strict=True)])
+            self.odd.extend(blank & np.array([w != "\n" for w in some]))
+            self.sign.extend([not x.isalnum() for x in last])
+            self.mark.extend([w[:1] in _MARKS for w in some])
             self.code.update(zip(some, range(len(self.code), len(self.code) + len(some)), strict=True))
+        gc.enable()
         return codes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,12 +102,12 @@ class Encoder:
         cut = pc.split_pattern(cut, "\x01")
         at = cut.offsets.to_numpy().astype(np.int64)
         pieces = cut.flatten().dictionary_encode()
-        codes = self._codes(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
+        codes = self._codes(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())[pieces.indices.to_numpy()]
 
         awkward = self.odd.room[codes]
         ends = np.concatenate((at[:-1], at[1:] - 1))  # an empty first or last piece does no harm
         awkward[ends[self.length.room[codes[ends]] == 0]] = False
-        awkward[:-1] |= self.bare.room[codes[:-1]] & self.mark.room[codes[1:]]
+        awkward[:-1] |= self.sign.room[codes[:-1]] & self.mark.room[codes[1:]]
         count = np.concatenate(([0], np.cumsum(awkward)))
         bad = count[at[1:]] > count[at[:-1]]
         bad |= pc.match_substring(texts, "\x01").to_numpy(zero_copy_only=False)
@@ -113,14 +117,16 @@ class Encoder:
                 words = self.words(texts[i].as_py())
                 distinct = dict.fromkeys(words)
                 numbers = dict(zip(distinct, self._codes(list(distinct)).tolist(), strict=True))
-                each[i] = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+                each[i] = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
             codes = np.concatenate(each)
             at = np.concatenate(([0], np.cumsum([len(x) for x in each])))
 
         lengths = self.length.room[codes]
-        after = np.cumsum(lengths)
-        shift = self.start.room[codes] - (after - lengths)
-        ids = self.ids.room[np.repeat(shift, lengths) + np.arange(after[-1] if len(after) else 0)]
+        after = np.cumsum(lengths, dtype=np.int64)
+        n = int(after[-1]) if len(after) else 0
+        kind = np.int32 if n < 2**31 else np.int64
+        shift = (self.start.room[codes] - (after - lengths)).astype(kind)
+        ids = self.ids.room[np.repeat(shift, lengths) + np.arange(n, dtype=kind)]
         return ids, np.concatenate(([0], after))[at]
 
 
