@@ -100,5 +100,5 @@ def slope(y, x) -> Column:
 
 def pearson(a, b) -> Column:
     """Aggregate: correlation, 0 where a side has no variance."""
-    found = F.corr(as_column(a).cast("double"), as_column(b).cast("double"))
-    return F.coalesce(F.when(F.isnan(found), F.lit(0.0)).otherwise(found), F.lit(0.0))
+    a, b = as_column(a).cast("double"), as_column(b).cast("double")
+    return F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))

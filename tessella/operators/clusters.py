@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.workers import prepare
+
 
 def _leaders(vector: str, score: str, ties: str, threshold: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -42,6 +44,7 @@ def leaders(df: DataFrame, *, group: list[str], vector: str, score: str, ties: s
     runs in one task; groups are the few hundred candidates of one category of
     one song, and there are as many tasks as songs and categories.
     """
+    prepare(df.sparkSession)
     kept = [f for f in df.schema if f.name != vector]
     schema = T.StructType([*kept, T.StructField("leader", T.LongType()), T.StructField("representative", T.BooleanType()), T.StructField("similarity", T.DoubleType())])
     return df.groupBy(*group).applyInPandas(_leaders(vector, score, ties, threshold), schema)

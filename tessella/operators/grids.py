@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.labels import PITCHES
-from tessella.functions.signal import EPS
+from tessella.functions.signal import EPS, pearson
 
 #: Key profiles from C, by mode (Krumhansl).
 PROFILES = {
@@ -77,7 +77,7 @@ def detect_key(fold: DataFrame, *, by: Sequence[str], pitch_class: str, energy:
     rows = rows.withColumn("tonic", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long")))).withColumn("_m", F.explode(modes))
     place = (F.pmod(F.col(pitch_class) - F.col("tonic"), F.lit(12)) + 1).cast("int")
     rows = rows.withColumn("_w", F.element_at(F.col("_m.w"), place))
-    scored = rows.groupBy(*by, "tonic", F.col("_m.mode").alias("mode")).agg(F.corr(energy, "_w").alias("score"))
+    scored = rows.groupBy(*by, "tonic", F.col("_m.mode").alias("mode")).agg(pearson(energy, "_w").alias("score"))
     w = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("tonic"), F.desc("mode"))
     scored = scored.withColumns({"_n": F.row_number().over(w), "_second": F.lead("score").over(w)}).where("_n = 1")
     sure = F.least(F.lit(1.0), F.greatest(F.col("score") - F.col("_second"), F.lit(0.0)) + 0.5 * F.greatest(F.col("score"), F.lit(0.0)))
@@ -90,7 +90,7 @@ def name_chord(fold: DataFrame, *, by: Sequence[str], pitch_class: str, energy:
     rows = fold.withColumn("_t", F.explode(kinds))
     inside = F.when(F.array_contains("_t.tones", F.col(pitch_class).cast("int")), F.col(energy)).otherwise(F.lit(0.0))
     length = F.sqrt(F.sum(F.col(energy) * F.col(energy))) * F.sqrt(F.lit(3.0))
-    scored = rows.groupBy(*by, "_t.root", "_t.q", "_t.chord").agg((F.sum(inside) / length).alias("score"))
+    scored = rows.groupBy(*by, "_t.root", "_t.q", "_t.chord").agg(F.try_divide(F.sum(inside), length).alias("score"))
     w = Window.partitionBy(*by).orderBy(F.desc(F.round("score", 9)), "root", "q")
     return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*by, "chord", "score")
 

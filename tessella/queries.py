@@ -180,10 +180,10 @@ def q13_tempo_folding(spark, sf_dir):
     return half.unionByName(double)
 
 
-@query(f"SELECT event_type, floor(t_s / {DAY_S})::BIGINT AS beat, round(avg(value), 4) AS level, count(*) AS n FROM ({EVENTS}) GROUP BY 1, 2")
+@query(f"SELECT event_type, floor(t_s / {DAY_S})::BIGINT AS beat, round(avg(value), 8) AS level, count(*) AS n FROM ({EVENTS}) GROUP BY 1, 2")
 def q14_beat_mean(spark, sf_dir):
     e = events(spark, sf_dir).groupBy("event_type", F.floor(F.col("t_s") / DAY_S).cast("long").alias("beat"))
-    return e.agg(r(F.avg("value")).alias("level"), F.count("*").alias("n"))
+    return e.agg(r(F.avg("value"), 8).alias("level"), F.count("*").alias("n"))
 
 
 @query(f"""WITH b AS (SELECT event_type, floor(t_s / {DAY_S})::BIGINT AS beat, avg(value) AS x FROM ({EVENTS}) GROUP BY 1, 2),

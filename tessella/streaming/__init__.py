@@ -1,0 +1 @@
+"""Streams of events: windows with late data, and progress of jobs as state."""
