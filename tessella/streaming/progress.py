@@ -14,7 +14,7 @@ from tessella.plans.jobs import STAGES
 
 def levels(events: DataFrame, *, length: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
     """Root mean square of each type in tumbling or sliding windows; data later than ``late`` is left out."""
-    timed = events.withWatermark("ts", late)
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     window = F.window("ts", length, slide) if slide else F.window("ts", length)
     out = timed.groupBy(window.alias("w"), "event_type").agg(F.sqrt(F.avg(F.col("value") * F.col("value")) + 1e-10).alias("rms"), F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "rms", "n")
@@ -22,7 +22,7 @@ def levels(events: DataFrame, *, length: str = "1 hour", slide: str | None = Non
 
 def sounding(events: DataFrame, *, gap: str = "8 hours", late: str = "1 day") -> DataFrame:
     """Each user's runs of events without a gap, as session windows."""
-    timed = events.withWatermark("ts", late)
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     out = timed.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
