@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella import workers
+
 #: Rows of an Arrow batch; documents are long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 1000
 
@@ -22,11 +22,7 @@ NULL_ID = -(2**63)
 
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and keep their batches small."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    workers.prepare(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
