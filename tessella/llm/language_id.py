@@ -11,9 +11,10 @@ The trigram and script counts are learnt by Spark from a bounded sample:
 ``per_language`` texts of each language in expectation, whole texts, chosen by a
 hash of the id. Prediction reads nothing but the text.
 
-Defined results: a null text, or one without a letter, or with letters only of
-scripts that no language was seen with, is ``und`` with score 0; ties go to the
-language that sorts first; repeated rows have a result each; without any
+Defined results: a null text, or one without a letter, is ``und`` with score 0;
+a text with letters only of scripts that no language was seen with gets the
+language of the best trigrams, with score 0; ties go to the language that sorts
+first; repeated rows have a result each; without any
 training text all are ``und``; an empty table gives no rows.
 """
 
@@ -213,14 +214,13 @@ def label(texts: list[str | None], model: Model, penalty: float = PENALTY, spans
         allowed = model.allowed[script]
         known = allowed.any(axis=1)
         scores[~allowed & known[:, None]] = -1e6
-        scores[~known] = 0
         sizes = np.diff(np.append(starts, len(bucket)))
         words = np.searchsorted(places[starts], at)
         path = viterbi(scores, words, penalty)
         text_of = np.repeat(np.arange(j - i), np.diff(words))
-        letters = np.bincount(text_of * k + path, np.where(known, sizes, 0), minlength=(j - i) * k).reshape(-1, k)
+        letters, every = (np.bincount(text_of * k + path, n, minlength=(j - i) * k).reshape(-1, k) for n in (np.where(known, sizes, 0), sizes))
         total = np.bincount(text_of, sizes, minlength=j - i)
-        best = letters.argmax(axis=1)
+        best = np.where(letters.any(axis=1), letters.argmax(axis=1), every.argmax(axis=1))
         for t in range(j - i):
             most = letters[t, best[t]]
             found = None
@@ -233,7 +233,9 @@ def label(texts: list[str | None], model: Model, penalty: float = PENALTY, spans
                         found[-1][1] = first + int(sizes[w])
                     else:
                         found.append([first, first + int(sizes[w]), name])
-            out.append((model.langs[best[t]] if most else "und", float(most / total[t]) if most else 0.0, found))
+            text = texts[i + t] or ""
+            named = any(map(str.isalpha, text))  # marks alone are no letters
+            out.append((model.langs[best[t]] if named else "und", float(most / total[t]) if named and most else 0.0, found))
     return out
 
 

@@ -12,7 +12,9 @@ of a whole corpus isn't needed for that, only of places that may repeat:
 3. The candidates' suffixes are sorted: multikey sorting, eight bytes at a
    time, to a shallow depth; groups that still agree are long common prefixes,
    and a blind trie (Patricia) orders each of them and finds suffixes that
-   agree over the full length. Of those all but the first go.
+   agree over the full length. Of those all but the first go. Contexts of an
+   anchor that very many documents share are dealt out window by window, by a
+   hash of the window, after each task has kept the first of equal ones.
 
 Contexts are compared by four 64-bit hashes folded to one within an anchor of
 another 64 bits; suffixes byte by byte. Each task first drops all but the first
@@ -30,6 +32,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +47,8 @@ HELD = 1_000_000
 #: Suffixes sorted at a time, and the depth of the shallow sort in 8-byte words.
 SUFFIXES_AT_ONCE = 200_000
 SHALLOW = 4
+#: An anchor with more contexts than this is dealt out window by window.
+COMMON_ANCHOR = 20_000
 
 _PLACE = 20  # bits of a place in a buffer of BYTES_AT_ONCE
 
@@ -248,21 +254,71 @@ def _reduce_contexts(length: int):
     return run
 
 
+_CUT = "akey long, key long, th long, s int, e int, bytes binary"
+
+
 def _cut_contexts(length: int):
+    """The bytes of each candidate context; those of very common anchors window by window.
+
+    Windows of a common anchor are dealt out by a hash of their bytes. Of equal
+    ones a task passes on the first only; the others go for certain, and come
+    out as intervals [s, e) without bytes.
+    """
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    names = ("akey", "key", "th", "s", "e", "bytes")
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+
+    def split(hot: list[tuple]):
+        """Single windows of (akey, key, th, s, text), the first of each kind."""
+        texts = [x[4] for x in hot]
+        sizes = np.array([len(t) for t in texts])
+        counts = sizes - length + 1
+        context = np.repeat(np.arange(len(hot)), counts)
+        inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        starts = (np.cumsum(sizes) - sizes)[context] + inside
+        whole = b"".join(texts)
+        later, again = set(), set()  # equal windows at later places, and at the same place in a repeated row
+        for run in equal_suffixes(np.frombuffer(whole, np.uint8), starts, length):
+            place = [(hot[context[i]][1:3], hot[context[i]][3] + inside[i]) for i in run]
+            first = min(place)
+            keep = run[place.index(first)]
+            later |= {i for i, p in zip(run, place, strict=True) if p != first}
+            again |= {i for i, p in zip(run, place, strict=True) if p == first and i != keep}
+        out = []
+        for i, (c, k, at) in enumerate(zip(context.tolist(), inside.tolist(), starts.tolist(), strict=True)):
+            akey, key, th, start, _ = hot[c]
+            if i in later:
+                out.append((key, key, th, start + k, start + k + length, b""))
+            elif i not in again:
+                window = whole[at : at + length]
+                out.append((xxhash.xxh64_intdigest(window, akey & 0xFFFF) - (1 << 63), key, th, start + k, start + k, window))
+        for i in range(0, len(out), 20_000):
+            yield rows_of(out[i : i + 20_000])
+
     def run(batches):
+        hot: list[tuple] = []
+        windows = 0
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("akey", "key", "th", "s", "bytes")}
+            rows: list[tuple] = []
             data, at = common.utf8(batch["text"])
             data = data.tobytes()
             for a, key, th, found in zip(at[:-1].tolist(), batch["key"].to_pylist(), batch["th"].to_pylist(), batch["found"].to_pylist(), strict=True):
                 for c in found:
-                    out["akey"].append(c["akey"])
-                    out["key"].append(key)
-                    out["th"].append(th)
-                    out["s"].append(c["s"])
-                    out["bytes"].append(data[a + c["s"] : a + c["e"] + length])
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+                    text = data[a + c["s"] : a + c["e"] + length]
+                    if c["common"]:
+                        hot.append((c["akey"], key, th, c["s"], text))
+                        windows += len(text) - length + 1
+                    else:
+                        rows.append((c["akey"], key, th, c["s"], c["e"], text))
+            yield rows_of(rows)
+            if windows >= SUFFIXES_AT_ONCE:
+                yield from split(hot)
+                hot, windows = [], 0
+        if hot:
+            yield from split(hot)
 
     return run
 
@@ -362,6 +418,11 @@ def _sort_candidates(length: int):
     def run(batches):
         held, suffixes, last = [], 0, None
         for batch in batches:
+            settled = pc.equal(pc.binary_length(batch["bytes"]), 0)
+            done = batch.filter(settled)
+            if len(done):
+                yield from _found(1, {c: done[c].to_numpy() for c in ("key", "th", "s", "e")})
+            batch = batch.filter(pc.invert(settled))
             akey = batch["akey"].to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(akey)) + 1).tolist(), len(akey)]
             sizes = np.concatenate(([0], np.cumsum(np.diff(common.utf8(batch["bytes"])[1]) - length + 1)))
@@ -404,7 +465,9 @@ def _removed(batches):
         )
 
 
-def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(
+    documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, common_anchor: int = COMMON_ANCHOR
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary) of every row."""
     if not 64 <= length <= 255:
         raise ValueError("strings of 64 to 255 bytes can be looked for")
@@ -422,8 +485,13 @@ def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
         lists = found.groupBy("key", "th").agg(F.collect_list(F.struct(*names)).alias("found"))
         return rows.join(lists, ["key", "th"], how)
 
-    several = with_texts(found.where("kind = 0"), ["akey", "s", "e"], "inner").select("key", "th", "text", "found")
-    cut = several.mapInArrow(_cut_contexts(length), "akey long, key long, th long, s int, bytes binary")
+    open_ = found.where("kind = 0")
+    # At most one in ``common_anchor`` contexts; the limit rises where that would be over 500,000 rows.
+    total = open_.count()
+    common_ = open_.groupBy("akey").count().where(F.col("count") > max(common_anchor, total // 500_000)).select("akey", F.lit(True).alias("common"))
+    open_ = open_.join(F.broadcast(common_), "akey", "left").withColumn("common", F.coalesce("common", F.lit(False)))
+    several = with_texts(open_, ["akey", "s", "e", "common"], "inner").select("key", "th", "text", "found")
+    cut = several.mapInArrow(_cut_contexts(length), _CUT)
     cut = cut.repartition(buckets, "akey").sortWithinPartitions("akey", "key", "th", "s")
     more = common.stored(cut.mapInArrow(_sort_candidates(length), _FOUND), "suffixes")
     gone = found.where("kind = 1").unionByName(more)
