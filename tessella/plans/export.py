@@ -35,3 +35,21 @@ def folder_name(kit_name, bpm, key_short):
     name = F.regexp_replace(labels.export_clean(kit_name), "_", " ")
     bits = F.concat_ws(" ", F.concat(F.bround(bpm, 0).cast("int").cast("string"), F.lit("bpm")), key_short)
     return F.when(bits != "", F.concat(name, F.lit(" - "), bits)).otherwise(name)
+
+
+def pad_maps(plan: DataFrame, width: int = 24) -> DataFrame:
+    """song_id, bank, map: the 4 x 4 pads of each bank as text, top row first, a cell ``width`` wide."""
+    i = F.pmod(F.col("pad") - 1, F.lit(16))
+    name = F.regexp_replace(F.regexp_extract("path", r"([^/]+)\.wav$", 1), r"^(\d+)_", "$1 ")
+    cells = plan.where("pad is not null").select("song_id", "bank", (3 - F.floor(i / 4)).cast("int").alias("row"), F.pmod(i, F.lit(4)).alias("column"), F.rpad(name, width, " ").alias("cell"))
+    rows = cells.groupBy("song_id", "bank", "row").pivot("column", [0, 1, 2, 3]).agg(F.first("cell"))
+    line = F.rtrim(F.concat(*[F.coalesce(F.col(f"`{c}`"), F.rpad(F.lit(""), width, " ")) for c in range(4)]))
+    lines = rows.select("song_id", "bank", F.struct("row", line.alias("line")).alias("l")).groupBy("song_id", "bank")
+    return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("map"))
+
+
+def summary_lines(pads: DataFrame, slices: DataFrame) -> DataFrame:
+    """song_id, pad, line: what is on each pad, how long and how good."""
+    s = slices.select("song_id", F.col("id").alias("slice_id"), "label", (F.col("source_end_s") - F.col("source_start_s")).alias("s"), "score")
+    told = F.format_string("%2d  %-28s %5.2f s  %.2f", "pad", "label", "s", "score")
+    return pads.join(s, ["song_id", "slice_id"], "left").select("song_id", "pad", F.when(F.col("label").isNull(), F.format_string("%2d  (empty)", "pad")).otherwise(told).alias("line"))
