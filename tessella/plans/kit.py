@@ -27,7 +27,7 @@ def choose_pads(found: DataFrame, cfg: dict) -> tuple[DataFrame, DataFrame]:
     kit = cfg["kit"]
     spark = found.sparkSession
     usable = found.where("score > 0")
-    wanted = spark.createDataFrame([(s, n, i) for i, (s, n) in enumerate(kit["pad_split"].items())], "stem string, count int, place int")
+    wanted = spark.createDataFrame(list(kit["pad_split"].items()), "stem string, count int")
     songs = found.select("song_id").distinct()
     split = F.broadcast(wanted)
 
@@ -45,7 +45,8 @@ def choose_pads(found: DataFrame, cfg: dict) -> tuple[DataFrame, DataFrame]:
 
     first = {s: sum(list(kit["pad_split"].values())[:i]) for i, s in enumerate(kit["pad_split"])}
     base = F.create_map(*[F.lit(x) for s, n in first.items() for x in (s, n)])
-    slots = songs.crossJoin(split).where("count > 0").select("song_id", "stem", "place", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count").cast("long"))).alias("slot"))
+    every = F.array(*[F.struct(F.lit(s).alias("stem"), F.lit(i).cast("long").alias("slot")) for s, n in kit["pad_split"].items() for i in range(1, n + 1)])
+    slots = songs.select("song_id", F.explode(every).alias("s")).select("song_id", "s.stem", "s.slot")
     pads = slots.join(picked, ["song_id", "stem", "slot"], "left").withColumn("pad", (base[F.col("stem")] + F.col("slot")).cast("int"))
     empty = pads.where("slice_id is null").select("song_id", "pad")
     left = usable.where("representative").withColumnRenamed("id", "slice_id").join(picked, ["song_id", "slice_id"], "left_anti")

@@ -351,8 +351,8 @@ def q25_long_phrases(spark, sf_dir):
 SELECT user_id, place_s, beats FROM grid WHERE place_s + beats * 21600 <= 2592000 AND EXISTS (SELECT 1 FROM s WHERE s.user_id = grid.user_id AND s.start_s <= grid.place_s AND grid.place_s < s.end_s)""")
 def q26_chops_in_islands(spark, sf_dir):
     s = sounding(spark, sf_dir)
-    grid = spark.range(120).select((F.col("id") * 21600).alias("place_s"))
-    users = s.select("user_id").distinct().crossJoin(F.broadcast(grid))  # 120 places each, however many users
+    places = F.sequence(F.lit(0).cast("long"), F.lit(119 * 21600).cast("long"), F.lit(21600).cast("long"))
+    users = s.select("user_id").distinct().withColumn("place_s", F.explode(places))
     chops = grids.grid_loops(users.withColumn("n", F.lit(2592000)), start="place_s", lengths={1: 21600, 2: 43200}, limit="n", bars="beats")
     inside = intervals.interval_join(chops, s, point="place_s", start="start_s", end="end_s", width=86400, keys=["user_id"], how="left_semi")
     return inside.select("user_id", "place_s", "beats")
