@@ -48,7 +48,7 @@ HELD = 1_000_000
 SUFFIXES_AT_ONCE = 200_000
 SHALLOW = 4
 #: An anchor with more contexts than this is dealt out window by window.
-COMMON_ANCHOR = 20_000
+COMMON_ANCHOR = 2_000
 
 _PLACE = 20  # bits of a place in a buffer of BYTES_AT_ONCE
 
