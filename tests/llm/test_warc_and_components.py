@@ -73,3 +73,9 @@ def test_connected_components(spark):
         up[max(a, b)] = min(a, b)
     got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_components_with_a_hub(spark):
+    edges = [(10_000 + i, 9_999) for i in range(6000)] + [(20_000 + i, 10_000 + i) for i in range(50)] + [(3, 20_007)]
+    got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len(got) == 6000 + 1 + 50 + 1 and set(got.values()) == {3}
