@@ -34,21 +34,25 @@ from . import common
 SEED = 42
 
 
-def fingerprint(text: bytes, words_each: int = 3) -> int:
-    """The fingerprint of UTF-8 bytes, as a signed 64-bit integer."""
+def shingle_hashes(text: bytes, words_each: int) -> np.ndarray:
+    """The XXH64 hash of each shingle of UTF-8 bytes; none without words."""
     words = text.lower().split()  # both know ASCII letters and blanks only, as the rule asks
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     if len(words) <= words_each:
-        hashes = np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        n = len(words) - words_each + 1
-        digest = xxhash.xxh64_intdigest
-        spans = zip(starts[:n].tolist(), ends[words_each - 1 :].tolist(), strict=True)
-        hashes = np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, n)
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = len(words) - words_each + 1
+    digest = xxhash.xxh64_intdigest
+    spans = zip(starts[:n].tolist(), ends[words_each - 1 :].tolist(), strict=True)
+    return np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, n)
+
+
+def fingerprint(text: bytes, words_each: int = 3) -> int:
+    """The fingerprint of UTF-8 bytes, as a signed 64-bit integer."""
+    hashes = shingle_hashes(text, words_each)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         some = hashes[i : i + (1 << 16)]
