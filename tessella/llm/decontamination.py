@@ -19,7 +19,8 @@ Benchmark windows are sent to all tasks in blocks of at most about
 
 Defined results: null and empty texts match nothing, nor do items of fewer
 tokens than ``literals``; items shorter than a window are one window of all
-their tokens; rows equal in id and text are one document, and rows that share
+their tokens, and documents make windows of each such size that the benchmark
+has; rows equal in id and text are one document, and rows that share
 an id have a row for each text; equal items are each found; an empty table
 gives no rows; other columns are left aside.
 """
@@ -131,30 +132,30 @@ def templates(texts: list[str]):
     return joined, text[heads], hashes[heads], holder[heads], starts[heads], ends[tails]
 
 
-def windows(texts: list[str], size: int, literals: int, known: np.ndarray | None = None):
-    """(text number, place in the text, hash, slots) of each window, or of those in ``known``."""
+def windows(texts: list[str], size: int, literals: int, known: dict[int, np.ndarray] | None = None):
+    """(text number, place in the text, tokens, hash, slots) of each window.
+
+    With ``known``, hashes by number of tokens, those of each such number; else
+    windows of ``size``, or of all tokens of a shorter text.
+    """
     joined, text, hashes, holder, starts, ends = templates(texts)
     n = len(text)
     firsts = np.searchsorted(text, np.arange(len(texts) + 1))
-    sizes = np.minimum(np.diff(firsts), size)
-    of = np.full(n, size) if not n else sizes[text]
-    at = np.arange(n)
-    inside = at + of <= firsts[1:][text] if n else np.zeros(0, bool)
-    value, taken = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    left = firsts[1:][text] - np.arange(n) if n else np.zeros(0, np.int64)
+    own = np.minimum(np.diff(firsts), size)[text] if n else left
+    value, taken, rows = np.zeros(n, np.uint64), np.zeros(n, np.int64), []
     for k in range(size):
-        here = np.minimum(at + k, max(n - 1, 0))
-        use = k < of
-        value = np.where(use, value * np.uint64(0xA0761D6478BD642F) + hashes[here], value)
-        taken += use & ~holder[here]
-    value = _mixed(value + of.astype(np.uint64)).view(np.int64)
-    good = inside & (taken >= literals)
-    if known is not None:
-        good &= _among(value, known)
-    rows = []
-    for i in np.flatnonzero(good).tolist():
-        part = range(i, i + int(of[i]))
-        slots = [joined[starts[k] : ends[k]].lower() for k in part if holder[k]]
-        rows.append((int(text[i]), i - int(firsts[text[i]]), int(value[i]), slots))
+        here = np.minimum(np.arange(n) + k, max(n - 1, 0))
+        value = value * np.uint64(0xA0761D6478BD642F) + hashes[here]
+        taken += ~holder[here]
+        if known is not None and k + 1 not in known:
+            continue
+        mixed = _mixed(value + np.uint64(k + 1)).view(np.int64)
+        good = (left > k) & (taken >= literals)
+        good &= own == k + 1 if known is None else _among(mixed, known[k + 1])
+        for i in np.flatnonzero(good).tolist():
+            slots = [joined[starts[x] : ends[x]].lower() for x in range(i, i + k + 1) if holder[x]]
+            rows.append((int(text[i]), i - int(firsts[text[i]]), k + 1, int(mixed[i]), slots))
     return rows
 
 
@@ -169,8 +170,8 @@ def _in_pieces(texts: list[str]):
         i = j
 
 
-def _windows(size: int, literals: int, known: np.ndarray | None):
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+def _windows(size: int, literals: int, known: dict[int, np.ndarray] | None):
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
 
     def run(batches):
         for batch in batches:
@@ -178,14 +179,14 @@ def _windows(size: int, literals: int, known: np.ndarray | None):
             keys, th = batch["id"].to_pylist(), batch["th"].to_pylist()
             rows = []
             for i, j in _in_pieces(texts):
-                rows += [(keys[i + t], th[i + t], p, h, s) for t, p, h, s in windows(texts[i:j], size, literals, known)]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "th", "place", "h", "slots"])
+                rows += [(keys[i + t], th[i + t], *rest) for t, *rest in windows(texts[i:j], size, literals, known)]
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "th", "place", "tokens", "h", "slots"])
 
     return run
 
 
-_ROWS = "id long, th long, place int, h long, slots array<string>"
+_ROWS = "id long, th long, place int, tokens int, h long, slots array<string>"
 
 
 def find_benchmark(
@@ -200,15 +201,18 @@ def find_benchmark(
         return df.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).where("text is not null")
 
     items = common.stored(rows(benchmark, item_col, item_text_col).mapInArrow(_windows(window, literals, None), _ROWS), "item-windows")
-    items = items.select(F.col("id").alias("item_id"), F.col("th").alias("item_th"), F.col("place").alias("item_place"), "h", F.col("slots").alias("item_slots"))
+    items = items.select(F.col("id").alias("item_id"), F.col("th").alias("item_th"), F.col("place").alias("item_place"), "tokens", "h", F.col("slots").alias("item_slots"))
     sizes = items.groupBy("item_id", "item_th").agg(F.countDistinct("item_place").alias("item_windows"))
     blocks = max(1, -(-items.select("h").distinct().count() // BLOCK_WINDOWS))
     found = None
     for b in range(blocks):
         block = items.where(F.pmod("h", F.lit(blocks)) == b).distinct()
-        known = np.sort(np.array([r["h"] for r in block.select("h").distinct().collect()], np.int64))
+        known = {}
+        for r in block.select("tokens", "h").distinct().collect():
+            known.setdefault(r["tokens"], []).append(r["h"])
+        known = {k: np.sort(np.array(v, np.int64)) for k, v in known.items()}
         hits = rows(documents, id_col, text_col).mapInArrow(_windows(window, literals, known), _ROWS)
-        part = hits.join(F.broadcast(block), "h")
+        part = hits.join(F.broadcast(block), ["h", "tokens"])
         found = part if found is None else found.unionByName(part)
     pairs = F.array_distinct(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))
     found = found.select("id", "th", "item_id", "item_th", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), pairs.alias("pairs"))

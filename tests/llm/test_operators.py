@@ -354,3 +354,16 @@ def test_empty_tables(spark, tmp_path):
     items = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
     assert decontamination.find_benchmark(df, items).count() == 0
     assert decontamination.find_benchmark(df, items.where("false")).count() == 0
+
+
+def found_items(spark, texts, items):
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontamination.find_benchmark(spark.createDataFrame(rows(texts), DOCS), benchmark).collect()
+    return {(r.doc_id, r.item_id): r.changed for r in got}
+
+
+def test_short_items_inside_long_documents(spark):
+    filler = "it was a long and quiet road through the woods that nobody had taken for years"
+    items = ["What is the capital of France?", "name the largest ocean", "how far is it to 3 lakes"]
+    texts = [f"{filler}. {items[0]} {filler}", f"{filler}. Please {items[1]} now. {filler}", f"{filler}, {items[2].replace('3', '8')}", filler]
+    assert found_items(spark, texts, items) == {(0, 0): False, (1, 1): False, (2, 2): True}
