@@ -7,12 +7,13 @@ benchmark's on the hash. Windows that match with one shift between document and
 item are one occurrence. Its slots, what the placeholders stand for, must be
 consistent: equal values of the item answer equal values of the document, and
 unequal ones unequal ones. An item is found in a document if the consistent
-occurrences hold ``coverage`` of its windows.
+occurrences hold ``coverage`` of its windows, or one of them ``run`` in a row.
+Windows are those of two templates, and count by the word that they begin with.
 
 A token is a run of letters, marks and digits, in lower case. A number begins
 with a digit. A unit is a word of ``UNITS`` behind a number. A name is a word of
-two letters or more, the first of them the only capital, that doesn't begin a
-sentence. A window needs ``literals`` tokens that aren't placeholders.
+two letters or more, the first of them the only capital; one that begins a
+sentence is a literal in the first template and a name in the second. A window needs ``literals`` tokens that aren't placeholders.
 
 Benchmark windows are sent to all tasks in blocks of at most about
 ``BLOCK_WINDOWS``; a larger benchmark takes more passes over the documents.
@@ -39,6 +40,8 @@ from . import common
 WINDOW = 8
 LITERALS = 4
 COVERAGE = 0.5
+#: Windows in a row that are enough of a long item: 16 tokens, two windows side by side.
+RUN = 9
 BLOCK_WINDOWS = 500_000
 CHARS_AT_ONCE = 1 << 19
 UNITS = (
@@ -98,8 +101,11 @@ def _among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == x
 
 
-def templates(texts: list[str]):
-    """Template tokens of all texts in a row: (text number, hash, is placeholder, first and last character in the texts joined)."""
+def templates(texts: list[str], beginnings: bool = False):
+    """Template tokens of all texts in a row: (text number, hash, is placeholder, first and last character in the texts joined, word).
+
+    With ``beginnings``, a capital word that begins a sentence is a name too.
+    """
     lower, alnum, digit, stop = _tables()
     joined = "\n".join(texts) + "\n"
     raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -109,36 +115,50 @@ def templates(texts: list[str]):
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         z = np.zeros(0, np.int64)
-        return joined, z, z.astype(np.uint64), z.astype(bool), z, z
+        return joined, z, z.astype(np.uint64), z.astype(bool), z, z, z
     low = lower[safe]
     hashes = _token_hashes(low, starts, ends)
     capital = np.concatenate(([0], np.cumsum(low != safe)))
     stops = np.concatenate(([0], np.cumsum(stop[safe])))
+    ends_of_sentences = np.concatenate(([0], np.cumsum(stop[safe] & (safe != 10) & (safe != 13))))
     before = np.concatenate(([0], ends[:-1]))
     begins = stops[starts] > stops[before]
     begins[0] = True
     number = digit[safe[starts]]
-    name = (low[starts] != safe[starts]) & (capital[ends] - capital[starts] == 1) & (ends - starts > 1) & ~begins
+    name = (low[starts] != safe[starts]) & (capital[ends] - capital[starts] == 1) & (ends - starts > 1)
+    if not beginnings:
+        name &= ~begins
     unit = np.zeros(len(starts), bool)
     unit[1:] = number[:-1] & ~number[1:] & _among(hashes[1:], _unit_hashes())
     hashes[number], hashes[name & ~unit], hashes[unit] = _NUMBER, _NAME, _UNIT
     holder = number | name | unit
     text = np.searchsorted(np.cumsum([len(x) + 1 for x in texts]), starts, side="right")
-    # Equal placeholders in a row are one.
+    # Equal placeholders in a row are one. A word that begins a sentence stands alone, as it may
+    # be no name; one that only begins a line goes on with a name before it.
+    hard = ends_of_sentences[starts] > ends_of_sentences[before]
+    alone = begins & name & ~unit
+    alone[1:] &= hard[1:] | (hashes[:-1] != _NAME)
     first = np.ones(len(starts), bool)
-    first[1:] = ~(holder[1:] & (hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1]))
+    first[1:] = ~(holder[1:] & (hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1]) & ~alone[1:] & ~alone[:-1])
     heads = np.flatnonzero(first)
     tails = np.append(heads[1:], len(starts)) - 1
-    return joined, text[heads], hashes[heads], holder[heads], starts[heads], ends[tails]
+    return joined, text[heads], hashes[heads], holder[heads], starts[heads], ends[tails], heads - np.searchsorted(text, np.arange(len(texts)))[text[heads]]
 
 
 def windows(texts: list[str], size: int, literals: int, known: dict[int, np.ndarray] | None = None):
-    """(text number, place in the text, tokens, hash, slots) of each window.
+    """(text number, variant, place in the text, word there, tokens, hash, slots) of each window.
+
+    Both variants of the template are cut, names that begin a sentence as
+    literals (0) and as placeholders (1).
 
     With ``known``, hashes by number of tokens, those of each such number; else
     windows of ``size``, or of all tokens of a shorter text.
     """
-    joined, text, hashes, holder, starts, ends = templates(texts)
+    return [x for variant in (0, 1) for x in _variant_windows(texts, variant, size, literals, known)]
+
+
+def _variant_windows(texts, variant, size, literals, known):
+    joined, text, hashes, holder, starts, ends, words = templates(texts, variant == 1)
     n = len(text)
     firsts = np.searchsorted(text, np.arange(len(texts) + 1))
     left = firsts[1:][text] - np.arange(n) if n else np.zeros(0, np.int64)
@@ -155,7 +175,7 @@ def windows(texts: list[str], size: int, literals: int, known: dict[int, np.ndar
         good &= own == k + 1 if known is None else _among(mixed, known[k + 1])
         for i in np.flatnonzero(good).tolist():
             slots = [joined[starts[x] : ends[x]].lower() for x in range(i, i + k + 1) if holder[x]]
-            rows.append((int(text[i]), i - int(firsts[text[i]]), k + 1, int(mixed[i]), slots))
+            rows.append((int(text[i]), variant, i - int(firsts[text[i]]), int(words[i]), k + 1, int(mixed[i]), slots))
     return rows
 
 
@@ -171,7 +191,7 @@ def _in_pieces(texts: list[str]):
 
 
 def _windows(size: int, literals: int, known: dict[int, np.ndarray] | None):
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
 
     def run(batches):
         for batch in batches:
@@ -181,17 +201,17 @@ def _windows(size: int, literals: int, known: dict[int, np.ndarray] | None):
             for i, j in _in_pieces(texts):
                 rows += [(keys[i + t], th[i + t], *rest) for t, *rest in windows(texts[i:j], size, literals, known)]
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "th", "place", "tokens", "h", "slots"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "th", "variant", "place", "word", "tokens", "h", "slots"])
 
     return run
 
 
-_ROWS = "id long, th long, place int, tokens int, h long, slots array<string>"
+_ROWS = "id long, th long, variant int, place int, word int, tokens int, h long, slots array<string>"
 
 
 def find_benchmark(
     documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE,
+    item_text_col: str = "text", window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE, run: int = RUN,
 ) -> DataFrame:
     """doc_id, th (hash of the text), item_id, matched and item_windows (counts), changed (whether a slot differs)."""
     common.prepare(documents.sparkSession)
@@ -201,8 +221,8 @@ def find_benchmark(
         return df.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).where("text is not null")
 
     items = common.stored(rows(benchmark, item_col, item_text_col).mapInArrow(_windows(window, literals, None), _ROWS), "item-windows")
-    items = items.select(F.col("id").alias("item_id"), F.col("th").alias("item_th"), F.col("place").alias("item_place"), "tokens", "h", F.col("slots").alias("item_slots"))
-    sizes = items.groupBy("item_id", "item_th").agg(F.countDistinct("item_place").alias("item_windows"))
+    items = items.select(F.col("id").alias("item_id"), F.col("th").alias("item_th"), "variant", F.col("place").alias("item_place"), F.col("word").alias("item_word"), "tokens", "h", F.col("slots").alias("item_slots"))
+    sizes = items.groupBy("item_id", "item_th").agg(F.countDistinct("item_word").alias("item_windows"))
     blocks = max(1, -(-items.select("h").distinct().count() // BLOCK_WINDOWS))
     found = None
     for b in range(blocks):
@@ -212,26 +232,40 @@ def find_benchmark(
             known.setdefault(r["tokens"], []).append(r["h"])
         known = {k: np.sort(np.array(v, np.int64)) for k, v in known.items()}
         hits = rows(documents, id_col, text_col).mapInArrow(_windows(window, literals, known), _ROWS)
-        part = hits.join(F.broadcast(block), ["h", "tokens"])
+        part = hits.join(F.broadcast(block), ["h", "tokens", "variant"])
         found = part if found is None else found.unionByName(part)
     pairs = F.array_distinct(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))
-    found = found.select("id", "th", "item_id", "item_th", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), pairs.alias("pairs"))
-    runs = found.groupBy("id", "th", "item_id", "item_th", "shift").agg(
-        F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    where = ["id", "th", "item_id", "item_th", "variant"]
+    found = found.select(*where, "item_place", "item_word", (F.col("place") - F.col("item_place")).alias("shift"), pairs.alias("pairs"))
+    runs = found.groupBy(*where, "shift").agg(
+        F.collect_set(F.struct(F.col("item_place").alias("place"), F.col("item_word").alias("word"))).alias("places"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
 
     def kinds(name: str):
         return F.size(F.array_distinct(F.transform("pairs", lambda x: x[name])))
 
     runs = runs.where((kinds("i") == F.size("pairs")) & (kinds("d") == F.size("pairs")))
+    # The most places in a row: a place that follows another counts on from it.
+    streak = F.aggregate(
+        F.array_sort(F.transform("places", lambda x: x["place"])),
+        F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda s, x: F.struct(
+            x.alias("last"), F.when(x == s["last"] + 1, s["now"] + 1).otherwise(1).alias("now"),
+            F.greatest(s["most"], F.when(x == s["last"] + 1, s["now"] + 1).otherwise(1)).alias("most"),
+        ),
+        lambda s: s["most"],
+    )
+    runs = runs.withColumn("streak", streak)
     told = runs.groupBy("id", "th", "item_id", "item_th").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"),
+        F.size(F.array_distinct(F.flatten(F.collect_list(F.transform("places", lambda x: x["word"]))))).alias("matched"),
+        F.max("streak").alias("streak"),
         F.max(F.exists("pairs", lambda x: x["i"] != x["d"])).alias("changed"),
     )
     told = told.join(sizes, (told["item_id"].eqNullSafe(sizes["item_id"])) & (told["item_th"] == sizes["item_th"])).select(
-        F.col("id").alias("doc_id"), "th", told["item_id"], "matched", "item_windows", "changed"
+        F.col("id").alias("doc_id"), "th", told["item_id"], "matched", "item_windows", "changed", "streak"
     )
-    return told.where(F.col("matched") >= F.lit(coverage) * F.col("item_windows"))
+    return told.where((F.col("matched") >= F.lit(coverage) * F.col("item_windows")) | (F.col("streak") >= run)).drop("streak")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -367,3 +367,16 @@ def test_short_items_inside_long_documents(spark):
     items = ["What is the capital of France?", "name the largest ocean", "how far is it to 3 lakes"]
     texts = [f"{filler}. {items[0]} {filler}", f"{filler}. Please {items[1]} now. {filler}", f"{filler}, {items[2].replace('3', '8')}", filler]
     assert found_items(spark, texts, items) == {(0, 0): False, (1, 1): False, (2, 2): True}
+
+
+def test_names_that_begin_a_sentence(spark):
+    item = "Tom has 5 apples. Tom buys 3 more apples. How many apples does Tom have now?"
+    changed = item.replace("Tom", "Anna").replace("5", "7").replace("3", "4")
+    texts = [f"Look.\n{changed} Well.", f"so {item}", "Tom has gone. How many apples does it take for the others to be now here?"]
+    assert found_items(spark, texts, [item]) == {(0, 0): True, (1, 0): False}
+
+
+def test_verbatim_excerpts_of_long_items(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(55)]
+    texts = ["before it " + " ".join(words[17:37]) + " after it", "before it " + " ".join(words[17:27]) + " after it"]
+    assert found_items(spark, texts, [" ".join(words)]) == {(0, 0): False}
