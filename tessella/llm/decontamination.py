@@ -5,8 +5,9 @@ equal placeholders in a row are one. Windows of ``window`` template tokens are
 hashed, and those of the documents that a benchmark has too are joined with the
 benchmark's on the hash. Windows that match with one shift between document and
 item are one occurrence. Its slots, what the placeholders stand for, must be
-consistent: equal values of the item answer equal values of the document, and
-unequal ones unequal ones. An item is found in a document if the consistent
+consistent by kind: equal values of the item answer equal values of the
+document, and unequal ones unequal ones. Windows with a slot that conflicts
+with what most slots say are dropped. An item is found in a document if the consistent
 occurrences hold ``coverage`` of its windows, or one of them ``run`` in a row.
 Windows are those of two templates, and count by the word that they begin with.
 
@@ -28,6 +29,7 @@ gives no rows; other columns are left aside.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from functools import cache
 
 import numpy as np
@@ -146,7 +148,7 @@ def templates(texts: list[str], beginnings: bool = False):
 
 
 def windows(texts: list[str], size: int, literals: int, known: dict[int, np.ndarray] | None = None):
-    """(text number, variant, place in the text, word there, tokens, hash, slots) of each window.
+    """(text number, variant, place in the text, word there, tokens, hash, slots, their tokens in it) of each window.
 
     Both variants of the template are cut, names that begin a sentence as
     literals (0) and as placeholders (1).
@@ -174,8 +176,9 @@ def _variant_windows(texts, variant, size, literals, known):
         good = (left > k) & (taken >= literals)
         good &= own == k + 1 if known is None else _among(mixed, known[k + 1])
         for i in np.flatnonzero(good).tolist():
-            slots = [joined[starts[x] : ends[x]].lower() for x in range(i, i + k + 1) if holder[x]]
-            rows.append((int(text[i]), variant, i - int(firsts[text[i]]), int(words[i]), k + 1, int(mixed[i]), slots))
+            slots = [f"{hashes[x]}:{' '.join(joined[starts[x] : ends[x]].lower().split())}" for x in range(i, i + k + 1) if holder[x]]
+            inside = [x for x in range(k + 1) if holder[i + x]]
+            rows.append((int(text[i]), variant, i - int(firsts[text[i]]), int(words[i]), k + 1, int(mixed[i]), slots, inside))
     return rows
 
 
@@ -191,7 +194,7 @@ def _in_pieces(texts: list[str]):
 
 
 def _windows(size: int, literals: int, known: dict[int, np.ndarray] | None):
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+    kinds = (*[pa.int64()] * 2, *[pa.int32()] * 4, pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()))
 
     def run(batches):
         for batch in batches:
@@ -201,12 +204,51 @@ def _windows(size: int, literals: int, known: dict[int, np.ndarray] | None):
             for i, j in _in_pieces(texts):
                 rows += [(keys[i + t], th[i + t], *rest) for t, *rest in windows(texts[i:j], size, literals, known)]
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "th", "variant", "place", "word", "tokens", "h", "slots"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "th", "variant", "place", "word", "tokens", "h", "slots", "inside"])
 
     return run
 
 
-_ROWS = "id long, th long, variant int, place int, word int, tokens int, h long, slots array<string>"
+_ROWS = "id long, th long, variant int, place int, word int, tokens int, h long, slots array<string>, inside array<int>"
+
+
+def mapping(places: list[dict]) -> dict[str, str]:
+    """What each slot value of the item answers in the document, one to one, by most of the item's slots.
+
+    Of pairs with as many slots, one that is unchanged comes first, then that of more windows.
+    """
+    at, count = defaultdict(set), Counter()
+    for place in places:
+        for slot in place["slots"]:
+            at[slot["i"], slot["d"]].add(slot["at"])
+        count.update({(x["i"], x["d"]) for x in place["slots"]})
+    there, back = {}, {}
+    for i, d in sorted(at, key=lambda p: (-len(at[p]), p[0] != p[1], -count[p], p)):
+        if i not in there and d not in back:
+            there[i], back[d] = d, i
+    return there
+
+
+def _consistent(batches):
+    """Of each run the words where its windows begin that agree with the mapping, how many are in a row, and whether a slot differs."""
+    for batch in batches:
+        words, streaks, changed = [], [], []
+        for places in batch["places"]:
+            places = places.as_py()
+            there = mapping(places)
+            kept = [p for p in places if all(there.get(x["i"]) == x["d"] for x in p["slots"])]
+            order = sorted({p["place"] for p in kept})
+            now = most = 0
+            for k, place in enumerate(order):
+                now = now + 1 if k and place == order[k - 1] + 1 else 1
+                most = max(most, now)
+            words.append(sorted({p["word"] for p in kept}))
+            streaks.append(most)
+            told = places if 2 * len(kept) >= len(places) else kept
+            changed.append(any(x["i"] != x["d"] for p in told for x in p["slots"]))
+        columns = [pa.array(words, pa.list_(pa.int32())), pa.array(streaks, pa.int32()), pa.array(changed, pa.bool_())]
+        names = ["id", "th", "item_id", "item_th"]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *columns], names=[*names, "words", "streak", "changed"])
 
 
 def find_benchmark(
@@ -221,7 +263,7 @@ def find_benchmark(
         return df.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).where("text is not null")
 
     items = common.stored(rows(benchmark, item_col, item_text_col).mapInArrow(_windows(window, literals, None), _ROWS), "item-windows")
-    items = items.select(F.col("id").alias("item_id"), F.col("th").alias("item_th"), "variant", F.col("place").alias("item_place"), F.col("word").alias("item_word"), "tokens", "h", F.col("slots").alias("item_slots"))
+    items = items.select(F.col("id").alias("item_id"), F.col("th").alias("item_th"), "variant", F.col("place").alias("item_place"), F.col("word").alias("item_word"), "tokens", "h", F.col("slots").alias("item_slots"), "inside")
     sizes = items.groupBy("item_id", "item_th").agg(F.countDistinct("item_word").alias("item_windows"))
     blocks = max(1, -(-items.select("h").distinct().count() // BLOCK_WINDOWS))
     found = None
@@ -231,36 +273,20 @@ def find_benchmark(
         for r in block.select("tokens", "h").distinct().collect():
             known.setdefault(r["tokens"], []).append(r["h"])
         known = {k: np.sort(np.array(v, np.int64)) for k, v in known.items()}
-        hits = rows(documents, id_col, text_col).mapInArrow(_windows(window, literals, known), _ROWS)
+        hits = rows(documents, id_col, text_col).mapInArrow(_windows(window, literals, known), _ROWS).drop("inside")
         part = hits.join(F.broadcast(block), ["h", "tokens", "variant"])
         found = part if found is None else found.unionByName(part)
-    pairs = F.array_distinct(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))
-    where = ["id", "th", "item_id", "item_th", "variant"]
-    found = found.select(*where, "item_place", "item_word", (F.col("place") - F.col("item_place")).alias("shift"), pairs.alias("pairs"))
-    runs = found.groupBy(*where, "shift").agg(
-        F.collect_set(F.struct(F.col("item_place").alias("place"), F.col("item_word").alias("word"))).alias("places"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+    slots = F.arrays_zip(F.transform("inside", lambda x: x + F.col("item_place")).alias("at"), F.col("item_slots").alias("i"), F.col("slots").alias("d"))
+    held = F.struct(F.col("item_place").alias("place"), F.col("item_word").alias("word"), slots.alias("slots"))
+    where = ["id", "th", "item_id", "item_th", "variant", (F.col("place") - F.col("item_place")).alias("shift")]
+    runs = found.groupBy(*where).agg(F.collect_set(held).alias("places"))
+    runs = runs.select("id", "th", "item_id", "item_th", "places").mapInArrow(
+        _consistent, "id long, th long, item_id long, item_th long, words array<int>, streak int, changed boolean"
     )
-
-    def kinds(name: str):
-        return F.size(F.array_distinct(F.transform("pairs", lambda x: x[name])))
-
-    runs = runs.where((kinds("i") == F.size("pairs")) & (kinds("d") == F.size("pairs")))
-    # The most places in a row: a place that follows another counts on from it.
-    streak = F.aggregate(
-        F.array_sort(F.transform("places", lambda x: x["place"])),
-        F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most")),
-        lambda s, x: F.struct(
-            x.alias("last"), F.when(x == s["last"] + 1, s["now"] + 1).otherwise(1).alias("now"),
-            F.greatest(s["most"], F.when(x == s["last"] + 1, s["now"] + 1).otherwise(1)).alias("most"),
-        ),
-        lambda s: s["most"],
-    )
-    runs = runs.withColumn("streak", streak)
     told = runs.groupBy("id", "th", "item_id", "item_th").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list(F.transform("places", lambda x: x["word"]))))).alias("matched"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("matched"),
         F.max("streak").alias("streak"),
-        F.max(F.exists("pairs", lambda x: x["i"] != x["d"])).alias("changed"),
+        F.max("changed").alias("changed"),
     )
     told = told.join(sizes, (told["item_id"].eqNullSafe(sizes["item_id"])) & (told["item_th"] == sizes["item_th"])).select(
         F.col("id").alias("doc_id"), "th", told["item_id"], "matched", "item_windows", "changed", "streak"

@@ -380,3 +380,18 @@ def test_verbatim_excerpts_of_long_items(spark):
     words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(55)]
     texts = ["before it " + " ".join(words[17:37]) + " after it", "before it " + " ".join(words[17:27]) + " after it"]
     assert found_items(spark, texts, [" ".join(words)]) == {(0, 0): False}
+
+
+def test_a_conflicting_slot_drops_its_windows_only(spark):
+    item = "Sam has 3 pens and 3 books. The teacher asks how many things there are in the bag that he brought to school."
+    texts = [item.replace("3 pens", "4 pens").replace("3 books", "7 books"), "so it is"]
+    twice = "we saw that John Smith was here and later we heard again that John Smith would go to the sea"
+    texts += [twice.replace("John Smith", "John\nSmith", 1), twice]
+    assert found_items(spark, texts, [item, item.replace("3 books", "5 books"), twice]) == {(0, 0): True, (0, 1): True, (2, 2): False, (3, 2): False}
+    assert found_items(spark, [item], [item.replace("3 books", "5 books")]) == {(0, 0): True}
+
+
+def test_slots_keep_no_line_feeds():
+    rows = decontamination.windows(["we saw John\n Smith was here and gone to sea"], 8, 4)
+    slots = {x.partition(":")[2] for r in rows for x in r[-2]}
+    assert "john smith" in slots and not any("\n" in x for x in slots)
