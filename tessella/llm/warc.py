@@ -118,7 +118,7 @@ def _with_digest(batches):
 
 def parse_head(piece: bytes) -> tuple[int, int, dict[str, str]] | None:
     """Bytes of the header, of the block, and the fields, of a piece behind the magic."""
-    end = piece.find(b"\r\n\r\n", 0, 65536)
+    end = piece.find(b"\r\n\r\n")
     if end < 0:
         return None
     fields: dict[str, str] = {}

@@ -56,6 +56,13 @@ def test_empty_and_repeated_rows(spark, tmp_path):
     assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(2, "revisit", 4), (4, "response", None), (4, "response", None)]
 
 
+def test_a_long_url_hides_nothing(spark, tmp_path):
+    rows = [page(1, "first"), page(2, "second", "data:text/plain," + "x" * 100_000), page(3, "third"), page(4, "fourth")]
+    warc.write_warc(spark.createDataFrame(rows, PAGES).coalesce(1), str(tmp_path / "u"))
+    got = {r.page_id: (r.url, bytes(r.payload).decode()) for r in warc.read_warc(spark, str(tmp_path / "u")).collect()}
+    assert sorted((k, v[1]) for k, v in got.items()) == [(r[0], r[2]) for r in rows] and got[2][0] == rows[1][1]
+
+
 def test_connected_components(spark):
     import random
 
