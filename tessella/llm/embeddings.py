@@ -10,8 +10,8 @@ that they carry. A leaf returns, for each class, its links' total and one edge
 to the least class it reaches there, never the pairs.
 
 Defined results: a vector that is null, zero, empty, or has null or non-finite
-components, or not the most common number of components, links with nothing; a
-row of an equal id and vector counts as another vector; a null id is never the
+components, links with nothing; vectors of different numbers of components
+aren't compared, each number has a forest of its own; a row of an equal id and vector counts as another vector; a null id is never the
 name of a component unless all are null; an empty table gives no rows; other
 columns are left aside.
 """
@@ -22,6 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ SAMPLE = 20_000
 THRESHOLD = 0.95
 #: Rows compared with rows at a time.
 TILE = 1024
+#: A leaf's number is this times the vectors' components, and more.
+DIM = 1 << 40
 
 
 def fit_forest(sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL, seed: int = 11):
@@ -86,16 +89,22 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _assigned(forest, dim: int):
+def _by_dim(batch: pa.RecordBatch):
+    """(number of components, rows) of a batch."""
+    dims = pc.list_value_length(batch["vector"]).to_numpy()
+    for dim in np.unique(dims).tolist():
+        yield dim, batch.take(pa.array(np.flatnonzero(dims == dim)))
+
+
+def _assigned(forests: dict):
     def run(batches):
-        trees = len(forest[0])
-        for batch in batches:
+        for dim, batch in (x for batch in batches for x in _by_dim(batch)):
             unit = _unit(batch["vector"], dim)
-            per_tree = leaves_of(unit, forest)
+            per_tree = leaves_of(unit, forests[dim])
             n = len(unit)
             # All leaves of a vector, tree by tree, as bytes: what pairs are checked against.
             rows = np.concatenate([r for r, _ in per_tree])
-            names = np.concatenate([t * (1 << 32) + leaf for t, (_, leaf) in enumerate(per_tree)])
+            names = np.concatenate([dim * DIM + t * (1 << 32) + leaf for t, (_, leaf) in enumerate(per_tree)])
             order = np.argsort(rows, kind="stable")
             rows, names = rows[order], names[order]
             starts = np.searchsorted(rows, np.arange(n + 1))
@@ -160,7 +169,7 @@ def compare_leaf(leaf: int, reps, copies, unit: np.ndarray, leaves: list[bytes],
     return [(int(reps[i]), int(links[i]), int(reps[labels[i]])) for i in np.flatnonzero(linked).tolist()]
 
 
-def _compared(dim: int, threshold: float):
+def _compared(threshold: float):
     def run(batches):
         held: list[pa.RecordBatch] = []
 
@@ -169,7 +178,7 @@ def _compared(dim: int, threshold: float):
             reps = table["rep"].to_numpy()
             order = np.argsort(reps)
             table = table.take(pa.array(order))
-            unit = _unit(table["vector"].combine_chunks(), dim)
+            unit = _unit(table["vector"].combine_chunks(), table["leaf"][0].as_py() // DIM)
             return compare_leaf(table["leaf"][0].as_py(), reps[order], table["copies"].to_numpy(), unit, table["leaves"].to_pylist(), threshold)
 
         def out(rows):
@@ -204,26 +213,28 @@ def near_duplicates(
     raw = F.col(vector_col)
     sound = raw.isNotNull() & F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))) & F.exists(raw, lambda x: x != 0)
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), raw.alias("vector"), F.coalesce(sound, F.lit(False)).alias("sound"))
-    sizes = rows.where("sound").groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = sizes["dim"] if sizes else 1
-    fine = rows.where(F.col("sound") & (F.size("vector") == dim))
+    fine = rows.where("sound")
     # One row per distinct vector, named by a hash of 64 bits that the vector, not an id, decides.
     grouped = fine.groupBy("vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"))
     classes = common.stored(grouped.withColumn("rep", F.xxhash64("vector")), "vector-classes")
-    n = classes.count()
-    depth = max(0, math.ceil(math.log2(max(1, n) / leaf_size)))
-    rate = min(1.0, sample / max(1, n))
-    picked = classes.where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(1 << 30)) < int(rate * (1 << 30))).select("vector")
-    fitted = np.array([r["vector"] for r in picked.collect()], np.float64).reshape(-1, dim)
-    norms = np.linalg.norm(fitted, axis=1, keepdims=True)
-    forest = fit_forest(fitted / norms if len(fitted) else np.zeros((1, dim)), depth, trees, spill)
+    forests = {}
+    for dim, n in classes.groupBy(F.size("vector")).count().collect():
+        depth = max(0, math.ceil(math.log2(n / leaf_size)))
+        fitted = np.zeros((1, dim))
+        if depth:
+            rate = min(1.0, sample / n)
+            picked = classes.where((F.size("vector") == dim) & (F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(1 << 30)) < int(rate * (1 << 30))))
+            fitted = np.array([r["vector"] for r in picked.select("vector").collect()], np.float64).reshape(-1, dim)
+            fitted /= np.linalg.norm(fitted, axis=1, keepdims=True)
+        # Without a cut one tree holds all.
+        forests[dim] = fit_forest(fitted, depth, trees if depth else 1, spill)
 
     kind = classes.schema["vector"].dataType.simpleString()
     placed = classes.select("rep", "copies", "vector").mapInArrow(
-        _assigned(forest, dim), f"leaf long, rep long, copies long, vector {kind}, leaves binary"
+        _assigned(forests), f"leaf long, rep long, copies long, vector {kind}, leaves binary"
     )
     placed = placed.repartition("leaf").sortWithinPartitions("leaf", "rep")
-    found = common.stored(placed.mapInArrow(_compared(dim, threshold), "rep long, links long, root long"), "leaf-links")
+    found = common.stored(placed.mapInArrow(_compared(threshold), "rep long, links long, root long"), "leaf-links")
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = common.connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = classes.select("rep", "copies", "first_id").join(totals, "rep", "left")
@@ -233,8 +244,7 @@ def near_duplicates(
         "rep", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     named = common.stored(named, "vector-links")
-    usable = F.col("sound") & (F.size("vector") == dim)
-    keyed = rows.select("vec_id", F.when(usable, F.xxhash64("vector")).alias("rep"))
+    keyed = rows.select("vec_id", F.when(F.col("sound"), F.xxhash64("vector")).alias("rep"))
     out = keyed.where("rep is not null").join(named, "rep").select("vec_id", "n_links", "component_id")
     alone = keyed.where("rep is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.expr("vec_id <=> component_id"))

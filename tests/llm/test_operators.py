@@ -290,6 +290,22 @@ def test_embeddings(spark):
     assert empty.count() == 0
 
 
+def test_embeddings_of_several_sizes(spark):
+    rng = np.random.default_rng(4)
+    most, few = rng.standard_normal((90, 16)), rng.standard_normal((60, 5))
+    near = few[:10] + 0.001 * rng.standard_normal((10, 5))
+    vectors = [v.tolist() for part in (most, few, few[:7], near, most[:3]) for v in part]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df, leaf_size=500).collect()}
+    for i, v in enumerate(vectors):
+        same = [j for j, w in enumerate(vectors) if i != j and len(v) == len(w) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.95]
+        assert got[i].n_links == len(same)
+        assert len(same) == 0 or got[i].component_id <= min(same)
+    assert got[150].component_id == 90 and got[150].n_links >= 2
+    parts = embeddings.near_duplicates(df, leaf_size=20).collect()
+    assert {r.vec_id for r in parts if r.n_links} >= set(range(150, 157))
+
+
 def test_language_id(spark, texts):
     english = "the cat and the dog were in the house with that other thing they thought about "
     german = "der hund und die katze sind nicht in dem haus und das ist auch schön für dich "
