@@ -1,25 +1,29 @@
 """Token ids by a public byte-level BPE vocabulary.
 
 The vocabulary splits a text into words before it merges bytes, so the ids of
-a text are those of its words in a row. Texts are cut into words here, a batch
-at a time by Arrow where that is sure to be right, and each distinct word goes
-to the tokenizers library once; a worker remembers the ids of the words it has
-met.
+a text are those of its words in a row. Texts are cut into words here, about
+``AT_ONCE`` bytes at a time by Arrow where that is sure to be right, and each
+distinct word goes to the tokenizers library once; a worker remembers the ids of
+the words it has met, in about ``REMEMBERED`` bytes. A text that holds one of the
+vocabulary's special strings goes to the library whole.
 """
 
 from __future__ import annotations
 
 import gc
+import re
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker remembers at most before it starts anew.
-REMEMBERED = 700_000
+#: Bytes of remembered words, about, with which a worker starts anew.
+REMEMBERED = 40 << 20
+#: What a remembered word takes besides its own bytes and ids.
+_WORD_BYTES = 180
 #: Bytes of text that are encoded at a time.
-AT_ONCE = 8 << 20
+AT_ONCE = 1 << 20
 _MARKS = (",", ".")
 _BLANK = ("", "\u180e", "\u200b", "\ufeff")
 
@@ -55,12 +59,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special_pattern = "|".join(map(re.escape, special)) or None
         self.words = regex.compile(public_tokenizers.PATTERN).findall
         self._forget()
 
     def _forget(self) -> None:
         self.code: dict[str, int] = {}
+        self.held = 0
         self.start, self.length, self.ids = _Grown(np.int32), _Grown(np.int32), _Grown(np.uint32)
         self.odd, self.sign, self.mark = _Grown(bool), _Grown(bool), _Grown(bool)
 
@@ -85,17 +91,45 @@ class Encoder:
             self.odd.extend(blank & np.array([w != "\n" for w in some]))
             self.sign.extend([not x.isalnum() for x in last])
             self.mark.extend([w[:1] in _MARKS for w in some])
+            self.held += _WORD_BYTES * len(some) + sum(map(len, some)) + 4 * int(lengths.sum())
             self.code.update(zip(some, range(len(self.code), len(self.code) + len(some)), strict=True))
         gc.enable()
         return codes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (and the last's end). Nulls are empty."""
-        if len(self.code) > REMEMBERED:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        special = np.zeros(len(texts), bool)
+        if self.special_pattern:
+            special = pc.match_substring_regex(texts, self.special_pattern).to_numpy(zero_copy_only=False).astype(bool)
+        lengths, parts, i = np.zeros(len(texts), np.int64), [], 0
+        while i < len(texts):
+            j = i
+            if special[i]:
+                parts.append(np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32))
+            elif sizes[i] > AT_ONCE:
+                cuts = _safe_cuts(text := texts[i].as_py())
+                parts += [self._encode(pa.array([text[a:b]]))[0] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                lengths[i] = sum(len(x) for x in parts[len(parts) - len(cuts) + 1 :])
+            else:
+                size = 0
+                while j < len(texts) and not special[j] and size + sizes[j] <= AT_ONCE:
+                    size += sizes[j]
+                    j += 1
+                ids, at = self._encode(texts[i:j].cast(pa.string()))
+                parts.append(ids)
+                lengths[i:j] = np.diff(at)
+            if special[i]:
+                lengths[i] = len(parts[-1])
+            i = max(j, i + 1)
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return ids, np.concatenate(([0], np.cumsum(lengths)))
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` of one text or several small ones, without special strings."""
+        if self.held > REMEMBERED:
             self._forget()
-        texts = pc.fill_null(texts.cast(pa.string()), "")
-        if not len(texts):
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         cut = texts
         for sign, to in ((" ", "\x01 "), (",", "\x01,"), (".", "\x01."), ("\n", "\x01\n\x01")):
             cut = pc.replace_substring(cut, sign, to)
@@ -130,6 +164,18 @@ class Encoder:
         return ids, np.concatenate(([0], after))[at]
 
 
+#: Between these letters and the blank the vocabulary's words part, whatever stands around them.
+_SAFE = re.compile("[A-Za-z](?= [A-Za-z])")
+
+
+def _safe_cuts(text: str) -> list[int]:
+    """Places 0 to len(text) that part words, about ``AT_ONCE`` // 4 characters from each other where there are such places."""
+    cuts, step = [0], AT_ONCE // 4
+    while cuts[-1] + step < len(text) and (found := _SAFE.search(text, cuts[-1] + step)):
+        cuts.append(found.end())
+    return [*cuts, len(text)] if cuts[-1] < len(text) else cuts
+
+
 def gathered(batches, column: str = "text"):
     """Arrow batches joined until they hold ``AT_ONCE`` bytes of text."""
     held: list[pa.RecordBatch] = []

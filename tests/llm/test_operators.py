@@ -39,25 +39,29 @@ def doc_frames(spark, texts):
     return every, spark.createDataFrame(every, DOCS).repartition(5)
 
 
-def test_encoder_agrees_with_the_library(texts):
+def test_encoder_agrees_with_the_library(texts, monkeypatch):
     import pyarrow as pa
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokens.default_vocabulary())
-    library.encode_special_tokens = True
     rng = random.Random(1)
     signs = " ,.\n\n  abéñ1 '\"-_\t\x01́\xa0\x1c\x85s​﻿　"
-    some = [t or "" for t in texts] + ["".join(rng.choices(signs, k=rng.randint(0, 25))) for _ in range(3000)] + ["<|endoftext|>"]
-    ids, at = tokens.encoder(tokens.default_vocabulary()).encode(pa.array(some))
-    for i, want in enumerate(library.encode_batch(some, add_special_tokens=False)):
-        assert ids[at[i] : at[i + 1]].tolist() == want.ids, some[i]
+    some = [t or "" for t in texts] + ["".join(rng.choices(signs, k=rng.randint(0, 25))) for _ in range(3000)] + ["<|endoftext|>", "so <|endoftext|> it, ends<|endoftext|>"]
+    some += [" ".join(filter(None, some)), "no blanks" * 900]
+    wanted = library.encode_batch(some, add_special_tokens=False)
+    encoder = tokens.Encoder(tokens.default_vocabulary())
+    for at_once, remembered in ((tokens.AT_ONCE, tokens.REMEMBERED), (3000, 20_000)):  # long texts in pieces, words forgotten
+        monkeypatch.setattr(tokens, "AT_ONCE", at_once)
+        monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+        ids, at = encoder.encode(pa.array(some))
+        for i, want in enumerate(wanted):
+            assert ids[at[i] : at[i + 1]].tolist() == want.ids, some[i][:200]
 
 
 def ids_of(text):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokens.default_vocabulary())
-    library.encode_special_tokens = True
     return library.encode(text or "", add_special_tokens=False).ids
 
 
