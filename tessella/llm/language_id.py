@@ -15,7 +15,9 @@ Defined results: a null text, or one without a letter, is ``und`` with score 0;
 a text with letters only of scripts that no language was seen with gets the
 language of the best trigrams, with score 0; ties go to the language that sorts
 first; repeated rows have a result each; without any
-training text all are ``und``; an empty table gives no rows.
+training text all are ``und``; an empty table gives no rows. Spans count the
+characters of the text as it is. A text of any length, or without a blank, is
+read in chunks, and only its words' scores are held together.
 """
 
 from __future__ import annotations
@@ -34,11 +36,15 @@ from . import common
 PER_LANGUAGE = 3000
 #: Log-probability that a change of language costs.
 PENALTY = 9.0
+#: Trigram buckets; with more than ``FULL`` languages half as many for each doubling, so a model takes 64 MB at most.
 BUCKETS = 1 << 16
+FULL = 256
+#: A label column with more distinct values than this isn't one of languages, and is refused.
+MOST_LANGUAGES = 1 << 14
 SMOOTHING = 0.2
 #: A language is a candidate for a script that has this share of its letters.
 SCRIPT_SHARE = 0.01
-CHARS_AT_ONCE = 1 << 20
+CHARS_AT_ONCE = 1 << 18
 
 #: First and last code points of scripts; letters elsewhere are script 0.
 SCRIPTS = (
@@ -68,64 +74,72 @@ SCRIPTS = (
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: whether it is a letter or a mark on one, and its script."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: whether it is a letter or a mark on one, its script, and its lower case (one code point always)."""
     top = 0x40000
-    letter, script = np.zeros(top, bool), np.zeros(top, np.uint8)
+    letter, script, lower = np.zeros(top, bool), np.zeros(top, np.uint8), np.arange(top, dtype=np.uint32)
     for c in range(top):
         letter[c] = unicodedata.category(chr(c))[0] in "LM"
+        if letter[c]:
+            lower[c] = ord(chr(c).lower()[0])
     for number, (_, ranges) in enumerate(SCRIPTS, 1):
         for first, last in ranges:
             script[first : last + 1] = number
-    return letter, script
+    return letter, script, lower
 
 
 def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case code points of all texts, a zero after each, and where each begins."""
-    lowered = [x.lower() + "\0" for x in texts]
-    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return codes, np.concatenate(([0], np.cumsum([len(x) for x in lowered])))
-
-
-def _words(codes: np.ndarray):
-    """Letters' places, each letter's trigram bucket, where words begin among the letters, their scripts."""
-    letter, script = _tables()
-    safe = np.minimum(codes, len(letter) - 1)
-    is_letter = letter[safe]
-    places = np.flatnonzero(is_letter)
-    kept = np.where(is_letter, codes, 0).astype(np.uint32)
-    before, after = kept[np.maximum(places - 1, 0)], kept[np.minimum(places + 1, len(kept) - 1)]
-    before[places == 0] = 0
-    mixed = before * np.uint32(0x9E3779B1) + kept[places] * np.uint32(0x85EBCA77) + after * np.uint32(0xC2B2AE3D)
+    """Code points of all texts, a zero after each, and where each begins."""
+    codes = np.frombuffer("".join(x + "\0" for x in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return codes, np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts])))
+
+
+def _words(codes: np.ndarray, a: int, b: int, buckets: int):
+    """Of codes[a:b]: the letters' places, their trigram buckets, which of them begin words, and these words' scripts."""
+    letter, script, lower = _tables()
+    part = np.concatenate((codes[max(a - 1, 0) : a] if a else np.zeros(1, np.uint32), codes[a : b + 1], np.zeros(int(b >= len(codes)), np.uint32)))
+    safe = np.minimum(part, len(letter) - 1)
+    kept = np.where(letter[safe], np.where(part < len(letter), lower[safe], part), 0).astype(np.uint32)
+    at = np.flatnonzero(kept[1:-1]) + 1
+    before, after = kept[at - 1], kept[at + 1]
+    mixed = before * np.uint32(0x9E3779B1) + kept[at] * np.uint32(0x85EBCA77) + after * np.uint32(0xC2B2AE3D)
     mixed ^= mixed >> np.uint32(15)
-    bucket = ((mixed * np.uint32(0x2C1B3C6D)) >> np.uint32(16)).astype(np.int64)
+    bucket = ((mixed * np.uint32(0x2C1B3C6D)) >> np.uint32(16)).astype(np.int64) & (buckets - 1)
     starts = np.flatnonzero(before == 0)
-    return places, bucket, starts, script[safe[places[starts]]] if len(starts) else np.zeros(0, np.uint8)
+    return at - 1 + a, bucket, starts, script[safe[at[starts]]]
 
 
-def _in_pieces(texts: list[str]):
+def _in_pieces(texts: list[str], most: int = 0):
     """Ranges of texts with ``CHARS_AT_ONCE`` characters, or one longer text."""
-    i = 0
+    i, most = 0, most or CHARS_AT_ONCE
     while i < len(texts):
         j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) <= CHARS_AT_ONCE):
+        while j < len(texts) and (j == i or size + len(texts[j]) <= most):
             size += len(texts[j])
             j += 1
         yield i, j
         i = j
 
 
-def _counted(batches):
+def _counted(buckets: int):
     """(lang, kind, bucket, n): kind 0 counts trigrams, kind 1 letters by script."""
-    for batch in batches:
-        langs, texts = batch["lang"].to_pylist(), batch["text"].to_pylist()
-        for lang in sorted(set(langs)):
-            own = [t for t, name in zip(texts, langs, strict=True) if name == lang]
-            for i, j in _in_pieces(own):
-                codes, _ = _code_points(own[i:j])
-                _, bucket, starts, script = _words(codes)
-                sizes = np.diff(np.append(starts, len(bucket)))
-                counts = (np.bincount(bucket, minlength=BUCKETS), np.bincount(script, sizes, minlength=256).astype(np.int64))
+
+    def run(batches):
+        for batch in batches:
+            langs, texts = batch["lang"].to_pylist(), batch["text"].to_pylist()
+            for lang in sorted(set(langs)):
+                own = [t for t, name in zip(texts, langs, strict=True) if name == lang]
+                counts = np.zeros(buckets, np.int64), np.zeros(256, np.int64)
+                for i, j in _in_pieces(own):
+                    codes, _ = _code_points(own[i:j])
+                    last = 0  # the script of the word that a chunk may go on with
+                    for a in range(0, len(codes), CHARS_AT_ONCE):
+                        _, bucket, starts, script = _words(codes, a, a + CHARS_AT_ONCE, buckets)
+                        counts[0][:] += np.bincount(bucket, minlength=buckets)
+                        bounds = np.concatenate(([0], starts, [len(bucket)]))
+                        scripts = np.concatenate(([last], script))
+                        counts[1][:] += np.bincount(scripts, np.diff(bounds), minlength=256).astype(np.int64)
+                        last = scripts[-1]
                 for kind, n in enumerate(counts):
                     used = np.flatnonzero(n)
                     m = len(used)
@@ -134,6 +148,8 @@ def _counted(batches):
                         names=["lang", "kind", "bucket", "n"],
                     )
 
+    return run
+
 
 class Model:
     """Languages, trigram log-probabilities (bucket, language), candidates by script."""
@@ -144,23 +160,30 @@ class Model:
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from (id, text, lang), of ``per_language`` texts of each language in expectation."""
-    common.prepare(labelled.sparkSession)
+    spark = labelled.sparkSession
+    common.prepare(spark)
     labelled = labelled.where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    found = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels aren't languages")
+    sizes = {r["lang"]: r["count"] for r in found}
     langs = sorted(sizes)
+    buckets = BUCKETS
+    while len(langs) * buckets > FULL * BUCKETS:
+        buckets //= 2
     if not langs:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((256, 0), bool))
-    rate = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, per_language / sizes[lang]))])
-    chosen = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30)
-    sample = labelled.where(chosen).select("lang", "text")
-    # At most 65,792 rows for each language.
-    counts = sample.mapInArrow(_counted, "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    grams, scripts = np.zeros((BUCKETS, len(langs))), np.zeros((256, len(langs)))
+        return Model([], np.zeros((buckets, 0), np.float32), np.zeros((256, 0), bool))
+    rates = spark.createDataFrame([(x, min(1.0, per_language / sizes[x])) for x in langs], "lang string, rate double")
+    chosen = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30)) < F.col("rate") * (1 << 30)
+    sample = labelled.join(F.broadcast(rates), "lang").where(chosen).select("lang", "text")
+    # At most ``buckets`` + 256 rows for each language.
+    counts = sample.mapInArrow(_counted(buckets), "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    grams, scripts = np.zeros((buckets, len(langs)), np.float32), np.zeros((256, len(langs)))
     column = counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
     for kind, table in enumerate((grams, scripts)):
         own = counts["kind"].to_numpy() == kind
         table[counts["bucket"].to_numpy()[own], column[own]] = counts["n"].to_numpy()[own]
-    scores = np.log((grams + SMOOTHING) / (grams.sum(axis=0) + SMOOTHING * BUCKETS)).astype(np.float32)
+    scores = np.log((grams + SMOOTHING) / (grams.sum(axis=0, dtype=np.float64) + SMOOTHING * buckets)).astype(np.float32)
     allowed = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1)
     return Model(langs, scores, allowed & (scripts > 0))
 
@@ -177,7 +200,7 @@ def viterbi(emission: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndar
     order = order[lengths[order] > 0]
     starts, sizes = bounds[:-1][order], lengths[order]
     going = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), side="left")
-    came = np.zeros((n, k), np.uint8)
+    came = np.zeros((n, k), np.int16)
     value = np.zeros((len(order), k), np.float32)
     for t, m in enumerate(going.tolist()):
         at = starts[:m] + t
@@ -190,8 +213,8 @@ def viterbi(emission: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndar
             value[:m] = np.maximum(v, switch) + emission[at]
         else:
             value[:m] = emission[at]
-    path = np.zeros(n, np.uint8)
-    now = value.argmax(axis=1).astype(np.uint8)
+    path = np.zeros(n, np.int16)
+    now = value.argmax(axis=1).astype(np.int16)
     for t in range(len(going) - 1, -1, -1):
         m = going[t]
         at = starts[:m] + t
@@ -200,22 +223,40 @@ def viterbi(emission: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndar
     return path
 
 
+def _scored(codes: np.ndarray, model: Model):
+    """Of each word: its place, letters, script, and score by language. Words may be longer than a chunk."""
+    place, size, script, score = [], [], [], []
+    for a in range(0, len(codes), CHARS_AT_ONCE):
+        places, bucket, starts, found = _words(codes, a, a + CHARS_AT_ONCE, len(model.scores))
+        head = int(starts[0]) if len(starts) else len(bucket)
+        if head:  # the rest of a word that a chunk before has begun
+            k = max(i for i, x in enumerate(place) if len(x))
+            size[k][-1] += head
+            score[k][-1] += model.scores[bucket[:head]].sum(axis=0)
+        place.append(places[starts])
+        size.append(np.diff(np.append(starts, len(bucket))))
+        script.append(found)
+        score.append(np.add.reduceat(model.scores[bucket], starts, axis=0) if len(starts) else np.zeros((0, len(model.langs)), np.float32))
+    return (np.concatenate(x) for x in (place, size, script, score))
+
+
 def label(texts: list[str | None], model: Model, penalty: float = PENALTY, spans: bool = False):
     """(language, score, spans) of each text; a span is (start, end, language) in characters."""
     k = len(model.langs)
     out: list[tuple[str, float, list | None]] = []
-    for i, j in _in_pieces([x or "" for x in texts]):
+    for i, j in _in_pieces([x or "" for x in texts], max(1 << 12, CHARS_AT_ONCE * 8 // max(8, k))):
         codes, at = _code_points([x or "" for x in texts[i:j]])
-        places, bucket, starts, script = _words(codes)
-        if not k or not len(starts):
+        if not k:
+            out += [("und", 0.0, [] if spans else None)] * (j - i)
+            continue
+        starts, sizes, script, scores = _scored(codes, model)
+        if not len(starts):
             out += [("und", 0.0, [] if spans else None)] * (j - i)
             continue
-        scores = np.add.reduceat(model.scores[bucket], starts, axis=0)
         allowed = model.allowed[script]
         known = allowed.any(axis=1)
         scores[~allowed & known[:, None]] = -1e6
-        sizes = np.diff(np.append(starts, len(bucket)))
-        words = np.searchsorted(places[starts], at)
+        words = np.searchsorted(starts, at)
         path = viterbi(scores, words, penalty)
         text_of = np.repeat(np.arange(j - i), np.diff(words))
         letters, every = (np.bincount(text_of * k + path, n, minlength=(j - i) * k).reshape(-1, k) for n in (np.where(known, sizes, 0), sizes))
@@ -227,7 +268,7 @@ def label(texts: list[str | None], model: Model, penalty: float = PENALTY, spans
             if spans:
                 found = []
                 for w in range(words[t], words[t + 1]):
-                    first = int(places[starts[w]] - at[t])
+                    first = int(starts[w] - at[t])
                     name = model.langs[path[w]] if known[w] else "und"
                     if found and found[-1][2] == name:
                         found[-1][1] = first + int(sizes[w])
