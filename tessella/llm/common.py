@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -30,13 +31,16 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is absent, as in local tests, one is made here.
+    Where the setting is absent, one is made in local mode only, as in tests,
+    where driver and executors are one process.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names the folder that driver and executors share; set it")
         found = getattr(spark.sparkContext, "_tessella_dir", None)
         if not found:
-            found = tempfile.mkdtemp(prefix="spark-tessella-")
+            found = tempfile.mkdtemp(prefix="spark-tessella-", dir="/tmp")
             spark.sparkContext._tessella_dir = found
     return found.rstrip("/")
 
@@ -93,28 +97,36 @@ def chunks_by_bytes(offsets: np.ndarray, most: int):
         i = j
 
 
+#: A group is handed to all tasks with its facts only if there are no more such groups than this (32 bytes each, about).
+BROADCAST_GROUPS = 500_000
+#: Neighbours beyond which a node's rows are joined with their least by a broadcast, if there are few enough such nodes.
+HUB = 5000
+
+
 def _with_least(pairs: DataFrame, label: str) -> DataFrame:
     """Add to each (u, v) the least v of its u.
 
-    The least values are aggregated on the map side. Nodes with very many
-    neighbours, of which there are at most 50,000 by the choice of the limit,
-    get theirs by a broadcast join, so that no task gathers a hub's rows.
+    The least values are aggregated on the map side. Nodes of over ``HUB``
+    neighbours get theirs by a broadcast join, so that no task gathers a hub's
+    rows; with more than ``BROADCAST_GROUPS`` of them each is a small share of
+    all, and the adaptive skew join deals with what is uneven.
     """
-    pairs = stored(pairs, label)
     least = stored(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")), f"{label}-least")
-    total = least.agg(F.sum("degree")).first()[0] or 0
-    hubs = least.where(F.col("degree") > max(5000, total // 50_000)).select("u", F.col("m").alias("hub_m"))
+    hubs = least.where(F.col("degree") > HUB).select("u", F.col("m").alias("hub_m"))
+    if not 0 < hubs.count() <= BROADCAST_GROUPS:
+        return pairs.join(least.select("u", "m"), "u")
     marked = pairs.join(F.broadcast(hubs), "u", "left")
     near = marked.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m"))
     rest = marked.where("hub_m is null").select("u", "v").join(least.select("u", "m"), "u")
     return near.unionByName(rest)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) of long or string nodes -> (node, root), root the least node reachable.
 
-    Alternates large-star and small-star steps until nothing changes, each
-    written to the shared folder. Nodes without edges are not returned; loops
+    Alternates large-star and small-star steps, each written to the shared
+    folder, until nothing changes, which is after a number of rounds that grows
+    with the square of the logarithm of the nodes at most. Nodes without edges are not returned; loops
     and repeated edges don't matter. Null nodes are dropped.
     """
     e = stored(
@@ -122,7 +134,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         "cc-edges",
     )
     seen = None
-    for k in range(rounds):
+    for k in itertools.count():
         mark = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")).first()
         if mark == seen or not mark["n"]:
             break
@@ -136,7 +148,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
             .distinct()
         )
-        small = _with_least(large, f"cc-small{k}")
+        small = _with_least(stored(large, f"cc-large{k}"), f"cc-small{k}")
         e = stored(
             small.select(F.col("v").alias("hi"), F.col("m").alias("lo"))
             .where("hi <> lo")
@@ -144,28 +156,60 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .distinct(),
             f"cc-edges{k}",
         )
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(roots)
 
 
-class LocalUnion:
-    """Union-find over 0..n-1, for a group that fits a task."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
+def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Union of ``a`` and ``b``, pair by pair, in ``label``: the least place that each place hangs together with."""
+    while True:
+        la, lb = label[a], label[b]
+        apart = la != lb
+        if not apart.any():
+            return
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while not np.array_equal(up := label[label], label):
+            label[:] = up
+
+
+def groups(batches, keys: list[str]):
+    """Tables of the rows of one key each; the batches come sorted by the keys, which are integers."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        values = np.stack([batch[c].to_numpy() for c in keys])
+        bounds = [0, *(np.flatnonzero(np.diff(values, axis=1).any(axis=0)) + 1).tolist(), len(batch)]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if a == b:
+                continue
+            key = tuple(values[:, a].tolist())
+            if held and key != now:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def large_groups(rows: DataFrame, keys: list[str], most: int, label: str) -> tuple[DataFrame, int]:
+    """(keys, n) of the groups of more than ``most`` rows, and how many there are."""
+    found = stored(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most), label)
+    return found, found.count()
+
+
+def in_tiles(rows: DataFrame, keys: list[str], mark, most: int, label: str, large: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """Add ``part``, ``row`` and ``column``, so that a task that compares rows of a key has ``most`` at most, about.
+
+    The rows of a larger group are parted by ``mark``, a hash, and each part
+    meets each other (or itself) in the tile of their two numbers.
+    """
+    large, n = large or large_groups(rows, keys, most, label)
+    if not n:
+        return rows.withColumns({c: F.lit(0) for c in ("part", "row", "column")})
+    large = large.select(*keys, F.ceil(F.col("n") / (most // 2)).cast("int").alias("parts"))
+    tiled = rows.join(F.broadcast(large) if n <= BROADCAST_GROUPS else large, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    tiled = tiled.withColumn("part", F.pmod(mark, F.col("parts")).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return tiled.withColumns({"row": F.least("part", "other"), "column": F.greatest("part", "other")}).drop("parts", "other")
