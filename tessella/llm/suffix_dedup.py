@@ -9,16 +9,19 @@ of a whole corpus isn't needed for that, only of places that may repeat:
    row with one anchor make a context of at most 2 * length - 32 bytes.
 2. Anchors are dealt out by hash. Of equal contexts all but the first go.
    Anchors with one context are done; those with several are candidates.
-3. The candidates' suffixes are sorted: multikey sorting, eight bytes at a
+3. The candidates' suffixes are sorted: multikey quicksort, eight bytes at a
    time, to a shallow depth; groups that still agree are long common prefixes,
    and a blind trie (Patricia) orders each of them and finds suffixes that
    agree over the full length. Of those all but the first go. Contexts of an
-   anchor that very many documents share are dealt out window by window, by a
-   hash of the window, after each task has kept the first of equal ones.
+   anchor with more than ``COMMON_ANCHOR`` of them are dealt out window by
+   window, by a hash of the window, after each task has kept the first of equal
+   ones.
 
-Contexts are compared by four 64-bit hashes folded to one within an anchor of
-another 64 bits; suffixes byte by byte. Each task first drops all but the first
-of the equal contexts that it meets, so that a passage costs a row a task.
+Equal contexts are told by 128 bits of hash, 64 of the anchor and 64 of the
+context; suffixes byte by byte. Each task first drops all but the first of the
+equal contexts that it meets, so that a passage costs a row a task. Buckets of
+anchors hold the contexts of ``BUCKET_BYTES`` of text, and a task passes on the
+contexts of an anchor that fills one as they come.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose
 nothing; matches don't cross documents; rows equal in id and text are one
@@ -49,6 +52,8 @@ SUFFIXES_AT_ONCE = 200_000
 SHALLOW = 4
 #: An anchor with more contexts than this is dealt out window by window.
 COMMON_ANCHOR = 2_000
+#: Bytes of text whose contexts make a bucket.
+BUCKET_BYTES = 16 << 20
 
 _PLACE = 20  # bits of a place in a buffer of BYTES_AT_ONCE
 
@@ -164,12 +169,8 @@ def _map_contexts(length: int, buckets: int):
         x, gone = _keep_first(x)
         bucket = (x["akey"] >> np.uint64(16)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        rows = []
-        for b in range(buckets):
-            if cuts[b] < cuts[b + 1]:
-                own = order[cuts[b] : cuts[b + 1]]
-                rows.append((b, 0, {k: v[own] for k, v in x.items()}))
+        used, starts = np.unique(bucket[order], return_index=True)
+        rows = [(int(b), 0, {k: v[own] for k, v in x.items()}) for b, own in zip(used, np.split(order, starts[1:]), strict=True)]
         gone = _joined_gone(gone, length)
         for i in range(0, len(gone["s"]), 20_000):
             some = {k: v[i : i + 20_000] for k, v in gone.items()}
@@ -212,44 +213,66 @@ def _found(kind: int, x: dict):
         )
 
 
-def _reduce_contexts(length: int):
+def _with_others(akey: np.ndarray) -> np.ndarray:
+    """The places, sorted by anchor, of those whose anchor has others."""
+    order = np.argsort(akey, kind="stable")
+    same = akey[order][1:] == akey[order][:-1]
+    several = np.zeros(len(akey), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    return order[several]
+
+
+def _reduce_contexts(length: int, common_anchor: int, most: int = HELD):
     """Per bucket: kind 1, intervals that go; kind 0, contexts whose anchor has others."""
 
-    def bucket(parts):
-        x = {k: np.concatenate([p[k] for p in parts]) for k in _NAMES}
-        order = np.argsort(x["akey"], kind="stable")
-        a = x["akey"][order]
-        same = a[1:] == a[:-1]
-        several = np.zeros(len(a), bool)
-        several[1:] |= same
-        several[:-1] |= same
-        x = {k: v[order[several]] for k, v in x.items()}
-        x, gone = _keep_first(x)
-        yield from _found(1, _joined_gone(gone, length))
-        order = np.argsort(x["akey"], kind="stable")
-        a = x["akey"][order]
-        same = a[1:] == a[:-1]
-        several = np.zeros(len(a), bool)
-        several[1:] |= same
-        several[:-1] |= same
-        yield from _found(0, {k: v[order[several]] for k, v in x.items()})
+    class Bucket:
+        def __init__(self) -> None:
+            self.parts: list[dict] = []
+            self.held, self.limit, self.full = 0, most, np.zeros(0, np.uint64)
+
+        def add(self, x: dict):
+            self.parts.append(x)
+            self.held += len(x["s"])
+            if self.held >= self.limit:
+                yield from self.settle()
+                self.limit = self.held + most
+
+        def settle(self, last: bool = False):
+            """Of equal contexts all but the first go; anchors that fill the bucket are passed on, in the end all are."""
+            if not self.parts:
+                return
+            x = {k: np.concatenate([p[k] for p in self.parts]) for k in _NAMES}
+            if last:
+                some = np.union1d(_with_others(x["akey"]), np.flatnonzero(np.isin(x["akey"], self.full)))
+                x = {k: v[some] for k, v in x.items()}
+            x, gone = _keep_first(x)
+            yield from _found(1, _joined_gone(gone, length))
+            if last:
+                on = np.zeros(len(x["s"]), bool)
+                on[_with_others(x["akey"])] = True
+            else:
+                names, counts = np.unique(x["akey"], return_counts=True)
+                self.full = np.union1d(self.full, names[counts > common_anchor])
+                on = np.zeros(len(x["s"]), bool)
+            on |= np.isin(x["akey"], self.full)
+            yield from _found(0, {k: v[on] for k, v in x.items()})
+            self.parts = [{k: v[~on] for k, v in x.items()}]
+            self.held = int((~on).sum())
 
     def run(batches):
-        now, parts = None, []
+        now, bucket = None, Bucket()
         for batch in batches:
-            rows = {k: batch[k].to_pylist() for k in ("bucket", "kind", *_NAMES)}
-            for i, b in enumerate(rows["bucket"]):
+            for i, b in enumerate(batch["bucket"].to_pylist()):
                 if b != now:
-                    if parts:
-                        yield from bucket(parts)
-                    now, parts = b, []
-                x = {k: np.frombuffer(rows[k][i], kind) for k, kind in zip(_NAMES, _KINDS, strict=True)}
-                if rows["kind"][i]:
+                    yield from bucket.settle(last=True)
+                    now, bucket = b, Bucket()
+                x = {k: np.frombuffer(batch[k][i].as_buffer(), kind) for k, kind in zip(_NAMES, _KINDS, strict=True)}
+                if batch["kind"][i].as_py():
                     yield from _found(1, {k: x[k] for k in ("key", "th", "s", "e")})
                 else:
-                    parts.append(x)
-        if parts:
-            yield from bucket(parts)
+                    yield from bucket.add(x)
+        yield from bucket.settle(last=True)
 
     return run
 
@@ -345,7 +368,8 @@ class BlindTrie:
         if leaf == text:
             numbers.append(number)
             return
-        depth = next(i for i, (x, y) in enumerate(zip(text, leaf, strict=True)) if x != y)
+        apart = int.from_bytes(text) ^ int.from_bytes(leaf)
+        depth = len(text) - (apart.bit_length() + 7) // 8
         above, node = None, self.root
         while isinstance(node, list) and node[0] < depth:
             above, node = node, node[1][text[node[0]]]
@@ -369,27 +393,52 @@ class BlindTrie:
                 yield node[1]
 
 
+def multikey_sorted(words: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Multikey quicksort of the rows of ``words``: their order, and the ranges in it of rows that agree in all words.
+
+    A segment of rows that agree so far is parted three ways by its pivot's next
+    word; the middle part goes on to the word after. All segments take a step at
+    a time.
+    """
+    n, depth = words.shape
+    order, whole = np.arange(n), []
+    starts, ends, deep = (np.array(x, np.int64) for x in ([0], [n], [0]))
+    while True:
+        done = deep == depth
+        whole += list(zip(starts[done].tolist(), ends[done].tolist(), strict=True))
+        on = ~done & (ends - starts > 1)
+        starts, ends, deep = starts[on], ends[on], deep[on]
+        if not len(starts):
+            return order, [x for x in sorted(whole) if x[1] - x[0] > 1]
+        sizes = ends - starts
+        first = np.cumsum(sizes) - sizes
+        segment = np.repeat(np.arange(len(starts)), sizes)
+        place = np.arange(len(segment)) + (starts - first)[segment]
+        word = words[order[place], deep[segment]]
+        pivot = word[first + sizes // 2][segment]
+        side = 3 * segment + 1 + (word > pivot) - (word < pivot)
+        by = np.argsort(side, kind="stable")
+        order[place] = order[place][by]
+        side = side[by]
+        cuts = np.flatnonzero(np.diff(side)) + 1
+        heads = np.concatenate(([0], cuts))
+        starts, ends = place[heads], place[np.append(cuts, len(side)) - 1] + 1
+        deep = deep[side[heads] // 3] + (side[heads] % 3 == 1)
+
+
 def equal_suffixes(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> list[list[int]]:
     """Groups, of two or more, of ``starts`` whose next ``length`` bytes are equal, in the order of the bytes."""
+    if not len(starts):
+        return []
     data = np.concatenate((data, np.zeros(8 * SHALLOW, np.uint8)))
-    order, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
-    for depth in range(min(SHALLOW, length // 8)):  # multikey: each group is parted by its next word
-        places = starts[order][:, None] + (8 * depth + np.arange(8))
-        word = np.ascontiguousarray(data[places]).view(">u8")[:, 0].astype(np.uint64)
-        by = np.lexsort((word, group))
-        order, group, word = order[by], group[by], word[by]
-        new = np.ones(len(order), bool)
-        new[1:] = (group[1:] != group[:-1]) | (word[1:] != word[:-1])
-        group = np.cumsum(new)
-        alone = new & np.append(new[1:], True)
-        order, group = order[~alone], group[~alone]
-        if not len(order):
-            return []
-    cuts = np.flatnonzero(np.diff(group)) + 1
+    words = np.empty((len(starts), min(SHALLOW, length // 8)), np.uint64)
+    for k in range(words.shape[1]):
+        words[:, k] = np.ascontiguousarray(data[starts[:, None] + (8 * k + np.arange(8))]).view(">u8")[:, 0]
+    order, agree = multikey_sorted(words)
     whole, found = data.tobytes(), []
-    for part in np.split(order, cuts):
+    for a, b in agree:
         trie = BlindTrie()
-        for i in part.tolist():
+        for i in order[a:b].tolist():
             trie.add(whole[starts[i] : starts[i] + length], i)
         found += [run for run in trie.runs() if len(run) > 1]
     return found
@@ -466,8 +515,9 @@ def _removed(batches):
 
 
 def remove_repeats(
-    documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, common_anchor: int = COMMON_ANCHOR
-) -> DataFrame:
+    documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, common_anchor: int = COMMON_ANCHOR,
+    bucket_bytes: int = BUCKET_BYTES,
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary) of every row."""
     if not 64 <= length <= 255:
         raise ValueError("strings of 64 to 255 bytes can be looked for")
@@ -476,20 +526,21 @@ def remove_repeats(
     base = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     twice = not base.groupBy("doc_id").count().where("count > 1").isEmpty()
     rows = base.withColumns({"key": F.coalesce("doc_id", F.lit(common.NULL_ID)), "th": F.xxhash64("text") if twice else F.lit(0).cast("long")})
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(spark.sparkContext.defaultParallelism, -(-size // bucket_bytes))
     dealt = rows.select("key", "th", "text").mapInArrow(_map_contexts(length, buckets), _BLOB)
-    dealt = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = common.stored(dealt.mapInArrow(_reduce_contexts(length), _FOUND), "contexts")
+    dealt = dealt.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    found = common.stored(dealt.mapInArrow(_reduce_contexts(length, common_anchor), _FOUND), "contexts")
 
     def with_texts(found: DataFrame, names: list[str], how: str) -> DataFrame:
         lists = found.groupBy("key", "th").agg(F.collect_list(F.struct(*names)).alias("found"))
         return rows.join(lists, ["key", "th"], how)
 
     open_ = found.where("kind = 0")
-    # At most one in ``common_anchor`` contexts; the limit rises where that would be over 500,000 rows.
-    total = open_.count()
-    common_ = open_.groupBy("akey").count().where(F.col("count") > max(common_anchor, total // 500_000)).select("akey", F.lit(True).alias("common"))
-    open_ = open_.join(F.broadcast(common_), "akey", "left").withColumn("common", F.coalesce("common", F.lit(False)))
+    common_, n = common.large_groups(open_, ["akey"], common_anchor, "common-anchors")
+    common_ = common_.select("akey", F.lit(True).alias("common"))
+    common_ = F.broadcast(common_) if n <= common.BROADCAST_GROUPS else common_
+    open_ = open_.join(common_, "akey", "left").withColumn("common", F.coalesce("common", F.lit(False)))
     several = with_texts(open_, ["akey", "s", "e", "common"], "inner").select("key", "th", "text", "found")
     cut = several.mapInArrow(_cut_contexts(length), _CUT)
     cut = cut.repartition(buckets, "akey").sortWithinPartitions("akey", "key", "th", "s")
