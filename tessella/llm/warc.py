@@ -3,7 +3,8 @@
 Writing: a page's record is a response, or a revisit where another page with a
 larger id has an equal payload of at least ``revisit_from`` bytes. Records end
 with two line ends, and Spark's text writer, with a line feed as separator,
-puts them down byte for byte, so the files are plain WARC (gzipped by default).
+puts them down byte for byte, so the files are plain WARC. They aren't
+compressed, so that a large archive is read by many tasks.
 
 Reading: the text reader cuts the files at the record magic, wherever it
 stands, and streams the pieces. A first pass notes for each piece its place and
@@ -18,8 +19,9 @@ Defined results: a null payload is empty; pages that share an id and a payload
 are responses alike; a null id ranks below all others, and if no other page has
 its payload it is a response; a null URL is left out; blanks and controls in a
 URL are percent-encoded; an empty table gives an archive without records; other
-columns are left aside. Bytes that no chain reaches are refused, so a damaged
-record hides what follows it in its file.
+columns are left aside. Bytes that no chain reaches are refused. A damaged record
+hides what follows it in its file, so a file whose chain doesn't reach its end is
+an error, unless the reader asks for what can be verified (``strict=False``).
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: With more splits than this, their entries are joined by a shuffle, not a broadcast.
 BROADCAST_SPLITS = 100_000
+#: With more revisits than this (some 100 bytes each), pages meet them by a shuffle, not a broadcast.
+BROADCAST_REVISITS = 500_000
 
 
 def digest32(payload: bytes) -> str:
@@ -85,7 +89,7 @@ def _records(batches):
 
 def write_warc(
     pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-    revisit_from: int = 0, compression: str = "gzip",
+    revisit_from: int = 0, compression: str = "none",
 ) -> None:
     """Write one record per row of ``pages`` to WARC files under ``path``."""
     common.prepare(pages.sparkSession)
@@ -98,11 +102,12 @@ def write_warc(
     groups = hashed.where(F.col("size") >= revisit_from).groupBy("digest", "size")
     shared = groups.agg(F.max("page_id").alias("last_id"), F.count("*").alias("n")).where("n > 1 and last_id is not null")
     later = hashed.join(shared, ["digest", "size"]).where("page_id is null or page_id < last_id")
-    later = later.select("page_id", "digest", F.col("last_id").alias("refers_to")).distinct()
+    later = common.stored(later.select("page_id", "digest", F.col("last_id").alias("refers_to")).distinct(), "revisits")
+    few = later.count() <= BROADCAST_REVISITS
     # A digest binds a payload, so rows find their revisit by id and digest.
     named = rows.mapInArrow(_with_digest, "page_id long, url string, html string, digest string")
     marked = named.alias("p").join(
-        later.alias("r"), F.expr("p.page_id <=> r.page_id and p.digest = r.digest"), "left"
+        (F.broadcast(later) if few else later).alias("r"), F.expr("p.page_id <=> r.page_id and p.digest = r.digest"), "left"
     ).select("p.*", "refers_to", F.expr("r.digest is not null").alias("revisit"))
     out = marked.mapInArrow(_records, "record binary").select(F.col("record").cast("string"))
     out.write.option("lineSep", "\n").option("compression", compression).text(path)
@@ -176,7 +181,8 @@ def _chains(batches):
 
 
 def split_entries(links: DataFrame) -> DataFrame:
-    """(file, block, base, entry): where the split begins, and the first record that the file's chain has in it.
+    """(file, block, base, entry, whole): where the split begins, the first record that the file's chain has in it,
+    and whether the chain reaches the file's end.
 
     ``links`` is what ``_chains`` gives. Offsets here are those of the pieces in
     the whole file. Pointer jumping: each round doubles the hops of a link and
@@ -206,9 +212,10 @@ def split_entries(links: DataFrame) -> DataFrame:
             jump = jump.join(onward, ["file", "to"], "left")
             jump = common.stored(jump.select("file", "at", F.coalesce("next", "to").alias("to")), "warc-jump")
     inside = bases.join(reached, "file").where("at >= base and at < base + size")
-    return bases.join(inside.groupBy("file", "block").agg(F.min("at").alias("entry")), ["file", "block"], "left").select(
-        "file", "block", "base", "entry"
-    )
+    inside = inside.groupBy("file", "block").agg(F.min("at").alias("entry"))
+    totals = bases.groupBy("file").agg(F.sum("size").alias("total"))
+    whole = totals.join(reached.groupBy("file").agg(F.max("at").alias("last")), "file").select("file", (F.col("last") >= F.col("total")).alias("whole"))
+    return bases.join(inside, ["file", "block"], "left").join(whole, "file").select("file", "block", "base", "entry", "whole")
 
 
 def _page(urn: str | None) -> int | None:
@@ -295,11 +302,13 @@ def _joined(batches):
         yield _record_rows([_fields(x) for x in bodies])
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, *, strict: bool = True) -> DataFrame:
     """page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload of every verified record.
 
     A response's payload is checked against its digest. A revisit has no
-    payload; its digest and length are those that its header declares.
+    payload; its digest and length are those that its header declares. With
+    ``strict`` a file whose chain breaks off is an error; without, it gives the
+    records before the break.
     """
     common.prepare(spark)
     raw = spark.read.option("lineSep", MAGIC.decode()).text(path).select(
@@ -308,6 +317,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     )
     links = raw.mapInArrow(_chains, "file string, block long, at long, leave long")
     entries = common.stored(split_entries(links), "warc-entries")
+    broken = [r["file"] for r in entries.where("not whole").select("file").distinct().limit(20).collect()] if strict else []
+    if broken:
+        raise ValueError(f"the chain of records breaks off before the end of {', '.join(broken)}")
 
     def pieces(entries: DataFrame) -> DataFrame:
         if entries.count() <= BROADCAST_SPLITS:

@@ -22,7 +22,7 @@ def test_round_trip_with_magic_in_payloads(spark, tmp_path):
     fake = (warc.MAGIC + b"WARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n").decode()
     texts = ["<p>é</p>", fake, "x" + fake * 3 + "tail", "", None, fake, "a\r\nb\n\nc\n", "z" * 300_000, fake[:9]]
     rows = [page(i, t) for i, t in enumerate(texts)] + [page(None, "only"), page(None, texts[0])]
-    got = back(spark, rows, str(tmp_path / "w"))
+    got = back(spark, rows, str(tmp_path / "w"), compression="gzip")
     found = sorted(((r.page_id if r.page_id is not None else -1, r.record_type, r.refers_to, r.payload_bytes, bytes(r.payload) if r.payload is not None else None) for r in got.collect()), key=str)
     want = []
     ids = [(-1 if r[0] is None else r[0], (r[2] or "").encode()) for r in rows]
@@ -50,6 +50,38 @@ def test_records_across_splits(spark, tmp_path, split):
     assert got == {r[0]: r[2] for r in rows}
 
 
+def test_the_query_crosses_splits(spark, tmp_path):
+    """Archives as the writer makes them by default: several splits, entries found over several rounds."""
+    rows = [page(i, f"{i}:" + "word " * (i % 9 * 40)) for i in range(200)]
+    warc.write_warc(spark.createDataFrame(rows, PAGES).coalesce(1), str(tmp_path / "w"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 5000)
+    try:
+        raw = spark.read.option("lineSep", warc.MAGIC.decode()).text(str(tmp_path / "w"))
+        assert raw.rdd.getNumPartitions() > 20
+        assert warc.read_warc(spark, str(tmp_path / "w")).count() == 200
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_broken_chain_is_an_error(spark, tmp_path):
+    rows = [page(i, f"page {i} " * 30) for i in range(40)]
+    warc.write_warc(spark.createDataFrame(rows, PAGES).coalesce(1), str(tmp_path / "w"))
+    [file] = glob.glob(str(tmp_path / "w" / "part-*"))
+    data = open(file, "rb").read()
+    at = data.index(b"Content-Length", len(data) // 2)
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "part-0.txt").write_bytes(data[:at] + b"Content-Lemgth" + data[at + 14 :])
+    with pytest.raises(ValueError, match="breaks off"):
+        warc.read_warc(spark, str(tmp_path / "d"))
+    some = warc.read_warc(spark, str(tmp_path / "d"), strict=False).count()
+    assert 0 < some < 40
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "part-0.txt").write_bytes(data[: len(data) - 500])
+    with pytest.raises(ValueError, match="breaks off"):
+        warc.read_warc(spark, str(tmp_path / "t")).count()
+
+
 def test_empty_and_repeated_rows(spark, tmp_path):
     assert back(spark, [], str(tmp_path / "e")).count() == 0
     got = back(spark, [page(4, "same"), page(4, "same"), page(2, "same")], str(tmp_path / "r")).collect()
