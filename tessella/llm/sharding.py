@@ -1,15 +1,19 @@
 """Shards of equal row counts by a two-pass external shuffle.
 
 The first pass scatters records uniformly into buckets that fit a task's
-memory, by a seeded hash of the key columns. The second reads a bucket, puts it
+memory, by a seeded hash of the key columns and the text. The second reads a bucket, puts it
 in a fixed order, shuffles it by Fisher-Yates with a generator seeded by the
 bucket, and writes it. The buckets in a row are one permutation of all records,
 and shards are equal cuts of it, so their counts differ by one at most.
 
-Defined results: null texts count no bytes; a null key has a bucket like any
-other; rows with equal keys share a bucket, so where one key may repeat without
-bound, name more key columns; an empty table gives no rows; input columns named
-``shard`` or ``slot`` come back as ``shard_in`` and ``slot_in``.
+Rows equal in key and text share a bucket. Where they alone fill one, they are
+scattered at random instead, and that choice is written to the shared folder, so
+that a lost executor can't change it; such rows are alike, so it makes no
+difference which of them goes where.
+
+Defined results: null texts count no bytes; a null key is one like any other; an
+empty table gives no rows; input columns named ``shard`` or ``slot`` come back as
+``shard_in`` and ``slot_in``.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ from . import common
 
 SHARDS = 40
 BUCKET_BYTES = 24 << 20
-#: The offsets of the buckets are sent to all tasks: 8 MB at most.
-MAX_BUCKETS = 1_000_000
+#: The offsets of the buckets are sent to all tasks, 32 MB at most; beyond 100 TB buckets grow instead.
+MAX_BUCKETS = 4_000_000
 
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
@@ -77,15 +81,33 @@ def write_shards(
 ) -> None:
     """Write ``documents`` to ``path``/shard=N, each row with its slot in the shard."""
     common.prepare(documents.sparkSession)
-    taken = {"shard", "slot", "_bucket"}
+    taken = {"shard", "slot", "_bucket", "_mark", "_hot"}
     rows = documents.toDF(*[f"{c}_in" if c in taken else c for c in documents.columns])
-    size = rows.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 16)).first()[0] or 0
-    buckets = min(max(1, -(-size // bucket_bytes)), MAX_BUCKETS)
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy("_bucket").count().collect()  # of at most MAX_BUCKETS rows
+    text_col, key = (f"{text_col}_in" if text_col in taken else text_col), [f"{c}_in" if c in taken else c for c in key]
+    size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + 16
+    total_size = rows.agg(F.sum(size)).first()[0] or 0
+    buckets = min(max(1, -(-total_size // bucket_bytes)), MAX_BUCKETS)
+    mark = F.xxhash64(F.lit(seed), *key, F.xxhash64(text_col))
+    bucket = F.pmod(mark, F.lit(buckets)).cast("int")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("_bucket").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+
+    rows = rows.withColumn("_bucket", bucket)
+    counts = counted(rows)
+    heavy = common.stored(counts.where(F.col("bytes") > 2 * max(bucket_bytes, total_size // buckets)).select("_bucket"), "heavy-buckets")
+    if not heavy.isEmpty():
+        marked = rows.withColumn("_mark", mark).join(F.broadcast(heavy), "_bucket", "left_semi")
+        hot = marked.groupBy("_mark").agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > bucket_bytes // 2) & (F.col("n") > 1))
+        # At most two for each bucket.
+        hot = common.stored(hot.select("_mark", F.lit(True).alias("_hot")), "hot-keys")
+        rows = rows.withColumn("_mark", mark).join(F.broadcast(hot), "_mark", "left")
+        scattered = F.when(F.col("_hot"), F.floor(F.rand(seed) * buckets).cast("int")).otherwise(F.col("_bucket"))
+        rows = common.stored(rows.withColumn("_bucket", scattered).drop("_mark", "_hot"), "scattered")
+        counts = counted(rows)
+    counts = counts.select("_bucket", "n").toArrow()  # at most MAX_BUCKETS rows
     filled = np.zeros(buckets, np.int64)
-    for r in counts:
-        filled[r["_bucket"]] = r["count"]
+    filled[counts["_bucket"].to_numpy()] = counts["n"].to_numpy()
     offsets, total = np.cumsum(filled) - filled, int(filled.sum())
     schema = T.StructType([f for f in rows.schema if f.name != "_bucket"])
     schema = schema.add("shard", T.IntegerType()).add("slot", T.LongType())
