@@ -6,9 +6,13 @@ value of a Parquet table in the folder given, so that any store Spark writes to
 will do. It holds whole documents: ids and lengths of the documents, then the
 coded words with the first word of every block, then the escaped values.
 
+Rows of one id are parted among tasks by a hash of their text, so a null id, or
+one that very many rows share, is no task's alone; rows equal in both pass
+through a task one segment at a time.
+
 Defined results: a null or empty text has the end id alone; rows that share an
-id are ordered by their text and keep a line each; a null id sorts first and
-comes back as null; an empty table gives empty files; other columns are left
+id are ordered by a hash of their text and keep a line each; a null id sorts
+first and comes back as null; ids that aren't integers are refused; an empty table gives empty files; other columns are left
 aside. A text of any length stays in one segment.
 """
 
@@ -22,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, simple8b, tokens
 
@@ -30,22 +35,23 @@ MAGIC = b"TS8B"
 SEGMENT_IDS = 1_000_000
 #: With more segments than this, their starts are joined by a shuffle, not a broadcast.
 BROADCAST_SEGMENTS = 100_000
-_HEAD = struct.Struct("<4sIQQQQ")
+_HEAD = struct.Struct("<4sIQQQQQ")
 SEGMENTS = "part int, segment int, n_docs long, n_ids long, payload binary"
 
 
-def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, nulls: int = 0) -> bytes:
+    """The first ``nulls`` documents have null ids."""
     words, heads, escapes = simple8b.pack(ids)
     parts = (
-        _HEAD.pack(MAGIC, simple8b.BLOCK, len(doc_ids), len(ids), len(words), len(escapes)),
+        _HEAD.pack(MAGIC, simple8b.BLOCK, len(doc_ids), len(ids), len(words), len(escapes), nulls),
         doc_ids.astype("<i8"), lengths.astype("<u8"), heads.astype("<u4"), escapes.astype("<u8"), words.astype("<u8"),
     )
     return b"".join(x if isinstance(x, bytes) else x.tobytes() for x in parts)
 
 
-def decode_segment(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document ids, their lengths, and all ids in a row."""
-    magic, block, docs, n, words, escapes = _HEAD.unpack_from(payload)
+def decode_segment(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Document ids, their lengths, all ids in a row, and how many of the first documents have null ids."""
+    magic, block, docs, n, words, escapes, nulls = _HEAD.unpack_from(payload)
     if magic != MAGIC:
         raise ValueError("not a token segment")
     at, got = _HEAD.size, []
@@ -53,7 +59,7 @@ def decode_segment(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         got.append(np.frombuffer(payload, kind, count, at))
         at += got[-1].nbytes
     doc_ids, lengths, heads, escaped, coded = got
-    return doc_ids, lengths.astype(np.int64), simple8b.unpack(coded, heads, escaped, n, block)
+    return doc_ids, lengths.astype(np.int64), simple8b.unpack(coded, heads, escaped, n, block), nulls
 
 
 def _segments(vocabulary: str, end_id: int, segment_ids: int):
@@ -73,7 +79,7 @@ def _segments(vocabulary: str, end_id: int, segment_ids: int):
             while i < len(keys):
                 j = max(i + 1, int(np.searchsorted(ends, begins[i] + segment_ids, side="right")))
                 some = own[begins[i] : ends[j - 1]]
-                payload = encode_segment(keys[i:j], ends[i:j] - begins[i:j], some)
+                payload = encode_segment(keys[i:j], ends[i:j] - begins[i:j], some, batch["key"].slice(i, j - i).null_count)
                 row = (pa.array([part], pa.int32()), pa.array([number], pa.int32()), [j - i], [len(some)], pa.array([payload], pa.binary()))
                 yield pa.RecordBatch.from_pydict(dict(zip(("part", "segment", "n_docs", "n_ids", "payload"), row, strict=True)))
                 i, number = j, number + 1
@@ -87,8 +93,11 @@ def write_token_files(
 ) -> None:
     """Write the ids of every text to segments in ascending order of ``id_col``."""
     common.prepare(documents.sparkSession)
+    if not isinstance(documents.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"{id_col} doesn't hold integers")
     rows = documents.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+    order = ("key", F.xxhash64("text"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     make = _segments(vocabulary or tokens.default_vocabulary(), end_id, segment_ids)
     rows.mapInArrow(make, SEGMENTS).write.parquet(path)
 
@@ -109,7 +118,7 @@ def segment_starts(segments: DataFrame) -> DataFrame:
 def _documents(batches):
     for batch in batches:
         for start, payload in zip(batch["start"].to_pylist(), batch["payload"].to_pylist(), strict=True):
-            doc_ids, lengths, ids = decode_segment(payload)
+            doc_ids, lengths, ids, nulls = decode_segment(payload)
             ids = ids.astype("<u4")
             ends = np.cumsum(lengths)
             begins = ends - lengths
@@ -118,7 +127,7 @@ def _documents(batches):
                 values = [ids[a:b] for a, b in zip(begins[some], ends[some], strict=True)]
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": pa.array([None if x == common.NULL_ID else x for x in doc_ids[some].tolist()], pa.int64()),
+                        "doc_id": pa.array(doc_ids[some], pa.int64(), mask=np.arange(len(doc_ids))[some] < nulls),
                         "start": pa.array(begins[some] + start, pa.int64()),
                         "n_tokens": pa.array(lengths[some], pa.int64()),
                         "ids_crc32": pa.array([zlib.crc32(x) for x in values], pa.int64()),

@@ -4,7 +4,8 @@ The vocabulary splits a text into words before it merges bytes, so the ids of
 a text are those of its words in a row. Texts are cut into words here, about
 ``AT_ONCE`` bytes at a time by Arrow where that is sure to be right, and each
 distinct word goes to the tokenizers library once; a worker remembers the ids of
-the words it has met, in about ``REMEMBERED`` bytes. A text that holds one of the
+the words it has met, in about ``REMEMBERED`` bytes, and when these are full the
+half that it has met most often. A text that holds one of the
 vocabulary's special strings goes to the library whole.
 """
 
@@ -18,12 +19,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of remembered words, about, with which a worker starts anew.
-REMEMBERED = 40 << 20
+#: Bytes of remembered words, about, at which a worker drops the rarer half.
+REMEMBERED = 64 << 20
 #: What a remembered word takes besides its own bytes and ids.
 _WORD_BYTES = 180
 #: Bytes of text that are encoded at a time.
-AT_ONCE = 1 << 20
+AT_ONCE = 2 << 20
 _MARKS = (",", ".")
 _BLANK = ("", "\u180e", "\u200b", "\ufeff")
 
@@ -62,14 +63,27 @@ class Encoder:
         special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.special_pattern = "|".join(map(re.escape, special)) or None
         self.words = regex.compile(public_tokenizers.PATTERN).findall
-        self._forget()
-
-    def _forget(self) -> None:
         self.code: dict[str, int] = {}
         self.held = 0
+        self.uses = _Grown(np.int64)
         self.start, self.length, self.ids = _Grown(np.int32), _Grown(np.int32), _Grown(np.uint32)
         self.odd, self.sign, self.mark = _Grown(bool), _Grown(bool), _Grown(bool)
 
+    def _forget(self) -> None:
+        """Drop the words that were met least often, half of them at least."""
+        n = len(self.code)
+        uses = self.uses.room[:n]
+        keep = np.flatnonzero(uses > np.partition(uses, n // 2)[n // 2])
+        words, lengths = list(self.code), self.length.room[keep].astype(np.int64)
+        before = np.cumsum(lengths) - lengths
+        ids = self.ids.room[np.repeat(self.start.room[keep] - before, lengths) + np.arange(int(lengths.sum()))]
+        self.code = {words[k]: i for i, k in enumerate(keep.tolist())}
+        for name, values in (("uses", uses[keep] // 2), ("start", before), ("length", lengths), ("ids", ids), *((m, getattr(self, m).room[keep]) for m in ("odd", "sign", "mark"))):
+            grown = _Grown(getattr(self, name).room.dtype)
+            grown.extend(values)
+            setattr(self, name, grown)
+        self.held = _WORD_BYTES * len(keep) + sum(map(len, self.code)) + 4 * len(ids)
+
     def _codes(self, words: list[str]) -> np.ndarray:
         """The numbers of distinct words; those not met before are learnt."""
         codes = np.fromiter(map(self.code.get, words, repeat(-1)), np.int32, len(words))
@@ -84,6 +98,7 @@ class Encoder:
             self.start.extend(self.ids.n + np.cumsum(lengths) - lengths)
             self.length.extend(lengths)
             self.ids.extend(np.fromiter(chain.from_iterable(got), np.uint32))
+            self.uses.extend(np.zeros(len(some), np.int64))
             last = [w[-1:] for w in some]
             # A cut before or after an odd piece may fall inside a word, and
             # one behind a sign does if a comma or full stop follows.
@@ -155,6 +170,7 @@ class Encoder:
             codes = np.concatenate(each)
             at = np.concatenate(([0], np.cumsum([len(x) for x in each])))
 
+        self.uses.room[: len(self.code)] += np.bincount(codes, minlength=len(self.code))
         lengths = self.length.room[codes]
         after = np.cumsum(lengths, dtype=np.int64)
         n = int(after[-1]) if len(after) else 0
