@@ -16,8 +16,11 @@ with a digit. A unit is a word of ``UNITS`` behind a number. A name is a word of
 two letters or more, the first of them the only capital; one that begins a
 sentence is a literal in the first template and a name in the second. A window needs ``literals`` tokens that aren't placeholders.
 
-Benchmark windows are sent to all tasks in blocks of at most about
-``BLOCK_WINDOWS``; a larger benchmark takes more passes over the documents.
+Benchmark windows, as rows and not as hashes only, are sent to all tasks in
+blocks of about ``BLOCK_WINDOWS``; a larger benchmark takes more passes over the
+documents. A block that is larger because very many items share a window is
+joined by a shuffle. Units are English and international ones; words of other
+languages' units are literals.
 
 Defined results: null and empty texts match nothing, nor do items of fewer
 tokens than ``literals``; items shorter than a window are one window of all
@@ -44,7 +47,7 @@ LITERALS = 4
 COVERAGE = 0.5
 #: Windows in a row that are enough of a long item: 16 tokens, two windows side by side.
 RUN = 9
-BLOCK_WINDOWS = 500_000
+BLOCK_WINDOWS = 1_000_000
 CHARS_AT_ONCE = 1 << 19
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers "
@@ -265,16 +268,17 @@ def find_benchmark(
     items = common.stored(rows(benchmark, item_col, item_text_col).mapInArrow(_windows(window, literals, None), _ROWS), "item-windows")
     items = items.select(F.col("id").alias("item_id"), F.col("th").alias("item_th"), "variant", F.col("place").alias("item_place"), F.col("word").alias("item_word"), "tokens", "h", F.col("slots").alias("item_slots"), "inside")
     sizes = items.groupBy("item_id", "item_th").agg(F.countDistinct("item_word").alias("item_windows"))
-    blocks = max(1, -(-items.select("h").distinct().count() // BLOCK_WINDOWS))
+    blocks = max(1, -(-items.count() // BLOCK_WINDOWS))
     found = None
     for b in range(blocks):
         block = items.where(F.pmod("h", F.lit(blocks)) == b).distinct()
+        block = F.broadcast(block) if block.count() <= 2 * BLOCK_WINDOWS else block
         known = {}
         for r in block.select("tokens", "h").distinct().collect():
             known.setdefault(r["tokens"], []).append(r["h"])
         known = {k: np.sort(np.array(v, np.int64)) for k, v in known.items()}
         hits = rows(documents, id_col, text_col).mapInArrow(_windows(window, literals, known), _ROWS).drop("inside")
-        part = hits.join(F.broadcast(block), ["h", "tokens", "variant"])
+        part = hits.join(block, ["h", "tokens", "variant"])
         found = part if found is None else found.unionByName(part)
     slots = F.arrays_zip(F.transform("inside", lambda x: x + F.col("item_place")).alias("at"), F.col("item_slots").alias("i"), F.col("slots").alias("d"))
     held = F.struct(F.col("item_place").alias("place"), F.col("item_word").alias("word"), slots.alias("slots"))

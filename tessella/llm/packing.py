@@ -3,8 +3,9 @@
 Texts become ids with an end id; those longer than a sequence are cut into
 whole sequences behind a shorter first piece. The plan works on counts: for
 each length, longest first, all pieces of that length go to the fullest
-sequences that have room, many at a time. Its size depends on the sequence
-length alone. Pieces then take the slots planned for their length in order of
+sequences that have room, many at a time. It has a row for each run of pieces of
+one length in like sequences, and is broadcast only if these are few, which is
+checked. Pieces then take the slots planned for their length in order of
 their rank, which comes from counts by task and length, not from a sort.
 
 Defined results: a null or empty text is one piece, the end id; repeated rows
@@ -29,6 +30,8 @@ from . import common, tokens
 SEQUENCE = 1024
 END_ID = 2
 PIECES = "task int, rank long, doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Rows of a plan (40 bytes each) that are sent to all tasks; a longer one is joined by a shuffle.
+BROADCAST_PLAN = 500_000
 PLAN = "length long, low long, high long, first_sequence long, offset long"
 
 
@@ -126,7 +129,7 @@ def pack_documents(
     plan, _ = plan_best_fit(histogram, capacity)
     slots = spark.createDataFrame(plan, PLAN)
     ranked = pieces.join(bases, ["length", "task"]).withColumn("rank", F.col("base") + F.col("rank"))
-    placed = ranked.join(F.broadcast(slots), "length").where("rank >= low and rank < high")
+    placed = ranked.join(F.broadcast(slots) if len(plan) <= BROADCAST_PLAN else slots, "length").where("rank >= low and rank < high")
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("first_sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset", *["ids"] * with_ids,
