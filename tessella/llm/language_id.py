@@ -44,7 +44,9 @@ MOST_LANGUAGES = 1 << 14
 SMOOTHING = 0.2
 #: A language is a candidate for a script that has this share of its letters.
 SCRIPT_SHARE = 0.01
+#: Characters that are read at a time, and those of the texts that go through Viterbi in step.
 CHARS_AT_ONCE = 1 << 18
+CHARS_IN_STEP = 1 << 20
 
 #: First and last code points of scripts; letters elsewhere are script 0.
 SCRIPTS = (
@@ -242,9 +244,16 @@ def _scored(codes: np.ndarray, model: Model):
 
 def label(texts: list[str | None], model: Model, penalty: float = PENALTY, spans: bool = False):
     """(language, score, spans) of each text; a span is (start, end, language) in characters."""
+    # Texts of like lengths go in step.
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i] or ""))
+    found = _labelled([texts[i] for i in order], model, penalty, spans)
+    return [x for _, x in sorted(zip(order, found, strict=True), key=lambda p: p[0])]
+
+
+def _labelled(texts: list[str | None], model: Model, penalty: float, spans: bool):
     k = len(model.langs)
     out: list[tuple[str, float, list | None]] = []
-    for i, j in _in_pieces([x or "" for x in texts], max(1 << 12, CHARS_AT_ONCE * 8 // max(8, k))):
+    for i, j in _in_pieces([x or "" for x in texts], max(1 << 12, CHARS_IN_STEP * 8 // max(8, k))):
         codes, at = _code_points([x or "" for x in texts[i:j]])
         if not k:
             out += [("und", 0.0, [] if spans else None)] * (j - i)
