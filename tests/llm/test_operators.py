@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessella.llm import (
-    decontamination, embeddings, language_id, line_dedup, packing, sharding, simhash, simple8b, suffix_dedup, token_files, tokens,
+    common, decontamination, embeddings, language_id, line_dedup, packing, sharding, simhash, simple8b, suffix_dedup, token_files, tokens,
 )
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, key string, th long, found string, rank long"
@@ -215,14 +215,48 @@ def test_simhash(spark, texts):
 
 def test_bk_tree_finds_what_a_scan_finds():
     rng = random.Random(9)
-    values = [rng.getrandbits(64) for _ in range(150)]
+    values = [rng.getrandbits(64) for _ in range(600)]
     values += [v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for v in values[:100]]
+    values = list(dict.fromkeys(values))
+    tree = simhash.BKTree(np.array(values, np.uint64))
+    # The tree that inserting one after another makes.
+    kids = {0: {}}
+    for new in range(1, len(values)):
+        at = 0
+        while (child := kids[at].setdefault((values[at] ^ values[new]).bit_count(), new)) != new:
+            at = child
+        kids[new] = {}
+    assert {(at, d): k for at, edges in kids.items() for d, k in edges.items()} == {divmod(s, 65): k for s, k in zip(tree.slots.tolist(), tree.kids.tolist(), strict=True)}
+    q, node = tree.near(np.array(values, np.uint64), 3)
+    want = [(i, j) for i, v in enumerate(values) for j, x in enumerate(values) if (x ^ v).bit_count() <= 3]
+    assert sorted(zip(q.tolist(), node.tolist(), strict=True)) == want
+    assert len(values) < tree.visited < 0.8 * len(values) ** 2
+    assert list(simhash.BKTree(np.zeros(0, np.uint64)).near(np.array([1], np.uint64), 3)[0]) == []
+
+
+@pytest.mark.parametrize(("shard", "crowded"), [(512, 8192), (4, 10), (1 << 20, 40)])
+def test_shards_hold_all_links(spark, shard, crowded):
+    """Trees of many nodes, also where shards are crowded and searched part by part."""
+    rng = random.Random(3)
+    values = [rng.getrandbits(64) for _ in range(150)] + [0]
+    values += [v ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))) for v in values[:60] for _ in range(2)]
+    values += [values[0] ^ (1 << b) for b in range(40)]
     values = sorted(set(values))
-    tree = simhash.BKTree()
-    for v in values:
-        tree.add(v)
-    for v in values:
-        assert sorted(tree.near(v, 3)) == [i for i, x in enumerate(values) if (x ^ v).bit_count() <= 3]
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    dealt = simhash._sharded(spark.createDataFrame([(v,) for v in signed], "fp long"), shard, crowded)
+    dealt = dealt.repartition("key", "row", "column").sortWithinPartitions("key", "row", "column", "fp")
+    edges = [(r.a, r.b) for r in dealt.mapInArrow(simhash._links(3), "a long, b long").collect()]
+    sizes = [r["count"] for r in dealt.groupBy("key", "row", "column").count().collect()]
+    assert max(sizes) > 1 and (crowded > 100 or max(sizes) <= 2 * crowded)
+
+    def components(pairs):
+        label, at = np.arange(len(values)), {v: i for i, v in enumerate(signed)}
+        a = np.array([[at[x], at[y]] for x, y in pairs] or np.zeros((0, 2)), np.int64)
+        common.join_labels(label, a[:, 0], a[:, 1])
+        return label.tolist()
+
+    want = [(signed[i], signed[j]) for i, v in enumerate(values) for j, x in enumerate(values) if i < j and (x ^ v).bit_count() <= 3]
+    assert components(edges) == components(want) and len(set(components(want))) < len(values)
 
 
 def slow_repeats(pairs, length):
@@ -287,13 +321,55 @@ def test_embeddings(spark):
     assert (found <= true).all() and found.sum() >= 0.97 * true.sum() and true.sum() > 1000
     for i in range(len(odd)):
         assert (got[9000 + i].n_links, got[9000 + i].component_id, got[9000 + i].kept) == (0, 9000 + i, True)
+    if found.sum() == true.sum():  # all links are found, so components are those of brute force
+        label = np.arange(len(unit))
+        common.join_labels(label, *np.nonzero(linked))
+        assert [got[i].component_id for i in range(len(vectors))] == label[: len(vectors)].tolist()
     for i in range(len(vectors)):
         c = got[i].component_id
         assert c <= i and got[i].kept == (c == i)
+    tiled = {r.vec_id: r for r in embeddings.near_duplicates(df, leaf_size=2000, big=64).collect()}
+    exact = {r.vec_id: r for r in embeddings.near_duplicates(df, leaf_size=2000).collect()}
+    assert tiled == exact and [exact[i].n_links for i in range(len(vectors))] == true[:-1].tolist()
+    label = np.arange(len(unit))
+    common.join_labels(label, *np.nonzero(linked))
+    assert [exact[i].component_id for i in range(len(vectors))] == label[: len(vectors)].tolist()
+    assert all(exact[i].kept == (exact[i].component_id == i) for i in range(len(vectors)))
     empty = embeddings.near_duplicates(df.where("false"))
     assert empty.count() == 0
 
 
+def test_forest_of_many_levels():
+    """Leaves have a bounded number, are the same in any batch, and keep near vectors together at any depth."""
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((3000, 64))
+    near = base[:800] + 0.3 * rng.standard_normal((800, 64)) * np.linalg.norm(base[:800], axis=1, keepdims=True) / 8
+    unit = np.concatenate((base, near))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    forest = embeddings.fit_forest(unit[::20], 12)
+    every = embeddings.leaves_of(unit, forest)
+    few = embeddings.leaves_of(unit[100:107], forest)
+    for (row, leaf), (r, n) in zip(every, few, strict=True):
+        assert np.bincount(row).max() <= 2 and len(np.unique(leaf)) > 400
+        assert [sorted(n[r == k]) for k in range(7)] == [sorted(leaf[row == 100 + k]) for k in range(7)]
+    pairs = np.einsum("ij,ij->i", unit[:800], unit[3000:]) >= 0.95
+    met = np.zeros(800, bool)
+    for row, leaf in every:
+        names = [set() for _ in range(len(unit))]
+        for r, x in zip(row.tolist(), leaf.tolist(), strict=True):
+            names[r].add(x)
+        met |= np.array([bool(names[i] & names[3000 + i]) for i in range(800)])
+    assert pairs.sum() > 100 and met[pairs].mean() > 0.9
+
+
+def test_ties_at_the_threshold(spark):
+    """A cosine of exactly the threshold links; single precision alone would not tell."""
+    vectors = [[1.0, 0.0], [0.6, 0.8], [0.6, 0.8 + 1e-7], [0.6 - 1e-7, 0.8], [-1.0, 0.0]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, threshold=0.6).collect()}
+    assert got == {0: 1, 1: 3, 2: 2, 3: 2, 4: 0}
+
+
 def test_embeddings_of_several_sizes(spark):
     rng = np.random.default_rng(4)
     most, few = rng.standard_normal((90, 16)), rng.standard_normal((60, 5))
@@ -415,3 +491,81 @@ def test_slots_keep_no_line_feeds():
     rows = decontamination.windows(["we saw John\n Smith was here and gone to sea"], 8, 4)
     slots = {x.partition(":")[2] for r in rows for x in r[-2]}
     assert "john smith" in slots and not any("\n" in x for x in slots)
+
+
+def test_more_languages_than_a_byte_holds():
+    rng = np.random.default_rng(0)
+    k = 300
+    model = language_id.Model([f"l{i:03}" for i in range(k)], np.log(rng.random((1 << 12, k))).astype(np.float32), np.ones((256, k), bool))
+    model.scores[:, 280] = 0
+    assert language_id.label(["hello there"], model)[0][:2] == ("l280", 1.0)
+
+
+def test_spans_count_the_texts_own_characters(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = language_id.Model(["a", "b"], np.log(rng.random((1 << 12, 2))).astype(np.float32), np.ones((256, 2), bool))
+    text = "İstanbul İİ x" + "y" * 40
+    whole = language_id.label([text, "ab cd"], model, spans=True)
+    assert whole[0][2][0][0] == 0 and whole[0][2][-1][1] == len(text)
+    monkeypatch.setattr(language_id, "CHARS_AT_ONCE", 5)  # words longer than what is read at a time
+    assert [(x[0], x[2]) for x in language_id.label([text, "ab cd"], model, spans=True)] == [(x[0], x[2]) for x in whole]
+
+
+def test_sharding_of_equal_rows(spark, tmp_path):
+    """Null and equal keys that fill buckets: all rows, gapless slots, counts at most one apart."""
+    every = [(None, None)] * 3000 + [(7, "x" * 50)] * 2000 + [(i, f"text {i}") for i in range(1000)]
+    sharding.write_shards(spark.createDataFrame(every, "doc_id long, text string").repartition(6), str(tmp_path / "s"), shards=7, bucket_bytes=8000)
+    got = spark.read.parquet(str(tmp_path / "s")).toPandas()
+    assert len(got) == len(every) and got.doc_id.isna().sum() == 3000 and (got.doc_id == 7).sum() == 2001
+    counts = got.groupby("shard").slot.agg(["count", "min", "max"])
+    assert counts["count"].max() - counts["count"].min() <= 1
+    assert (counts["min"] == 0).all() and (counts["max"] == counts["count"] - 1).all()
+
+
+def test_token_files_of_null_and_extreme_ids(spark, tmp_path):
+    least = -(2**63)
+    every = [(None, f"null {i}") for i in range(50)] + [(least, "least")] * 2 + [(3, "three"), (None, None)]
+    token_files.write_token_files(spark.createDataFrame(every, "doc_id long, text string").repartition(4), str(tmp_path / "t"))
+    got = token_files.read_token_files(spark, str(tmp_path / "t")).toPandas().sort_values("start")
+    assert got.doc_id.isna().sum() == 51 and [int(x) for x in got.doc_id.iloc[51:]] == [least, least, 3]
+    with pytest.raises(ValueError):
+        token_files.write_token_files(spark.createDataFrame([("a", "b")], "doc_id string, text string"), str(tmp_path / "u"))
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 3, (500, 4)).astype(np.uint64)
+    order, agree = suffix_dedup.multikey_sorted(words)
+    rows_in_order = [tuple(words[i]) for i in order.tolist()]
+    assert sorted(order.tolist()) == list(range(500)) and rows_in_order == sorted(map(tuple, words))
+    counts = {}
+    for w in map(tuple, words):
+        counts[w] = counts.get(w, 0) + 1
+    assert [b - a for a, b in agree] == [n for w, n in sorted(counts.items()) if n > 1]
+
+
+def test_a_bucket_that_one_anchor_fills():
+    """Contexts are passed on as they come, none is lost, and equal ones still go."""
+    rng = np.random.default_rng(5)
+    n = 4000
+    ctx = rng.integers(1, 600, n).astype(np.uint64)
+    akey = np.where(rng.random(n) < 0.8, 11, rng.integers(100, 2000, n)).astype(np.uint64)
+    key = np.arange(n, dtype=np.int64)
+    x = {"akey": akey, "ctx": ctx * np.uint64(1 << 20) + akey, "key": key, "th": np.zeros(n, np.int64), "s": np.zeros(n, np.int32), "e": np.zeros(n, np.int32)}
+
+    def batches():
+        for i in range(0, n, 100):
+            yield suffix_dedup._blobs([(0, 0, {k: v[i : i + 100] for k, v in x.items()})])
+
+    found = {0: [], 1: []}
+    for batch in suffix_dedup._reduce_contexts(100, 50, most=500)(batches()):
+        for kind, a in zip(batch["kind"].to_pylist(), batch["key"].to_pylist(), strict=True):
+            found[kind].append(a)
+    firsts = {}
+    for i in range(n):
+        firsts.setdefault((int(akey[i]), int(x["ctx"][i])), i)
+    later = set(range(n)) - set(firsts.values())
+    assert set(found[1]) <= later and len(found[1]) == len(set(found[1])) > 0
+    several = {a for a, _ in firsts if sum(1 for b, _ in firsts if b == a) > 1}
+    want = {i for (a, _), i in firsts.items() if a in several}
+    assert want <= set(found[0]) and not set(found[0]) & set(found[1]) and later <= set(found[0]) | set(found[1])
