@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,30 @@ from tessella.functions import dsp, signal
 
 FEATURES = "song_id string, stem string, frame int, t_s double, rms double, mel array<float>, low array<float>, chroma array<float>"
 HALO = 2048
+#: Samples of a block.
+BLOCK = 1 << 17
+
+
+def with_audio(windows: DataFrame, blocks: DataFrame, run, schema: str, *, margin: int = HALO, size: int = BLOCK) -> DataFrame:
+    """``run(key, windows, blocks)`` on windows and the blocks that they, and ``margin`` samples on both sides, touch.
+
+    Windows of a stem that begin in one block share a task, which holds the few
+    blocks that the longest of them reaches, however long the stem is.
+    """
+    by = ["song_id", "stem"]
+    first = F.floor(F.greatest(F.col("start") - margin, F.lit(0)) / size).cast("int")
+    last = F.floor((F.greatest("start", "end") + margin) / size).cast("int")
+    w = windows.withColumns({"first_block": first, "_last": last})
+    reach = w.groupBy(*by, "first_block").agg(F.max("_last").alias("_last"))
+    wanted = reach.select(*by, "first_block", F.explode(F.sequence("first_block", "_last")).alias("block_idx"))
+    audio = wanted.join(blocks, [*by, "block_idx"])
+    return w.drop("_last").groupBy(*by, "first_block").cogroup(audio.groupBy(*by, "first_block")).applyInPandas(run, schema)
+
+
+def put_together(blocks: pd.DataFrame, column: str, kind=np.float64) -> tuple[int, np.ndarray]:
+    """The place of the first sample, and the samples, of blocks in a row."""
+    blocks = blocks.sort_values("block_idx")
+    return int(blocks["start_sample"].iloc[0]), np.concatenate([np.asarray(v, kind) for v in blocks[column]])
 
 
 def with_edges(blocks: DataFrame, halo: int = HALO) -> DataFrame:

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import dsp
+from tessella.operators.frames import BLOCK
 from tessella.workers import prepare
 
-BLOCK = 1 << 17
 #: What counts as an audio file, and the largest one taken.
 SUFFIXES = ("wav", "wave", "aif", "aiff", "flac", "mp3", "m4a", "aac", "ogg", "opus")
 MOST_BYTES = 300 << 20
@@ -27,37 +27,51 @@ class WavError(ValueError):
     pass
 
 
-def decode(raw: bytes) -> tuple[int, np.ndarray]:
-    """(rate, float32 samples by channel) of PCM 16, 24 or 32 or float 32."""
+def header(raw: bytes) -> tuple[int, int, int, int, int, int]:
+    """(format tag, channels, rate, bits, place of the samples, their whole bytes) of a WAV file."""
     if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
         raise WavError("not a WAV file")
     at, kind, body = 12, None, None
     while at + 8 <= len(raw):
         name, size = raw[at : at + 4], struct.unpack_from("<I", raw, at + 4)[0]
-        if name == b"fmt ":
+        if name == b"fmt " and at + 24 <= len(raw):
             kind = struct.unpack_from("<HHIIHH", raw, at + 8)
-            if kind[0] == 0xFFFE:
+            if kind[0] == 0xFFFE and at + 34 <= len(raw):
                 kind = (struct.unpack_from("<H", raw, at + 32)[0], *kind[1:])
         elif name == b"data":
-            body = raw[at + 8 : at + 8 + size]
+            body = (at + 8, min(size, len(raw) - at - 8))
         at += 8 + size + (size & 1)
     if kind is None or body is None:
         raise WavError("no format or no data")
     tag, channels, rate, _, _, bits = kind
-    body = body[: len(body) // (channels * bits // 8) * (channels * bits // 8)]
-    if tag == 3 and bits == 32:
+    if (tag, bits) not in ((3, 32), (1, 16), (1, 24), (1, 32)):
+        raise WavError(f"format {tag} of {bits} bits is not read")
+    if not channels or not rate:
+        raise WavError("no channels or no rate")
+    step = channels * bits // 8
+    return tag, channels, rate, bits, body[0], body[1] // step * step
+
+
+def decode(raw: bytes) -> tuple[int, np.ndarray]:
+    """(rate, float32 samples by channel) of PCM 16, 24 or 32 or float 32."""
+    tag, channels, rate, bits, at, size = header(raw)
+    body = raw[at : at + size]
+    if tag == 3:
         x = np.frombuffer(body, "<f4")
-    elif tag == 1 and bits == 24:
+    elif bits == 24:
         wide = np.zeros((len(body) // 3, 4), np.uint8)
         wide[:, 1:] = np.frombuffer(body, np.uint8).reshape(-1, 3)
         x = wide.view("<i4")[:, 0] / np.float32(2**31)
-    elif tag == 1 and bits in (16, 32):
-        x = np.frombuffer(body, f"<i{bits // 8}") / np.float32(2 ** (bits - 1))
     else:
-        raise WavError(f"format {tag} of {bits} bits is not read")
+        x = np.frombuffer(body, f"<i{bits // 8}") / np.float32(2 ** (bits - 1))
     return rate, np.ascontiguousarray(x.astype(np.float32).reshape(-1, channels).T)
 
 
+def silence(rate: int, seconds: float = 0.05) -> np.ndarray:
+    """What stands on an empty pad: 50 ms of stereo zeros."""
+    return np.zeros((2, round(rate * seconds)), np.float32)
+
+
 def encode(x: np.ndarray, rate: int, bits: int = 24) -> bytes:
     """A WAV file of (channels, samples); ``bits`` 16 or 24 are PCM, 32 is float."""
     channels, flat = x.shape[0], np.ascontiguousarray(x.T, np.float64).reshape(-1)
@@ -91,11 +105,39 @@ def _decoded(rate: int):
     return run
 
 
-def list_songs(spark: SparkSession, path: str, *, rights_confirmed: bool, stem_from_name: bool = False) -> DataFrame:
-    """song_id, stem, path, sha256, length and ``error`` (null if the file can be taken) of each file.
+def _probed(max_s: float):
+    """Duration, rate and error of each file, from its header alone."""
+
+    def run(batches):
+        for batch in batches:
+            seconds, rates, errors = [], [], batch["error"].to_pylist()
+            for i, raw in enumerate(batch["content"]):
+                seconds.append(None)
+                rates.append(None)
+                if errors[i] is not None:
+                    continue
+                try:
+                    _, channels, rate, bits, _, size = header(raw.as_buffer().to_pybytes() if raw.is_valid else b"")
+                except WavError as e:
+                    errors[i] = f"can't be decoded: {e}"
+                    continue
+                seconds[i], rates[i] = round(size / (channels * bits // 8) / rate, 3), rate
+                if seconds[i] > max_s:
+                    errors[i] = f"{seconds[i] / 60:.1f} minutes long; the limit is {max_s / 60:.0f}"
+            rest = [c for c in batch.schema.names if c != "error"]
+            columns = [*[batch[c] for c in rest], pa.array(seconds, pa.float64()), pa.array(rates, pa.int32()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*rest, "duration_s", "rate", "error"])
 
-    With ``stem_from_name`` a file is <song>/<stem>.wav, else a whole mix.
+    return run
+
+
+def list_songs(spark: SparkSession, path: str, *, rights_confirmed: bool, stem_from_name: bool = False, max_s: float = 600) -> DataFrame:
+    """song_id, stem, path, sha256, length, content, duration_s, rate and ``error`` (null if the file can be taken) of each file.
+
+    With ``stem_from_name`` a file is <song>/<stem>.wav, else a whole mix. A file
+    that is damaged or too long has a row that says so, and none of the others suffers.
     """
+    prepare(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
@@ -107,15 +149,15 @@ def list_songs(spark: SparkSession, path: str, *, rights_confirmed: bool, stem_f
         .when(~suffix.isin("wav", "wave"), "only WAV is decoded here")
     )
     song = F.element_at(F.split("path", "/"), -2) if stem_from_name else stem
-    return files.select(
+    listed = files.select(
         song.alias("song_id"), (stem if stem_from_name else F.lit("mix")).alias("stem"), "path",
         F.sha2("content", 256).alias("sha256"), "length", error.alias("error"), "content",
     )
+    kinds = "song_id string, stem string, path string, sha256 string, length long, content binary, duration_s double, rate int, error string"
+    return listed.mapInArrow(_probed(max_s), kinds)
 
 
 def read_songs(spark: SparkSession, path: str, *, rights_confirmed: bool, rate: int = 44100, max_s: float = 600, stem_from_name: bool = False) -> DataFrame:
-    """Blocks of every file that can be taken, at one rate; longer songs are left out."""
-    prepare(spark)
-    good = list_songs(spark, path, rights_confirmed=rights_confirmed, stem_from_name=stem_from_name).where("error is null")
-    found = good.select("song_id", "stem", "content").mapInArrow(_decoded(rate), BLOCKS)
-    return found.where(F.col("total") <= F.lit(max_s * rate))
+    """Blocks of every file that can be taken, at one rate; ``list_songs`` says why others can't."""
+    listed = list_songs(spark, path, rights_confirmed=rights_confirmed, stem_from_name=stem_from_name, max_s=max_s)
+    return listed.where("error is null").select("song_id", "stem", "content").mapInArrow(_decoded(rate), BLOCKS)
