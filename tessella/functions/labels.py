@@ -12,11 +12,17 @@ PITCHES = ("C", "Db", "D", "Eb", "E", "F", "F#", "G", "Ab", "A", "Bb", "B")
 
 
 def letters(n) -> Column:
-    """1 -> A, 26 -> Z, 27 -> AA, up to 702 -> ZZ."""
-    n = as_column(n).cast("int")
-    last = F.chr(F.lit(65) + F.pmod(n - 1, F.lit(26)))
-    first = F.floor((n - 1) / 26).cast("int")
-    return F.when(n < 1, "").when(first == 0, last).otherwise(F.concat(F.chr(F.lit(64) + first), last))
+    """1 -> A, 26 -> Z, 27 -> AA, 703 -> AAA, and so on; numbers below 1 have none."""
+    n = as_column(n).cast("long")
+
+    def digit(s, _):
+        rest = s["n"] - 1
+        letter = F.chr(F.lit(65) + F.pmod(rest, F.lit(26)))
+        more = F.struct(F.floor(rest / 26).cast("long").alias("n"), F.concat(letter, s["name"]).alias("name"))
+        return F.when(s["n"] > 0, more).otherwise(s)
+
+    start = F.struct(F.coalesce(n, F.lit(0).cast("long")).alias("n"), F.lit("").alias("name"))
+    return F.when(n.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, digit, lambda s: s["name"]))
 
 
 def midi_note(hz) -> Column:
@@ -34,6 +40,13 @@ def note_name(hz) -> Column:
     return pitch_name(midi_note(hz))
 
 
+def separator_stem(file_stem, known) -> Column:
+    """The stem that a separator's output file holds: its name, or what stands in its first brackets."""
+    name = as_column(file_stem)
+    inside = F.lower(F.regexp_extract(name, r"\(([^)]+)\)", 1))
+    return F.when(F.lower(name).isin(*known) | (inside == ""), F.lower(name)).otherwise(inside)
+
+
 def sanitised_song(name) -> Column:
     return F.trim(F.regexp_replace(as_column(name), r'[\\/:*?"<>|]+', "_"))
 
@@ -56,7 +69,7 @@ def pad_split(text) -> Column:
     parts = F.filter(F.split(as_column(text), ","), lambda p: F.trim(p) != "")
 
     def pair(p):
-        value = F.trim(F.element_at(F.split(p, "="), 2))
+        value = F.trim(F.try_element_at(F.split(p, "="), F.lit(2)))
         count = F.when(value.rlike("^[0-9]+$"), value.cast("int"))
         return F.struct(F.trim(F.element_at(F.split(p, "="), 1)).alias("stem"), count.alias("count"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .signal import EPS, as_column, clip
@@ -52,6 +52,12 @@ def weighted(parts: dict[str, Column | str], weights: dict[str, float]) -> Colum
     return score
 
 
+def final_score(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Round the five parts, and add the score of the rounded ones."""
+    rows = rows.withColumns({p: F.round(p, 4) for p in WEIGHTS})
+    return rows.withColumn("score", F.round(weighted({p: p for p in WEIGHTS}, weights), 4))
+
+
 def drum_category(n_samples, low_share, high_share, centroid_hz, flatness) -> Column:
     """kick, snare, hat or perc from band features of a hit's beginning."""
     n, low, high, centre, flat = map(as_column, (n_samples, low_share, high_share, centroid_hz, flatness))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import dsp, labels, signal
+from tessella.operators import frames as fr
 from tessella.operators import grids
 from tessella.plans.candidates import mono_blocks
 from tessella.sources import wav
@@ -34,11 +35,11 @@ def _rendered(window_ms: float, bits: int):
     def run(key, slices: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         if slices.empty or blocks.empty:
             return pd.DataFrame(columns=["song_id", "id", "file", "content"])
-        rate, x = _stereo(blocks)
-        rows = []
+        (base, left), (_, right) = (fr.put_together(blocks, c, np.float32) for c in ("left", "right"))
+        rate, x, rows = int(blocks["rate"].iloc[0]), np.stack((left, right)), []
         for s in slices.itertuples(index=False):
             settings = {"playback": s.playback, "reverse": s.reverse, "fade_in_ms": s.fade_in_ms, "fade_out_ms": s.fade_out_ms, "normalize_dbfs": None if pd.isna(s.normalize_dbfs) else s.normalize_dbfs}
-            rows.append((s.song_id, s.id, s.file, wav.encode(render_slice(x, rate, s.start, s.end, settings, window_ms), rate, bits)))
+            rows.append((s.song_id, s.id, s.file, wav.encode(render_slice(x, rate, s.start - base, s.end - base, settings, window_ms), rate, bits)))
         return pd.DataFrame(rows, columns=["song_id", "id", "file", "content"])
 
     return run
@@ -48,18 +49,17 @@ def render(slices: DataFrame, blocks: DataFrame, cfg: dict) -> DataFrame:
     """song_id, id, file, content (a WAV file) of every slice."""
     flat = slices.select("song_id", "stem", "id", "file", "start", "end", "render.*")
     made = _rendered(cfg["render"]["zero_crossing_window_ms"], cfg["ingest"]["bit_depth"])
-    return flat.groupBy("song_id", "stem").cogroup(blocks.groupBy("song_id", "stem")).applyInPandas(made, "song_id string, id string, file string, content binary")
+    return fr.with_audio(flat, blocks, made, "song_id string, id string, file string, content binary")
 
 
 def _tones(key, slices: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
     """Pitch in Hz of bass notes and chops, mean chroma of stabs."""
     if slices.empty or blocks.empty:
         return pd.DataFrame(columns=["song_id", "id", "hz", "chroma"])
-    blocks = blocks.sort_values("block_idx")
-    rate, x = int(blocks["rate"].iloc[0]), np.concatenate([np.asarray(v, np.float64) for v in blocks["x"]])
-    rows = []
+    base, x = fr.put_together(blocks, "x")
+    rate, rows = int(blocks["rate"].iloc[0]), []
     for s in slices.itertuples(index=False):
-        y, hz, chroma = x[s.start : s.end], None, None
+        y, hz, chroma = x[s.start - base : s.end - base], None, None
         if s.category in ("bass_note", "vox_chop") and len(y) > 0.05 * rate:
             hz = dsp.yin(y, rate, *((30.0, 400.0) if s.stem == "bass" else (80.0, 1000.0)))
         elif s.category == "stab" and len(y) > 2048:
@@ -76,7 +76,7 @@ def find_notes(found: DataFrame, kept: DataFrame, blocks: DataFrame) -> DataFram
     """song_id, id, note: pitches and chords of the slices that are kept, and of no others."""
     chosen = found.join(kept.select("song_id", F.col("slice_id").alias("id")), ["song_id", "id"], "left_semi").where(F.col("category").isin("bass_note", "vox_chop", "stab"))
     flat = chosen.select("song_id", "stem", "id", "category", "start", "end")
-    told = flat.groupBy("song_id", "stem").cogroup(mono_blocks(blocks).groupBy("song_id", "stem")).applyInPandas(_tones, "song_id string, id string, hz double, chroma array<double>")
+    told = fr.with_audio(flat, mono_blocks(blocks), _tones, "song_id string, id string, hz double, chroma array<double>", margin=0)
     pitch = told.where("hz is not null and not isnan(hz)").select("song_id", "id", labels.note_name("hz").alias("note"))
     fold = told.where("chroma is not null").select("song_id", "id", F.posexplode("chroma").alias("pc", "energy")).withColumn("pc", F.col("pc").cast("long"))
     silent = fold.groupBy("song_id", "id").agg(F.max("energy").alias("top")).where("top < 1e-6")
@@ -114,6 +114,23 @@ def split_files(blocks: DataFrame, facts: DataFrame, *, format: str = "wav", bit
     return files.join(facts.select("song_id", "bpm", "key_short"), "song_id").select("song_id", name.alias("file"), "content")
 
 
+def split_documents(
+    songs: DataFrame, files: DataFrame, *, rate: int, bits: int | None, format: str = "wav", normalised: bool = False, vocal_model: str | None = None, stems: DataFrame | None = None
+) -> DataFrame:
+    """song_id, split: one JSON document a song, of (song_id, song, bpm, key) and of (song_id, part, file) of its pair and its stems."""
+
+    def named(df: DataFrame | None, name: str) -> DataFrame:
+        entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("part", "file"))))
+        return df.groupBy("song_id").agg(entries.alias(name))
+
+    none = F.create_map().cast("map<string,string>")
+    told = songs.join(named(files, "files"), "song_id", "left")
+    told = told.join(named(stems, "stems"), "song_id", "left") if stems is not None else told.withColumn("stems", none)
+    facts = {"format": format, "sample_rate": rate, "bit_depth": None if format == "mp3" else bits, "normalized": normalised, "vocal_model": vocal_model}
+    fields = ["song", "bpm", "key", *[F.lit(v).alias(k) for k, v in facts.items()], F.coalesce("files", none).alias("files"), F.coalesce("stems", none).alias("stems"), F.lit("work.wav").alias("original")]
+    return told.select("song_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("split"))
+
+
 def write_files(files: DataFrame, folder: str) -> DataFrame:
     """Write each row's content to folder/song_id/file from the tasks; returns (song_id, file, bytes).
 

@@ -9,29 +9,26 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scoring, signal
 from tessella.operators import clusters
+from tessella.operators import frames as fr
 from tessella.plans.candidates import mono_blocks
 
-PARTS = ("isolation", "clarity", "loudness", "loopability", "uniqueness")
-
-
 def _energies(key, windows: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-    """Energy of each window in one stem, as differences of a running sum."""
-    x = np.concatenate([np.asarray(v, np.float64) for v in blocks.sort_values("block_idx")["x"]]) if len(blocks) else np.zeros(0)
-    until = np.concatenate(([0.0], np.cumsum(x**2)))
-    a, b = (np.minimum(windows[c].to_numpy(), len(x)) for c in ("start", "end"))
-    return pd.DataFrame({"song_id": windows["song_id"], "id": windows["id"], "stem": key[1], "energy": until[np.maximum(a, b)] - until[a]})
+    """Energy of windows in one stem, as differences of a running sum over the blocks that they reach."""
+    energy = np.zeros(len(windows))
+    if len(blocks):
+        base, x = fr.put_together(blocks, "x")
+        until = np.concatenate(([0.0], np.cumsum(x**2)))
+        a, b = (np.clip(windows[c].to_numpy(np.int64) - base, 0, len(x)) for c in ("start", "end"))
+        energy = until[np.maximum(a, b)] - until[a]
+    return pd.DataFrame({"song_id": windows["song_id"], "id": windows["id"], "own": windows["own"] == key[1], "energy": energy})
 
 
 def isolation(found: DataFrame, blocks: DataFrame) -> DataFrame:
     """song_id, id, isolation: a window's energy in its own stem against that in all stems."""
-    stems = blocks.where("block_idx = 0").select("song_id", F.col("stem").alias("in_stem"))
+    stems = blocks.where("block_idx = 0").select("song_id", "stem")
     windows = found.select("song_id", "id", F.col("stem").alias("own"), "start", "end").join(stems, "song_id")
-    told = (
-        windows.groupBy("song_id", "in_stem").cogroup(mono_blocks(blocks).withColumnRenamed("stem", "in_stem").groupBy("song_id", "in_stem"))
-        .applyInPandas(_energies, "song_id string, id string, stem string, energy double")
-    )
-    told = told.join(found.select("song_id", "id", F.col("stem").alias("own")), ["song_id", "id"])
-    mine = F.sum(F.when(F.col("stem") == F.col("own"), F.col("energy")).otherwise(0.0))
+    told = fr.with_audio(windows, mono_blocks(blocks), _energies, "song_id string, id string, own boolean, energy double", margin=0)
+    mine = F.sum(F.when(F.col("own"), F.col("energy")).otherwise(0.0))
     return told.groupBy("song_id", "id").agg(scoring.isolation(mine, F.sum("energy")).alias("isolation"))
 
 
@@ -53,5 +50,4 @@ def score(found: DataFrame, blocks: DataFrame, cfg: dict) -> DataFrame:
     rows = clusters.leaders(rows.select(*keep), group=["song_id", "stem", "category"], vector="timbre", score="prelim", ties="ord", threshold=s["duplicate_similarity"])
     rows = clusters.numbered(rows, group=["stem", "category"], by=["song_id"], ties="ord")
     rows = rows.withColumn("uniqueness", F.when(F.col("representative"), 1.0).otherwise(signal.clip(1.0 - F.col("similarity"))))
-    rows = rows.withColumns({p: F.round(p, 4) for p in PARTS})
-    return rows.withColumn("score", F.round(scoring.weighted({p: p for p in PARTS}, s["weights"]), 4)).drop("prelim", "leader", "similarity")
+    return scoring.final_score(rows, s["weights"]).drop("prelim", "leader", "similarity")
