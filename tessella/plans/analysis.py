@@ -41,7 +41,7 @@ def track_beats(frames: DataFrame, songs: DataFrame, low: float = 70, high: floa
     follows is windows over all songs. Songs without two beats get 120 a minute.
     """
     rate = songs.select("song_id", "rate")
-    raw = frames.select("song_id", "frame", "onset").join(F.broadcast(rate), "song_id")
+    raw = frames.select("song_id", "frame", "onset").join(rate, "song_id")
     raw = raw.groupBy("song_id").applyInPandas(_track, "song_id string, bpm double, t_s double")
     counted = raw.withColumn("_n", F.count("*").over(Window.partitionBy("song_id"))).where("_n >= 2")
     up = F.greatest(F.ceil(F.log2(F.lit(float(low)) / F.col("bpm"))), F.lit(0)).cast("int")
@@ -59,9 +59,20 @@ def track_beats(frames: DataFrame, songs: DataFrame, low: float = 70, high: floa
     )
     tempo = tempo.select("song_id", F.when((F.col("n") > 4) & (F.col("period") > 0), 60 / F.col("period")).otherwise(F.col("folded")).alias("bpm"))
     found = split.select("song_id", "idx", "t_s").join(tempo, "song_id")
-    bare = songs.join(tempo, "song_id", "left_anti").where("duration_s > 0")
-    bare = bare.withColumn("idx", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("duration_s") / 0.5).cast("int") - 1, F.lit(0)))))
-    return found.unionByName(bare.select("song_id", "idx", (F.col("idx") * 0.5).alias("t_s"), F.lit(120.0).alias("bpm")))
+    return found.unionByName(fallback_beats(songs.join(tempo, "song_id", "left_anti").where("duration_s > 0")))
+
+
+def fallback_beats(songs: DataFrame) -> DataFrame:
+    """song_id, idx, t_s, bpm: 120 beats a minute to the end of each song."""
+    last = F.greatest(F.ceil(F.col("duration_s") / 0.5).cast("int") - 1, F.lit(0))
+    beats = songs.select("song_id", F.explode(F.sequence(F.lit(0), last)).alias("idx"))
+    return beats.select("song_id", "idx", (F.col("idx") * 0.5).alias("t_s"), F.lit(120.0).alias("bpm"))
+
+
+def long_sections(found: DataFrame, least_s: float = 0.5) -> DataFrame:
+    """Sections longer than ``least_s``, their times rounded."""
+    found = found.withColumns({"start_s": F.round("start_s", 3), "end_s": F.round("end_s", 3)})
+    return found.where(F.col("end_s") - F.col("start_s") > least_s)
 
 
 def beat_means(frames: DataFrame, beats: DataFrame, arrays: dict[str, int], scalars: list[str] = ()) -> DataFrame:
@@ -81,7 +92,7 @@ def find_downbeats(frames: DataFrame, beats: DataFrame, synced: DataFrame, songs
 
     before = F.lag("chroma").over(Window.partitionBy("song_id").orderBy("segment"))
     change = synced.withColumn("change", F.coalesce(1 - cosine("chroma", before), F.lit(0.0))).select("song_id", (F.col("segment") - 1).alias("idx"), "change")
-    rated = beats.join(F.broadcast(songs.select("song_id", "rate")), "song_id")
+    rated = beats.join(songs.select("song_id", "rate"), "song_id")
     rated = rated.withColumn("frame", F.round(F.col("t_s") * F.col("rate") / dsp.HOP).cast("int"))
     cued = rated.join(frames.select("song_id", "frame", "low_onset"), ["song_id", "frame"], "left").join(change, ["song_id", "idx"], "left")
     cued = cued.fillna(0.0, ["low_onset", "change"])
@@ -139,9 +150,8 @@ def find_sections(synced: DataFrame, beats: DataFrame, songs: DataFrame) -> Data
     found = long.groupBy("song_id").applyInPandas(_sectioned, "song_id string, label string, start_s double, end_s double")
     rest = songs.join(long.select("song_id").distinct(), "song_id", "left_anti")
     found = found.unionByName(rest.select("song_id", F.lit("A").alias("label"), F.lit(0.0).alias("start_s"), F.col("duration_s").alias("end_s")))
-    found = found.where("end_s - start_s > 0.5")
     order = F.row_number().over(Window.partitionBy("song_id").orderBy("start_s"))
-    return found.select("song_id", order.alias("idx"), "label", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"))
+    return long_sections(found).select("song_id", order.alias("idx"), "label", "start_s", "end_s")
 
 
 def song_facts(blocks: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import labels
+from tessella.functions import dsp, labels
+from tessella.sources import wav
+from tessella.workers import prepare
 
 
 def export_plan(pads: DataFrame, slices: DataFrame, *, top_first: bool = True, extras: bool = False) -> DataFrame:
@@ -30,6 +33,35 @@ def export_plan(pads: DataFrame, slices: DataFrame, *, top_first: bool = True, e
     return plan.unionByName(left.select("song_id", "path", "slice_id"), allowMissingColumns=True)
 
 
+def _exported(rate: int, bits: int):
+    def run(batches):
+        for batch in batches:
+            files = []
+            for raw in batch["content"]:
+                if raw.is_valid:
+                    own, x = wav.decode(raw.as_py())
+                    files.append(wav.encode(dsp.resampled(x, own, rate), rate, bits))
+                else:
+                    files.append(wav.encode(wav.silence(rate), rate, bits))
+            yield pa.RecordBatch.from_arrays([batch["song_id"], batch["file"], pa.array(files, pa.binary())], names=["song_id", "file", "content"])
+
+    return run
+
+
+def export_files(plan: DataFrame, rendered: DataFrame, maps: DataFrame, *, rate: int = 48000, bits: int = 24) -> DataFrame:
+    """song_id, file, content of every planned file at one rate, silence for empty pads, and the pad maps as README.txt.
+
+    ``rendered`` is (song_id, id, content), ``maps`` is ``pad_maps``.
+    """
+    prepare(plan.sparkSession)
+    sound = rendered.select("song_id", F.col("id").alias("slice_id"), "content")
+    files = plan.select("song_id", F.col("path").alias("file"), "slice_id").join(sound, ["song_id", "slice_id"], "left")
+    made = files.select("song_id", "file", "content").mapInArrow(_exported(rate, bits), "song_id string, file string, content binary")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bank", "map"))), lambda b: F.concat(F.lit("Bank "), b["bank"], F.lit("\n"), b["map"])), "\n\n")
+    readme = maps.groupBy(F.col("song_id").cast("string").alias("song_id")).agg(F.encode(text, "UTF-8").alias("content"))
+    return made.unionByName(readme.select("song_id", F.lit("README.txt").alias("file"), "content"))
+
+
 def folder_name(kit_name, bpm, key_short):
     """A kit's folder: its cleaned name, tempo and key."""
     name = F.regexp_replace(labels.export_clean(kit_name), "_", " ")

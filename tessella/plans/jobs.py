@@ -9,6 +9,19 @@ STAGES = ("ingest", "separate", "analyze", "pick", "render", "split")
 MODES = {"kit": ("ingest", "separate", "analyze", "pick", "render"), "split": ("ingest", "separate", "analyze", "split")}
 
 
+#: What a stage is called while it runs.
+LABELS = {
+    "ingest": "Loading", "separate": "Separating stems", "analyze": "Analyzing tempo and key", "pick": "Finding the best moments",
+    "render": "Building your kit", "split": "Writing the acapella and instrumental",
+}
+
+
+def stage_label(stage, mode: str):
+    """A column of labels; a split only separates the vocals."""
+    said = LABELS | ({"separate": "Separating the vocals"} if mode == "split" else {})
+    return F.create_map(*[F.lit(x) for s in MODES[mode] for x in (s, said[s])])[F.col(stage)]
+
+
 def latest_status(log: DataFrame, *, by: list[str], order: list[str], value: str) -> DataFrame:
     """The last value of each key; one aggregation, no sort of a key's rows."""
     return log.groupBy(*by).agg(F.max_by(value, F.struct(*order)).alias(value))
@@ -26,6 +39,16 @@ def invalidate_from(stages: DataFrame, first: str) -> DataFrame:
     return stages.where(F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage")) < STAGES.index(first) + 1)
 
 
+def still_valid(stages: DataFrame, before: DataFrame, now: DataFrame) -> DataFrame:
+    """Stages of the jobs whose source is the same as before and that aren't forced; those of others all go.
+
+    ``before`` is (song_id, source), ``now`` is (song_id, source, force).
+    """
+    old = before.select("song_id", F.col("source").alias("_old"))
+    other = now.join(old, "song_id", "left").where(F.col("force") | (F.col("_old").isNotNull() & (F.col("_old") != F.col("source"))))
+    return stages.join(other.select("song_id"), "song_id", "left_anti")
+
+
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``changes`` replace those of equal keys."""
     return table.join(changes, keys, "left_anti").unionByName(changes)
@@ -42,6 +65,6 @@ def todo(done: DataFrame, mode: str) -> DataFrame:
     wanted = F.array(*map(F.lit, MODES[mode]))
     have = done.where(F.col("status") == "done").groupBy("song_id").agg(F.collect_set("stage").alias("_have"))
     songs = done.select("song_id").distinct().join(have, "song_id", "left")
-    first = F.coalesce(F.element_at(F.filter(wanted, lambda s: ~F.array_contains(F.coalesce("_have", F.array().cast("array<string>")), s)), 1), F.lit(""))
+    first = F.coalesce(F.get(F.filter(wanted, lambda s: ~F.array_contains(F.coalesce("_have", F.array().cast("array<string>")), s)), 0), F.lit(""))
     rest = F.when(first != "", F.slice(wanted, F.array_position(wanted, first).cast("int"), len(MODES[mode]))).otherwise(F.array().cast("array<string>"))
     return songs.select("song_id", F.explode(rest).alias("stage"))

@@ -84,8 +84,13 @@ def build(found: DataFrame, pads: DataFrame, kept: DataFrame, analysis: Analysis
         F.struct(fade["fade_in_ms"].alias("fade_in_ms"), fade["fade_out_ms"].alias("fade_out_ms"), level.alias("normalize_dbfs"), F.lit(False).alias("reverse"), F.when(loop, "loop").otherwise("one_shot").alias("playback")).alias("render"),
         "kept_ord",
     )
+    return slices, pad_rows(pads)
+
+
+def pad_rows(pads: DataFrame) -> DataFrame:
+    """Pads with their bank and note."""
     i = F.col("pad") - 1
-    return slices, pads.select("song_id", "pad", labels.bank(i).alias("bank"), (F.lit(36) + F.pmod(i, F.lit(16))).alias("midi_note"), "slice_id")
+    return pads.select("song_id", "pad", labels.bank(i).alias("bank"), (F.lit(36) + F.pmod(i, F.lit(16))).alias("midi_note"), "slice_id")
 
 
 def kit_documents(slices: DataFrame, pads: DataFrame, analysis: Analysis) -> DataFrame:
@@ -99,7 +104,7 @@ def kit_documents(slices: DataFrame, pads: DataFrame, analysis: Analysis) -> Dat
     return every.select("song_id", F.to_json(F.struct(F.lit(1).alias("schema_version"), name, "analysis", "pads", "slices")).alias("kit"))
 
 
-def swap_pad(pads: DataFrame, song: str, pad: int, slice_id: str | None) -> DataFrame:
+def swap_pad(pads: DataFrame, song, pad: int, slice_id: str | None) -> DataFrame:
     """Put another slice on one pad."""
     here = (F.col("song_id") == song) & (F.col("pad") == pad)
     return pads.withColumn("slice_id", F.when(here, F.lit(slice_id)).otherwise(F.col("slice_id")))

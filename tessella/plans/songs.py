@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,25 +25,34 @@ class Kits:
         return kit.kit_documents(self.slices, self.pads, self.analysis)
 
 
-def keeper(spark: SparkSession, folder: str) -> Callable[[DataFrame, str], DataFrame]:
-    """Stage outputs as Parquet under ``folder``; one that is there already is read instead of made.
+def keeper(spark: SparkSession, folder: str, told: str = "") -> Callable[[DataFrame, str], DataFrame]:
+    """Stage outputs as Parquet under ``folder``; one that was written whole is read instead of made.
 
-    A stage that was written whole survives lost executors and later runs;
-    removing its folder and the later ones runs them again.
+    ``told`` says what the stages depend on; other settings or inputs have
+    folders of their own. Only a folder that Spark has marked as a success
+    counts; what a run that was broken off has left is written again.
     """
+    mark = hashlib.sha256(told.encode()).hexdigest()[:16]
 
     def keep(df: DataFrame, name: str) -> DataFrame:
-        path = f"{folder}/{name}"
-        df.write.mode("ignore").parquet(path)
+        path = f"{folder}/{mark}/{name}"
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     return keep
 
 
-def make_kits(mix: DataFrame, stems: DataFrame, cfg: dict, folder: str) -> Kits:
-    """Kits of all songs whose mixes and stems are given as sample blocks; stages are kept under ``folder``."""
+def make_kits(mix: DataFrame, stems: DataFrame, cfg: dict, folder: str, source: str = "") -> Kits:
+    """Kits of all songs whose mixes and stems are given as sample blocks; stages are kept under ``folder``.
+
+    A run with the same settings, input files and ``source`` (a digest of the
+    songs, say) goes on where the last one stopped; any other begins anew.
+    """
     prepare(mix.sparkSession)
-    a, keep = cfg["analysis"], keeper(mix.sparkSession, folder)
+    told = json.dumps([cfg, source, sorted(mix.inputFiles()), sorted(stems.inputFiles())], sort_keys=True)
+    a, keep = cfg["analysis"], keeper(mix.sparkSession, folder, told)
     found = analysis.analyse(keep(fr.features(mix), "mix_frames"), analysis.song_facts(mix), keep, a["min_bpm"], a["max_bpm"])
     frames = keep(fr.features(stems), "stem_frames")
     raw = keep(candidates.find_candidates(frames, stems, found, cfg), "candidates")
