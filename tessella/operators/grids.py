@@ -32,11 +32,27 @@ def grid_loops(grid: DataFrame, *, start: str, lengths: dict, limit: str, bars:
     return loops.where(F.col("end") <= F.col(limit)).drop("_loop")
 
 
-def prefix_energy(df: DataFrame, *, by: Sequence[str], order: str, energy: str) -> DataFrame:
-    """Add the energy of all rows ``before`` and ``until`` a row, so any window's is a difference."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("until", F.sum(energy).over(w))
-    return df.withColumn("before", F.col("until") - F.col(energy))
+def prefix_energy(df: DataFrame, *, by: Sequence[str], order: str, energy: str, block: str | None = None) -> DataFrame:
+    """Add the energy of all rows ``before`` and ``until`` a row, so any window's is a difference.
+
+    With ``block``, a column that never falls along the order, sums run within
+    blocks, and those of the blocks before are added.
+    """
+    w = Window.partitionBy(*by, *([block] if block else [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = df.withColumn("until", F.sum(energy).over(w))
+    if block:
+        sizes = df.groupBy(*by, block).agg(F.sum(energy).alias("_e"))
+        before = Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+        bases = sizes.select(*by, block, F.coalesce(F.sum("_e").over(before), F.lit(0.0)).alias("_base"))
+        sums = sums.join(bases, [*by, block]).withColumn("until", F.col("_base") + F.col("until")).drop("_base")
+    return sums.withColumn("before", F.col("until") - F.col(energy))
+
+
+def loud_end(frames: DataFrame, *, by: Sequence[str], frame: str, peak: str, db: float) -> DataFrame:
+    """``last``: of each group the last frame whose peak is less than ``db`` below the highest; two aggregations."""
+    tops = frames.groupBy(*by).agg(F.max(peak).alias("_top"))
+    loud = F.col(peak) > F.col("_top") * F.pow(F.lit(10.0), F.lit(-db / 20.0))
+    return frames.join(tops, list(by)).groupBy(*by).agg(F.max(F.when(loud, F.col(frame))).alias("last"))
 
 
 def halved(beats: DataFrame, *, by: Sequence[str], index: str) -> DataFrame:

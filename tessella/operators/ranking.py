@@ -17,6 +17,35 @@ def stable_rank(df: DataFrame, name: str, by: Sequence[str | Column], order: Seq
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
 
 
+def block_rank(df: DataFrame, name: str, *, by: Sequence[str], block: Column | str, order: Sequence[str | Column]) -> DataFrame:
+    """``stable_rank`` of large groups: rows rank within blocks, and the counts of the blocks before are added.
+
+    ``block`` never falls along the order (a day of a timestamp, say), so no
+    task sorts more than a block of a group.
+    """
+    by = list(by)
+    df = df.withColumn("_block", F.col(block) if isinstance(block, str) else block)
+    sizes = df.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(*by, F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    for c in by:
+        bases = bases.withColumnRenamed(c, f"_by_{c}")
+    within = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(*order))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col("_block").eqNullSafe(F.col("_b"))]
+    ranked = df.withColumn("_within", within).join(bases, same)
+    return ranked.withColumn(name, (F.col("_base") + F.col("_within")).cast("long")).drop("_block", "_b", "_base", "_within", *[f"_by_{c}" for c in by])
+
+
+def with_halo(df: DataFrame, *, index: str, size: int, halo: int) -> DataFrame:
+    """Add ``chunk``, ``size`` places of ``index`` each, and ``own``; rows up to ``halo`` places outside a chunk are repeated in it.
+
+    Windows over (group, chunk) then see all neighbours of the rows that a chunk owns.
+    """
+    first, last = (F.floor((F.col(index) + k) / size).cast("long") for k in (-halo, halo))
+    spread = df.withColumn("chunk", F.explode(F.sequence(first, last)))
+    return spread.withColumn("own", F.col("chunk") == F.floor(F.col(index) / size))
+
+
 def keep_top(df: DataFrame, n: int | Column, by: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first n of each group."""
     return stable_rank(df, "_rank", by, order).where(F.col("_rank") <= n).drop("_rank")
@@ -36,20 +65,20 @@ def deal(
     Adds ``deal_rank``. A cycle takes the best not yet dealt of every queue that
     has one, so the deal is the order by (rank in the queue, queue).
     """
-    ranked = stable_rank(df, "_cycle", [*group, queue], [F.desc(score), ties])
+    ranked = stable_rank(df, "_cycle", [*group, queue], [F.desc(score), ties]).where(F.col("_cycle") <= count)
     ranked = stable_rank(ranked, "deal_rank", group, ["_cycle", queue_order, F.desc(score), ties])
     return ranked.where(F.col("deal_rank") <= count).drop("_cycle")
 
 
-def pair_in_order(empty: DataFrame, rest: DataFrame, empty_order: Sequence, rest_order: Sequence, by: Sequence[str] = ()) -> DataFrame:
+def pair_in_order(
+    empty: DataFrame, rest: DataFrame, empty_order: Sequence, rest_order: Sequence, by: Sequence[str] = (), blocks: tuple | None = None
+) -> DataFrame:
     """The k-th of ``empty`` gets the k-th of ``rest``, within ``by``; what has no partner goes.
 
-    Without ``by`` the ranks go through everything; then only as many of
-    ``rest`` as there are of ``empty`` are ranked, chosen by a top-k.
+    ``blocks``, a column for each side that never falls along its order, ranks
+    large groups, or everything where ``by`` is empty, block by block.
     """
     by = list(by)
-    if not by:
-        rest = rest.orderBy(*rest_order).limit(empty.count())
-    a = stable_rank(empty, "_k", by, empty_order)
-    b = stable_rank(rest, "_k", by, rest_order)
+    a = block_rank(empty, "_k", by=by, block=blocks[0], order=empty_order) if blocks else stable_rank(empty, "_k", by, empty_order)
+    b = block_rank(rest, "_k", by=by, block=blocks[1], order=rest_order) if blocks else stable_rank(rest, "_k", by, rest_order)
     return a.join(b, [*by, "_k"]).drop("_k")

@@ -42,6 +42,18 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EVENTS = "SELECT *, (epoch_us(ts) - 1704067200000000) / 1e6 AS t_s FROM events"
 TIME = ["ts", "event_id"]
+#: A stem has very many events; they are ranked day by day, and neighbours are looked at in chunks.
+CHUNK = 4096
+
+
+def indexed(e: DataFrame, name: str = "idx") -> DataFrame:
+    """Events with their place in the stem, from 1."""
+    return ranking.block_rank(e, name, by=["event_type"], block=F.to_date("ts"), order=TIME)
+
+
+def chunks(e: DataFrame, halo: int) -> tuple[DataFrame, Window]:
+    """Indexed events in chunks with their neighbours, and the window that goes along them."""
+    return ranking.with_halo(e, index="idx", size=CHUNK, halo=halo), Window.partitionBy("event_type", "chunk").orderBy("idx")
 
 
 def r(x, n: int = 4):
@@ -97,11 +109,11 @@ SELECT w.event_type, target::BIGINT AS target, coalesce(arg_min(idx, abs(idx - t
 FROM w LEFT JOIN z ON z.event_type = w.event_type AND abs(idx - target) <= 20 GROUP BY w.event_type, w.target""")
 def q06_zero_crossing(spark, sf_dir):
     """The sign change nearest to each of some places, within 20, else the place; the first of equals."""
-    centred = F.col("value") - F.avg("value").over(Window.partitionBy("event_type"))
-    e = ranking.stable_rank(table(spark, sf_dir, "events").withColumn("x", centred), "idx", ["event_type"], TIME)
-    before = F.lag("x").over(Window.partitionBy("event_type").orderBy("idx"))
-    z = e.withColumn("before", before).where("(x < 0) <> (before < 0)").select("event_type", "idx")
-    targets = e.select("event_type").distinct().withColumn("target", F.explode(F.array(*[F.lit(x).cast("long") for x in (100, 200, 300, 400)])))
+    e = table(spark, sf_dir, "events")
+    means = e.groupBy("event_type").agg(F.avg("value").alias("mean"))
+    e, w = chunks(indexed(e.join(means, "event_type").withColumn("x", F.col("value") - F.col("mean"))), 1)
+    z = e.withColumn("before", F.lag("x").over(w)).where("own and (x < 0) <> (before < 0)").select("event_type", "idx")
+    targets = means.select("event_type").withColumn("target", F.explode(F.array(*[F.lit(x).cast("long") for x in (100, 200, 300, 400)])))
     near = targets.join(z, "event_type").where(F.abs(F.col("idx") - F.col("target")) <= 20)
     near = near.groupBy("event_type", "target").agg(F.min_by("idx", F.struct(F.abs(F.col("idx") - F.col("target")), "idx")).alias("crossing"))
     return targets.join(near, ["event_type", "target"], "left").withColumn("crossing", F.coalesce("crossing", "target"))
@@ -120,10 +132,9 @@ def q07_peak_normalise(spark, sf_dir):
 SELECT event_type, row_number() OVER w AS idx, sqrt(avg(value * value) OVER (w ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) + 1e-10) AS level
 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) WHERE idx % 4 = 0""")
 def q08_framed_rms(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy(*TIME)
+    e, w = chunks(indexed(table(spark, sf_dir, "events")), 7)
     level = F.sqrt(F.avg(F.col("value") * F.col("value")).over(w.rowsBetween(-7, 0)) + signal.EPS)
-    e = table(spark, sf_dir, "events").select("event_type", F.row_number().over(w).alias("idx"), level.alias("level"))
-    return e.where("idx % 4 = 0").select("event_type", (F.col("idx") / 4).cast("long").alias("frame"), r("level").alias("level"))
+    return e.withColumn("level", level).where("own and idx % 4 = 0").select("event_type", (F.col("idx") / 4).cast("long").alias("frame"), r("level").alias("level"))
 
 
 FOLD = "SELECT event_type, (floor(value)::BIGINT % 12) AS pc, sum(value) AS energy FROM events GROUP BY 1, 2"
@@ -151,7 +162,7 @@ def q10_grid_tempo(spark, sf_dir):
 count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, (k // greatest(1, n // 50))::BIGINT AS bucket, max(abs(value)) AS peak FROM i GROUP BY 1, 2""")
 def q11_waveform_peaks(spark, sf_dir):
-    e = ranking.stable_rank(table(spark, sf_dir, "events"), "k", ["event_type"], TIME)
+    e = indexed(table(spark, sf_dir, "events"), "k")
     sizes = e.groupBy("event_type").agg(F.count("*").alias("n"))
     step = F.greatest(F.lit(1), F.floor(F.col("n") / 50))
     e = e.join(sizes, "event_type").withColumn("bucket", F.floor((F.col("k") - 1) / step).cast("long"))
@@ -215,12 +226,13 @@ def q16_key_templates(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT o_orderkey, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::BIGINT AS day FROM orders),
-s AS (SELECT 'S' || i AS label, i, (i * 80)::BIGINT AS start_d, (i * 80 + 95)::BIGINT AS end_d FROM (SELECT unnest(range(0, 30)) AS i))
+s AS (SELECT n_name AS label, n_nationkey AS i, (n_nationkey * 95)::BIGINT AS start_d, (n_nationkey * 95 + 110)::BIGINT AS end_d FROM nation)
 SELECT o_orderkey, day, arg_min(label, i) AS section FROM o LEFT JOIN s ON day >= start_d AND day < end_d GROUP BY 1, 2""")
 def q17_section_at(spark, sf_dir):
     """The first of overlapping sections that holds an order's day, or null."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_diff("o_orderdate", F.lit("1992-01-01").cast("date")).cast("long").alias("day"))
-    s = spark.range(30).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("section"), F.col("id").alias("i"), (F.col("id") * 80).alias("start_d"), (F.col("id") * 80 + 95).alias("end_d"))
+    start = (F.col("n_nationkey") * 95).cast("long")
+    s = table(spark, sf_dir, "nation").select(F.col("n_name").alias("section"), F.col("n_nationkey").alias("i"), start.alias("start_d"), (start + 110).alias("end_d"))
     found = intervals.first_interval(o, s, point="day", start="start_d", end="end_d", index="i", label="section", width=90, id_col="o_orderkey")
     return found.select("o_orderkey", "day", "section")
 
@@ -245,8 +257,8 @@ QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY power DESC, start_da
 def q19_grid_loops(spark, sf_dir):
     """Loops of 1, 2 and 4 days from each day, the ten of the highest power of each stem."""
     d = events(spark, sf_dir).groupBy("event_type", F.floor(F.col("t_s") / DAY_S).cast("long").alias("day")).agg(F.sum(F.col("value") * F.col("value")).alias("energy"))
-    n = d.agg((F.max("day") + 1).alias("n"))
-    loops = grids.grid_loops(d.select("event_type", "day").crossJoin(F.broadcast(n)), start="day", lengths={1: 1, 2: 2, 4: 4}, limit="n")
+    n = d.agg((F.max("day") + 1).alias("n")).scalar()
+    loops = grids.grid_loops(d.select("event_type", "day", n.alias("n")), start="day", lengths={1: 1, 2: 2, 4: 4}, limit="n")
     index = grids.prefix_energy(d, by=["event_type"], order="day", energy="energy")
     ends = index.select("event_type", F.col("day").alias("last_day"), F.col("until").alias("to"))
     loops = loops.join(index.select("event_type", "day", F.col("before").alias("from")), ["event_type", "day"])
@@ -297,7 +309,10 @@ def q21_slots_and_leftovers(spark, sf_dir):
     filled = slots.join(best.select("p_brand", "slot", "p_partkey"), ["p_brand", "slot"], "left")
     empty = filled.where("p_partkey is null")
     rest = p.join(filled.where("p_partkey is not null"), "p_partkey", "left_anti").select("p_partkey", "p_retailprice")
-    pairs = ranking.pair_in_order(empty.select("p_brand", "slot"), rest, ["p_brand", "slot"], [F.desc("p_retailprice"), "p_partkey"])
+    pairs = ranking.pair_in_order(
+        empty.select("p_brand", "slot"), rest, ["p_brand", "slot"], [F.desc("p_retailprice"), "p_partkey"],
+        blocks=(F.col("p_brand"), -F.floor(F.col("p_retailprice") / 10)),
+    )
     pairs = pairs.select("p_brand", "slot", F.col("p_partkey").alias("extra"))
     out = filled.join(pairs, ["p_brand", "slot"], "left")
     return out.select("p_brand", "slot", F.coalesce("p_partkey", "extra").alias("p_partkey"), (F.col("p_partkey").isNull() & F.col("extra").isNotNull()).alias("leftover"))
@@ -308,9 +323,11 @@ SELECT stem, category, ord, score, representative, row_number() OVER (PARTITION
 FROM c WHERE score > 0 AND ord NOT IN (SELECT ord FROM pads)
 QUALIFY row_number() OVER (PARTITION BY stem ORDER BY representative DESC, score DESC, ord) <= 20""")
 def q22_backups(spark, sf_dir):
-    pads = q20_round_robin(spark, sf_dir).select("ord")
-    rest = candidates(spark, sf_dir).where("score > 0").join(pads, "ord", "left_anti")
-    rest = ranking.stable_rank(rest, "backup", ["stem"], [F.desc("representative"), F.desc("score"), "ord"])
+    """The best that are on no pad: of each stem those that would be left of as many more as there are pads."""
+    order = [F.desc("representative"), F.desc("score"), "ord"]
+    pads = q20_round_robin(spark, sf_dir).select("stem", "ord")
+    rest = ranking.keep_top(candidates(spark, sf_dir).where("score > 0"), 20 + 16, ["stem"], order)
+    rest = ranking.stable_rank(rest.join(pads, ["stem", "ord"], "left_anti"), "backup", ["stem"], order)
     return rest.where("backup <= 20").select("stem", "category", "ord", "score", "representative", "backup")
 
 
@@ -364,8 +381,8 @@ def q26_chops_in_islands(spark, sf_dir):
 @query(f"""WITH i AS (SELECT event_type, row_number() OVER w AS idx, sum(value * value) OVER (w ROWS UNBOUNDED PRECEDING) AS until FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
 SELECT a.event_type, a.idx AS first_idx, round(b.until - a.until, 4) AS energy FROM i a JOIN i b ON a.event_type = b.event_type AND b.idx = a.idx + 32 WHERE a.idx % 16 = 0""")
 def q27_prefix_energy(spark, sf_dir):
-    e = ranking.stable_rank(table(spark, sf_dir, "events"), "idx", ["event_type"], TIME).withColumn("energy", F.col("value") * F.col("value"))
-    index = grids.prefix_energy(e, by=["event_type"], order="idx", energy="energy").select("event_type", "idx", "until")
+    e = indexed(table(spark, sf_dir, "events")).withColumns({"energy": F.col("value") * F.col("value"), "chunk": F.floor(F.col("idx") / CHUNK)})
+    index = grids.prefix_energy(e, by=["event_type"], order="idx", energy="energy", block="chunk").select("event_type", "idx", "until")
     a = index.where("idx % 16 = 0").select("event_type", F.col("idx").alias("first_idx"), F.col("until").alias("from"), (F.col("idx") + 32).alias("idx"))
     return a.join(index, ["event_type", "idx"]).select("event_type", "first_idx", r(F.col("until") - F.col("from"), 4).alias("energy"))
 
@@ -426,20 +443,34 @@ def q32_weighted_score(spark, sf_dir):
 
 
 def clustered(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("stem"), F.lit("vec").alias("category"), F.col("vec_id").alias("ord"), F.lit(0.5).alias("prelim"), F.col("embedding").alias("timbre"))
-    return clusters.leaders(e, group=["stem", "category"], vector="timbre", score="prelim", ties="ord", threshold=0.3)
+    """Songs of 400 vectors at most, as the candidates of a category are, with labels as stems."""
+    song = F.floor(F.col("vec_id") / 400).cast("long")
+    e = table(spark, sf_dir, "embeddings").select(song.alias("song"), F.col("label").cast("string").alias("stem"), F.col("vec_id").alias("ord"), (F.col("vec_id") % 7).cast("double").alias("prelim"), F.col("embedding").alias("timbre"))
+    return clusters.leaders(e, group=["song", "stem"], vector="timbre", score="prelim", ties="ord", threshold=0.3)
+
+
+#: The leader pass as a recursion: each step brings the next row of every group to the leaders that the group has so far.
+LEADERS = """RECURSIVE e AS (SELECT vec_id // 400 AS song, label::VARCHAR AS stem, vec_id AS ord, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm,
+ row_number() OVER (PARTITION BY vec_id // 400, label ORDER BY vec_id % 7 DESC, vec_id) AS i FROM embeddings),
+pass AS (SELECT song, stem, ord, i, [{'v': v, 'norm': norm}] AS kept, 0::BIGINT AS leader, NULL::DOUBLE AS similarity FROM e WHERE i = 1
+UNION ALL SELECT song, stem, ord, i, CASE WHEN best >= 0.3 THEN kept ELSE list_append(kept, {'v': v, 'norm': norm}) END,
+ CASE WHEN best >= 0.3 THEN list_position(near, best) - 1 ELSE len(kept) END, CASE WHEN best >= 0.3 THEN best END
+ FROM (SELECT *, list_max(near) AS best FROM (SELECT e.*, p.kept, list_transform(p.kept, lambda k: greatest(0, 1 - list_distance(k.v, e.v) / (0.5 * (k.norm + e.norm) + 1e-10))) AS near
+  FROM pass p JOIN e ON e.song = p.song AND e.stem = p.stem AND e.i = p.i + 1)))"""
 
 
-@query()
+@query(f"WITH {LEADERS} SELECT song, stem, ord, leader, similarity IS NULL AS representative, round(similarity, 4) AS similarity FROM pass")
 def q33_leader_clusters(spark, sf_dir):
     found = clustered(spark, sf_dir)
-    return found.select("stem", "ord", F.col("leader").cast("long"), "representative", r("similarity").alias("similarity"))
+    return found.select("song", "stem", "ord", F.col("leader").cast("long"), "representative", r("similarity").alias("similarity"))
 
 
-@query()
+@query(f"""WITH {LEADERS}, g AS (SELECT song, stem, min(ord) AS first, max(leader) + 1 AS n FROM pass GROUP BY 1, 2),
+b AS (SELECT song, stem, coalesce(sum(n) OVER (PARTITION BY song ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM g)
+SELECT song, stem, ord, (base + leader)::BIGINT AS cluster FROM pass JOIN b USING (song, stem)""")
 def q34_cluster_numbers(spark, sf_dir):
-    """Clusters numbered through all groups, in the order in which the groups first appear."""
-    return clusters.numbered(clustered(spark, sf_dir), group=["stem", "category"], ties="ord").select("stem", "ord", "cluster")
+    """Clusters numbered through a song's groups, in the order in which the groups first appear."""
+    return clusters.numbered(clustered(spark, sf_dir), group=["stem"], by=["song"], ties="ord").select("song", "stem", "ord", "cluster")
 
 
 # ------------------------------------------------------------------ labels
@@ -462,9 +493,10 @@ def q35_slice_labels(spark, sf_dir):
     return p.select("p_partkey", labels.slice_label(*args).alias("label"), labels.slice_file(*args, labels.suffix(F.lit(120.2), F.lit("Fmin"))).alias("file"))
 
 
-@query("SELECT n, CASE WHEN (n - 1) // 26 = 0 THEN '' ELSE chr((64 + (n - 1) // 26)::INT) END || chr((65 + (n - 1) % 26)::INT) AS name FROM (SELECT unnest(range(1, 703)) AS n)")
+@query("""SELECT o_orderkey, array_to_string(list_reverse(list_transform(list_filter(list_zip([1, 26, 676, 17576, 456976, 11881376], [0, 26, 702, 18278, 475254, 12356630]), lambda p: o_orderkey > p[2]),
+ lambda p: chr((65 + ((o_orderkey - 1 - p[2]) // p[1]) % 26)::INT))), '') AS name FROM orders""")
 def q36_letters(spark, sf_dir):
-    return spark.range(1, 703).select(F.col("id").alias("n"), labels.letters("id").alias("name"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", labels.letters("o_orderkey").alias("name"))
 
 
 @query("""WITH m AS (SELECT p_partkey, round_even(69 + 12 * log2(p_retailprice / 440), 0)::BIGINT AS midi FROM part)
@@ -488,36 +520,39 @@ def q39_sanitise(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", labels.sanitised_song("url").alias("song"), labels.export_clean("url").alias("clean"))
 
 
-@query("""WITH v AS (SELECT unnest(['drums=6,vocals=4,bass=3,other=3', 'drums=16', 'bass=x,other=2', ' a = 1 , b=2']) AS spec),
-p AS (SELECT spec, unnest(string_split(spec, ',')) AS part, unnest(range(1, len(string_split(spec, ',')) + 1)) AS place FROM v)
-SELECT spec, place::BIGINT AS place, trim(string_split(part, '=')[1]) AS stem,
- CASE WHEN regexp_full_match(trim(string_split(part, '=')[2]), '[0-9]+') THEN trim(string_split(part, '=')[2])::BIGINT END AS count FROM p""")
+@query("""WITH v AS (SELECT p_partkey, 'drums=' || p_size || ',vocals=' || p_brand || ', bass = ' || p_partkey % 7 || CASE WHEN p_partkey % 3 = 0 THEN ',' ELSE ',other' END AS spec FROM part),
+p AS (SELECT p_partkey, unnest(string_split(spec, ',')) AS part, unnest(range(1, len(string_split(spec, ',')) + 1)) AS place FROM v)
+SELECT p_partkey, place::BIGINT AS place, trim(string_split(part, '=')[1]) AS stem,
+ CASE WHEN regexp_full_match(trim(string_split(part, '=')[2]), '[0-9]+') THEN trim(string_split(part, '=')[2])::BIGINT END AS count FROM p WHERE trim(part) <> ''""")
 def q40_pad_split(spark, sf_dir):
-    v = spark.createDataFrame([(x,) for x in ("drums=6,vocals=4,bass=3,other=3", "drums=16", "bass=x,other=2", " a = 1 , b=2")], "spec string")
-    v = v.select("spec", F.posexplode(labels.pad_split("spec")).alias("place", "pair"))
-    return v.select("spec", (F.col("place") + 1).cast("long").alias("place"), "pair.stem", F.col("pair.count").cast("long").alias("count"))
+    """Splits written by hand: blanks, missing and false numbers, a comma at the end."""
+    spec = F.concat(F.lit("drums="), F.col("p_size"), F.lit(",vocals="), "p_brand", F.lit(", bass = "), F.col("p_partkey") % 7, F.when(F.col("p_partkey") % 3 == 0, ",").otherwise(",other"))
+    v = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(labels.pad_split(spec)).alias("place", "pair"))
+    return v.select("p_partkey", (F.col("place") + 1).cast("long").alias("place"), "pair.stem", F.col("pair.count").cast("long").alias("count"))
 
 
 # ------------------------------------------------------------------ export, render, separation
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS i FROM part),
-a AS (SELECT *, CASE WHEN i < 32 AND i % 7 <> 5 THEN i END AS pad FROM p WHERE i < 60),
-pads AS (SELECT k AS i, chr((65 + k // 16)::INT) AS bank, (3 - (k % 16) // 4) * 4 + (k % 16) % 4 + 1 AS number FROM (SELECT unnest(range(32)) AS k))
-SELECT 'Bank_' || bank || '/' || lpad(number::VARCHAR, 2, '0') || '_' || coalesce(regexp_replace(regexp_replace(regexp_replace(p_name, '[()]', '', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 'Empty') || '.wav' AS path, p_partkey
-FROM pads LEFT JOIN a ON a.pad = pads.i
-UNION ALL SELECT 'Extras/' || n || repeat('_', (row_number() OVER (PARTITION BY n ORDER BY i) - 1)::INT) || '.wav', p_partkey
-FROM (SELECT i, p_partkey, regexp_replace(regexp_replace(regexp_replace(p_name, '[()]', '', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS n FROM a WHERE pad IS NULL)""")
+CLEAN = "regexp_replace(regexp_replace(regexp_replace({}, '[()]', '', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+@query(f"""WITH p AS (SELECT p_brand, p_partkey, {CLEAN.format("p_name")} AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) - 1 AS i FROM part),
+a AS (SELECT *, CASE WHEN i < 32 AND i % 7 <> 5 THEN i END AS pad FROM p),
+pads AS (SELECT p_brand, k AS i, chr((65 + k // 16)::INT) AS bank, (3 - (k % 16) // 4) * 4 + (k % 16) % 4 + 1 AS number FROM (SELECT DISTINCT p_brand FROM part), (SELECT unnest(range(32)) AS k))
+SELECT pads.p_brand, 'Bank_' || bank || '/' || lpad(number::VARCHAR, 2, '0') || '_' || coalesce(n, 'Empty') || '.wav' AS path, p_partkey
+FROM pads LEFT JOIN a ON a.p_brand = pads.p_brand AND a.pad = pads.i
+UNION ALL SELECT p_brand, 'Extras/' || n || repeat('_', (row_number() OVER (PARTITION BY p_brand, n ORDER BY i) - 1)::INT) || '.wav', p_partkey FROM a WHERE pad IS NULL""")
 def q41_export_plan(spark, sf_dir):
-    """Numbered files of two banks, empty pads included, and the slices that are on no pad."""
+    """Each brand's numbered files of two banks, empty pads included, and the slices that are on no pad."""
     from tessella.plans import export
 
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey").limit(60)
-    p = p.withColumn("i", F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")) - 1)
-    slices = p.select(F.lit(1).alias("song_id"), F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("i").alias("kept_ord"))
-    on = p.where("i < 32 and i % 7 <> 5").select((F.col("i") + 1).alias("pad"), F.col("p_partkey").alias("slice_id"))
-    pads = spark.range(1, 33).select(F.lit(1).alias("song_id"), F.col("id").cast("int").alias("pad")).join(on, "pad", "left")
-    return export.export_plan(pads, slices, extras=True).select("path", F.col("slice_id").alias("p_partkey"))
+    p = ranking.stable_rank(table(spark, sf_dir, "part"), "n", ["p_brand"], [F.desc("p_retailprice"), "p_partkey"]).withColumn("i", F.col("n") - 1)
+    slices = p.select(F.col("p_brand").alias("song_id"), F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("i").alias("kept_ord"))
+    on = p.where("i < 32 and i % 7 <> 5").select(F.col("p_brand").alias("song_id"), F.col("n").cast("int").alias("pad"), F.col("p_partkey").alias("slice_id"))
+    every = p.select(F.col("p_brand").alias("song_id")).distinct().withColumn("pad", F.explode(F.sequence(F.lit(1), F.lit(32))))
+    plan = export.export_plan(every.join(on, ["song_id", "pad"], "left"), slices, extras=True)
+    return plan.select(F.col("song_id").alias("p_brand"), "path", F.col("slice_id").alias("p_partkey"))
 
 
 @query("""SELECT o_orderkey, round(o_totalprice - coalesce(s, 0), 2) AS rest FROM orders LEFT JOIN (
@@ -531,8 +566,9 @@ def q42_subtract_pair(spark, sf_dir):
 
 @query("""SELECT event_id, round(quantile_cont(value, 0.5) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 4) AS median FROM events""")
 def q43_running_median(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy(*TIME).rowsBetween(-3, 3)
-    return table(spark, sf_dir, "events").select("event_id", r(F.percentile("value", F.lit(0.5)).over(w)).alias("median"))
+    e, w = chunks(indexed(table(spark, sf_dir, "events")), 3)
+    median = F.percentile("value", F.lit(0.5)).over(w.rowsBetween(-3, 3))
+    return e.withColumn("median", median).where("own").select("event_id", r("median").alias("median"))
 
 
 @query("""WITH i AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS k FROM events),
@@ -541,7 +577,7 @@ m AS (SELECT *, avg(value) OVER (PARTITION BY event_type, chunk) AS level, least
 SELECT event_type, k::BIGINT AS k, round(sum(w * level) / sum(w), 8) AS level FROM m GROUP BY 1, 2""")
 def q44_overlap_add(spark, sf_dir):
     """Chunks of 16 that begin every 12, each reduced to its mean, put together under triangular weights."""
-    i = ranking.stable_rank(table(spark, sf_dir, "events"), "k", ["event_type"], TIME).withColumn("k", F.col("k") - 1)
+    i = indexed(table(spark, sf_dir, "events"), "k").withColumn("k", F.col("k") - 1)
     c = grids.overlapping_chunks(i, index="k", size=16, stride=12)
     level = F.avg("value").over(Window.partitionBy("event_type", "chunk"))
     return grids.overlap_add(c.withColumn("level", level), by=["event_type"], index="k", value="level").select("event_type", "k", r("level", 8).alias("level"))

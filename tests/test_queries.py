@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessella import config, queries
+from tessella import config, kit_queries, queries  # noqa: F401
 from tessella.functions import labels, signal
 from tessella.operators import clusters, intervals, ranking
 from tessella.plans import jobs, separate
@@ -40,9 +40,10 @@ def test_leaders_against_a_loop(spark):
     raw = spark.read.parquet(f"{DATA}/embeddings.parquet").toPandas()
     import numpy as np
 
-    for stem, group in raw.groupby("label"):
+    raw["song"] = raw.vec_id // 400
+    for (song, stem), group in raw.groupby(["song", "label"]):
         kept, want = [], {}
-        for r in group.sort_values("vec_id").itertuples():
+        for r in group.assign(p=-(group.vec_id % 7)).sort_values(["p", "vec_id"]).itertuples():
             v = np.asarray(r.embedding, float)
             near = [max(0, 1 - np.linalg.norm(v - k) / (0.5 * (np.linalg.norm(v) + np.linalg.norm(k)) + 1e-10)) for k in kept]
             if near and max(near) >= 0.3:
@@ -50,11 +51,12 @@ def test_leaders_against_a_loop(spark):
             else:
                 want[r.vec_id] = len(kept)
                 kept.append(v)
-        got = found[found.stem == str(stem)].set_index("ord")["leader"].to_dict()
+        got = found[(found.song == song) & (found.stem == str(stem))].set_index("ord")["leader"].to_dict()
         assert got == want
-    numbered = clusters.numbered(queries.clustered(spark, DATA), group=["stem", "category"], ties="ord").toPandas()
-    firsts = numbered.groupby("stem").agg(first=("ord", "min"), low=("cluster", "min")).sort_values("first")
-    assert firsts.low.is_monotonic_increasing and numbered.cluster.nunique() == numbered.cluster.max() + 1
+    numbered = clusters.numbered(queries.clustered(spark, DATA), group=["stem"], by=["song"], ties="ord").toPandas()
+    for _, own in numbered.groupby("song"):
+        firsts = own.groupby("stem").agg(first=("ord", "min"), low=("cluster", "min")).sort_values("first")
+        assert firsts.low.is_monotonic_increasing and own.cluster.nunique() == own.cluster.max() + 1
 
 
 def test_deal_against_a_loop(spark):
