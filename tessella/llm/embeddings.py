@@ -4,7 +4,8 @@ Equal vectors are one class, found by grouping, so copies cost nothing below.
 Each tree splits the space again and again at the median of a random
 projection, fitted on a bounded sample of the classes; a vector close to a cut
 goes to both sides (spill overlap), ``SPILLS`` times on its way through a tree
-at most, so a class has at most ``TREES * 2 ** SPILLS`` leaves at any depth. A
+at most. Deeper trees part more near pairs, so there are more of them
+(``trees_of``); a class has at most ``2 ** SPILLS`` leaves a tree. A
 node that no sample reaches splits at the sample of the nearest node above.
 All classes are indexed. Within a leaf all pairs are compared in blocks, and
 those near the threshold by exact cosine in double precision; a leaf of more
@@ -36,13 +37,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TREES = 8
 #: Classes of a leaf, about, and the depth of a tree at most (its cuts are 1 MB then).
 LEAF = 400
 DEPTH = 17
 #: Width of the band at a cut that goes to both sides, in the projections' standard deviation.
 SPILL = 0.15
-SPILLS = 1
+SPILLS = 2
 #: Classes that the trees are fitted on at most (in expectation).
 SAMPLE = 20_000
 THRESHOLD = 0.95
@@ -56,11 +56,16 @@ DIM = 1 << 40
 SCALE = 1 << 14
 
 
+def trees_of(depth: int) -> int:
+    """Trees of a depth: 1 of no levels, 3 of up to 5, one more for each level more, 15 of the most."""
+    return max(3, depth - 2) if depth else 1
+
+
 def _placeable(unit: np.ndarray) -> np.ndarray:
     return np.rint(unit * SCALE)
 
 
-def fit_forest(sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL, seed: int = 11):
+def fit_forest(sample: np.ndarray, depth: int, trees: int, spill: float = SPILL, seed: int = 11):
     """Directions (tree, level, dim) and, by tree, a cut for each inner node and its band's half width.
 
     Nodes are numbered as in a heap. A node's cut is the median of its part of
@@ -229,7 +234,7 @@ def _compared(forests: dict, threshold: float, spills: int):
 
 def near_duplicates(
     embeddings: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD,
-    trees: int = TREES, leaf_size: int = LEAF, spill: float = SPILL, spills: int = SPILLS, sample: int = SAMPLE, big: int = BIG,
+    trees: int | None = None, leaf_size: int = LEAF, spill: float = SPILL, spills: int = SPILLS, sample: int = SAMPLE, big: int = BIG,
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = embeddings.sparkSession
@@ -253,8 +258,7 @@ def near_duplicates(
                 depth, fitted = 0, np.zeros((1, dim))
             else:
                 fitted /= np.linalg.norm(fitted, axis=1, keepdims=True)
-        # Without a cut one tree holds all.
-        forests[dim] = fit_forest(fitted, depth, trees if depth else 1, spill)
+        forests[dim] = fit_forest(fitted, depth, trees or trees_of(depth), spill)
 
     kind = classes.schema["vector"].dataType.simpleString()
     placed = classes.select("rep", "copies", "vector").mapInArrow(_assigned(forests, spills), f"leaf long, rep long, copies long, vector {kind}")
