@@ -27,8 +27,14 @@ def _parsed(documents: DataFrame) -> DataFrame:
 def read_kit_files(spark: SparkSession, path: str) -> DataFrame:
     """source, kit: the kit.json nearest to the top of each folder below ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "kit.json").load(path)
-    files = files.where(~F.col("path").contains("__MACOSX")).select(F.col("path").alias("source"), F.col("content").cast("string").alias("text"))
-    return _parsed(files)
+    files = files.where(~F.col("path").contains("__MACOSX"))
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    below = F.split(F.substring("path", len(root) + 2, 1 << 20), "/")
+    top = F.when(F.size(below) > 1, below[0]).otherwise("")
+    nearest = files.groupBy(top.alias("top")).agg(F.min(F.struct(F.length("path"), "path")).getField("path").alias("path"))
+    chosen = files.join(nearest.select("path"), "path", "left_semi")
+    return _parsed(chosen.select(F.col("path").alias("source"), F.col("content").cast("string").alias("text")))
 
 
 def _from_zips(batches):

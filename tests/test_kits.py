@@ -24,6 +24,8 @@ def test_documents_and_zips(spark, tmp_path):
     (tmp_path / "a" / "b" / "kit.json").write_text(json.dumps(DOC))
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "kit.json").write_text('{"pads": 3}')
+    (tmp_path / "a" / "b" / "old" / "x").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "old" / "x" / "kit.json").write_text(json.dumps(DOC))  # a nearer one counts
     found = kits.read_kit_files(spark, str(tmp_path))
     assert sorted((r.kit is None) for r in found.collect()) == [False, True]
     good = found.where("kit is not null")
