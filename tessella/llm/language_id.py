@@ -46,7 +46,7 @@ SMOOTHING = 0.2
 SCRIPT_SHARE = 0.01
 #: Characters that are read at a time, and those of the texts that go through Viterbi in step.
 CHARS_AT_ONCE = 1 << 18
-CHARS_IN_STEP = 1 << 20
+CHARS_IN_STEP = 1 << 19
 
 #: First and last code points of scripts; letters elsewhere are script 0.
 SCRIPTS = (

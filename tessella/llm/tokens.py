@@ -20,11 +20,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of remembered words, about, at which a worker drops the rarer half.
-REMEMBERED = 64 << 20
+REMEMBERED = 40 << 20
 #: What a remembered word takes besides its own bytes and ids.
 _WORD_BYTES = 180
 #: Bytes of text that are encoded at a time.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 _MARKS = (",", ".")
 _BLANK = ("", "\u180e", "\u200b", "\ufeff")
 
