@@ -27,9 +27,16 @@ def with_audio(windows: DataFrame, blocks: DataFrame, run, schema: str, *, margi
     last = F.floor((F.greatest("start", "end") + margin) / size).cast("int")
     w = windows.withColumns({"first_block": first, "_last": last})
     reach = w.groupBy(*by, "first_block").agg(F.max("_last").alias("_last"))
-    wanted = reach.select(*by, "first_block", F.explode(F.sequence("first_block", "_last")).alias("block_idx"))
-    audio = wanted.join(blocks, [*by, "block_idx"])
-    return w.drop("_last").groupBy(*by, "first_block").cogroup(audio.groupBy(*by, "first_block")).applyInPandas(run, schema)
+    # The blocks' side has names of its own, as the windows may come from the same blocks.
+    wanted = reach.select(F.col("song_id").alias("_song"), F.col("stem").alias("_stem"), F.col("first_block").alias("_first"), F.explode(F.sequence("first_block", "_last")).alias("_block"))
+    own = blocks.toDF(*[f"b_{c}" for c in blocks.columns])
+    same = (F.col("_song") == F.col("b_song_id")) & (F.col("_stem") == F.col("b_stem")) & (F.col("_block") == F.col("b_block_idx"))
+    audio = wanted.join(own, same).drop("_block").groupBy("_song", "_stem", "_first")
+
+    def renamed(key, windows: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        return run(key, windows, blocks.rename(columns={c: c.removeprefix("b_") for c in blocks.columns}))
+
+    return w.drop("_last").groupBy(*by, "first_block").cogroup(audio).applyInPandas(renamed, schema)
 
 
 def put_together(blocks: pd.DataFrame, column: str, kind=np.float64) -> tuple[int, np.ndarray]:

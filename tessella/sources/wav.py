@@ -135,7 +135,8 @@ def list_songs(spark: SparkSession, path: str, *, rights_confirmed: bool, stem_f
     """song_id, stem, path, sha256, length, content, duration_s, rate and ``error`` (null if the file can be taken) of each file.
 
     With ``stem_from_name`` a file is <song>/<stem>.wav, else a whole mix. A file
-    that is damaged or too long has a row that says so, and none of the others suffers.
+    that is damaged or too long has a row that says so, and none of the others suffers;
+    one without a single byte has none, as Spark's reader leaves it out.
     """
     prepare(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
