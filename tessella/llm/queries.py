@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embeddings, language_id, line_dedup, packing, sharding, simhash, suffix_dedup, token_files, warc
+from . import decontamination, embeddings, language_id, license_scan, line_dedup, packing, sharding, simhash, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_embeddings": embeddings.op8_embeddings,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op12_license_scan": license_scan.op12_license_scan,
 }
 ORACLES: dict[str, str] = {
     "op5_warc": warc.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op12_license_scan": license_scan.ORACLE,
 }
