@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embeddings, language_id, license_scan, line_dedup, packing, sharding, simhash, suffix_dedup, token_files, warc
+from . import decontamination, embeddings, language_id, license_scan, line_dedup, packing, phrases, sharding, simhash, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op12_license_scan": license_scan.op12_license_scan,
+    "op13_phrases": phrases.op13_phrases,
 }
 ORACLES: dict[str, str] = {
     "op5_warc": warc.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
     "op12_license_scan": license_scan.ORACLE,
+    "op13_phrases": phrases.ORACLE,
 }
