@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embeddings, language_id, license_scan, line_dedup, packing, phrases, sharding, simhash, suffix_dedup, token_files, warc
+from . import decontamination, embeddings, language_id, license_scan, line_dedup, packing, phrases, sharding, simhash, suffix_dedup, token_files, vector_codes, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embeddings": embeddings.op8_embeddings,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_license_scan": license_scan.op12_license_scan,
     "op13_phrases": phrases.op13_phrases,
 }
