@@ -39,6 +39,42 @@ def with_audio(windows: DataFrame, blocks: DataFrame, run, schema: str, *, margi
     return w.drop("_last").groupBy(*by, "first_block").cogroup(audio).applyInPandas(renamed, schema)
 
 
+def _converted(to_rate: int):
+    def run(key, parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values("at")
+        facts, k = parts.iloc[0], int(key[2])
+        total = dsp.resampled_length(int(facts["total"]), int(facts["rate"]), to_rate)
+        first, last = k * BLOCK, min((k + 1) * BLOCK, total)
+        x = np.stack([np.concatenate([np.asarray(v, np.float32) for v in parts[c]]) for c in ("left", "right")])
+        left, right = dsp.resampled_part(x, int(facts["at"]), first, last, int(facts["rate"]), to_rate)
+        return pd.DataFrame({"song_id": key[0], "stem": key[1], "block_idx": k, "start_sample": first, "n": last - first, "total": total, "rate": to_rate, "left": [left], "right": [right]})
+
+    return run
+
+
+def resampled_blocks(blocks: DataFrame, to_rate: int) -> DataFrame:
+    """Blocks at another rate: those of each stem's conversion at once, each made in a task from the samples that it needs.
+
+    A block goes, cut to what is needed, to the blocks of the new rate that it reaches.
+    """
+    kinds = blocks.select("song_id", "stem", "block_idx", "start_sample", "n", "total", "rate", "left", "right")
+    own, to = F.col("rate").cast("long"), F.lit(to_rate).cast("long")
+    half = F.ceil(24 / (0.97 * F.least(F.lit(1.0), to / own))).cast("long")
+    rows = kinds.where(F.col("rate") != to_rate).withColumns({"_half": half, "_total": F.rint(F.col("total") * to / own).cast("long")})
+    most = F.greatest(F.ceil(F.col("_total") / BLOCK) - 1, F.lit(0))
+    first = F.floor(F.greatest(F.col("start_sample") - F.col("_half") - 1, F.lit(0)) * to / own / BLOCK)
+    last = F.floor((F.col("start_sample") + F.col("n") + F.col("_half")) * to / own / BLOCK)
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.least(first, most), F.least(last, most))))
+    end = F.least((F.col("_k") + 1) * BLOCK, F.col("_total"))
+    low = F.greatest(F.floor(F.col("_k") * BLOCK * own / to) - F.col("_half") - 1, F.col("start_sample"))
+    high = F.least(F.floor(end * own / to) + F.col("_half") + 2, F.col("start_sample") + F.col("n"))
+    rows = rows.withColumns({"at": low, "_high": high}).where("_high > at or total = 0")
+    cut = {c: F.slice(c, (F.col("at") - F.col("start_sample") + 1).cast("int"), F.greatest(F.col("_high") - F.col("at"), F.lit(0)).cast("int")) for c in ("left", "right")}
+    made = rows.withColumns(cut).select("song_id", "stem", "_k", "at", "total", "rate", "left", "right").groupBy("song_id", "stem", "_k")
+    made = made.applyInPandas(_converted(to_rate), kinds.schema)
+    return kinds.where(F.col("rate") == to_rate).unionByName(made)
+
+
 def put_together(blocks: pd.DataFrame, column: str, kind=np.float64) -> tuple[int, np.ndarray]:
     """The place of the first sample, and the samples, of blocks in a row."""
     blocks = blocks.sort_values("block_idx")

@@ -11,12 +11,7 @@ from tessella.functions import dsp, labels, signal
 from tessella.operators import frames as fr
 from tessella.operators import grids
 from tessella.plans.candidates import mono_blocks
-from tessella.sources import wav
-
-
-def _stereo(blocks: pd.DataFrame) -> tuple[int, np.ndarray]:
-    blocks = blocks.sort_values("block_idx")
-    return int(blocks["rate"].iloc[0]), np.stack([np.concatenate([np.asarray(v, np.float32) for v in blocks[c]]) for c in ("left", "right")])
+from tessella.sources import files, wav
 
 
 def render_slice(x: np.ndarray, rate: int, start: int, end: int, render: dict, window_ms: float) -> np.ndarray:
@@ -92,26 +87,27 @@ def subtract_stem(mix: DataFrame, vocals: DataFrame) -> DataFrame:
     return rest.withColumns(both).drop("_l", "_r").select(*mix.columns)
 
 
-def _encoded(to_rate: int | None, bits: int, normalise: bool):
-    def run(blocks: pd.DataFrame) -> pd.DataFrame:
-        rate, x = _stereo(blocks)
-        out = to_rate or rate
-        x = dsp.resampled(x, rate, out).astype(np.float64)
-        if normalise:
-            x = dsp.peak_normalised(x, -1.0)
-        return pd.DataFrame({"song_id": blocks["song_id"].iloc[:1], "stem": blocks["stem"].iloc[:1], "content": [wav.encode(x, out, bits)]})
-
-    return run
+def split_blocks(blocks: DataFrame, facts: DataFrame, *, rate: int | None = None, normalise: bool = False) -> DataFrame:
+    """Blocks of every stem with ``file``, named by song, part and tag; at another rate, and at a peak of -1 dB, if asked for."""
+    made = fr.resampled_blocks(blocks, rate) if rate else blocks
+    if normalise:
+        peak = F.greatest(*[F.array_max(F.transform(c, F.abs)) for c in ("left", "right")])
+        peaks = made.groupBy("song_id", "stem").agg(F.coalesce(F.max(peak), F.lit(0.0)).alias("_peak"))
+        gain = F.when(F.col("_peak") < 1e-6, 1.0).otherwise(F.lit(10 ** (-1 / 20)) / F.col("_peak"))
+        made = made.join(peaks, ["song_id", "stem"]).withColumn("_gain", gain)
+        made = made.withColumns({c: F.transform(c, lambda v: (v * F.col("_gain")).cast("float")) for c in ("left", "right")}).drop("_peak", "_gain")
+    part = F.when(F.col("stem") == "vocals", "acapella").otherwise(F.col("stem"))
+    name = F.concat(labels.sanitised_song("song_id"), F.lit("_"), part, labels.suffix("bpm", "key_short"), F.lit(".wav"))
+    return made.join(facts.select("song_id", "bpm", "key_short"), "song_id").withColumn("file", name).drop("bpm", "key_short")
 
 
-def split_files(blocks: DataFrame, facts: DataFrame, *, format: str = "wav", bits: int = 24, rate: int | None = None, normalise: bool = False) -> DataFrame:
-    """song_id, file, content: a file for every stem, named by song, part and tag."""
+def write_split(blocks: DataFrame, facts: DataFrame, folder: str, *, format: str = "wav", bits: int = 24, rate: int | None = None, normalise: bool = False) -> DataFrame:
+    """Write a file for every stem to folder/song_id, block by block; returns path, length, modificationTime of what is there."""
     if format != "wav":
         raise wav.WavError(f"{format} isn't written here, only WAV")
-    files = blocks.groupBy("song_id", "stem").applyInPandas(_encoded(rate, bits, normalise), "song_id string, stem string, content binary")
-    part = F.when(F.col("stem") == "vocals", "acapella").otherwise(F.col("stem"))
-    name = F.concat(labels.sanitised_song("song_id"), F.lit("_"), part, labels.suffix("bpm", "key_short"), F.lit(".wav"))
-    return files.join(facts.select("song_id", "bpm", "key_short"), "song_id").select("song_id", name.alias("file"), "content")
+    named = split_blocks(blocks, facts, rate=rate, normalise=normalise)
+    wav.write_songs(named.withColumn("file", F.concat("song_id", F.lit("/"), "file")), folder, bits=bits)
+    return files.listed(blocks.sparkSession, folder)
 
 
 def split_documents(
@@ -131,29 +127,12 @@ def split_documents(
     return told.select("song_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("split"))
 
 
-def write_files(files: DataFrame, folder: str) -> DataFrame:
-    """Write each row's content to folder/song_id/file from the tasks; returns (song_id, file, bytes).
+def write_files(made: DataFrame, folder: str) -> DataFrame:
+    """Write each row's content to folder/song_id/file; returns path, length, modificationTime of what is there.
 
-    ``folder`` is a URI that all executors reach; a file appears under its name
-    when it is whole, so a task that runs twice does no harm.
+    For sounds and documents of a moderate size, a row each; whole stems are
+    written block by block by ``write_split``.
     """
-    from pyspark import TaskContext
-
-    def run(batches):
-        import pyarrow as pa
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
-        tag = TaskContext.get().taskAttemptId()
-        for batch in batches:
-            sizes = []
-            for song, file, content in zip(*(batch[c].to_pylist() for c in ("song_id", "file", "content")), strict=True):
-                path = f"{root}/{song}/{file}"
-                store.create_dir(path.rpartition("/")[0], recursive=True)
-                with store.open_output_stream(f"{path}.{tag}.part") as out:
-                    out.write(content)
-                store.move(f"{path}.{tag}.part", path)
-                sizes.append(len(content))
-            yield pa.RecordBatch.from_arrays([batch["song_id"], batch["file"], pa.array(sizes, pa.int64())], names=["song_id", "file", "bytes"])
-
-    return files.select("song_id", "file", "content").mapInArrow(run, "song_id string, file string, bytes long")
+    rows = made.select(F.concat("song_id", F.lit("/"), "file").alias("file"), F.lit(0).alias("part"), F.octet_length("content").alias("size"), "content")
+    files.write_parts(rows, folder)
+    return files.listed(made.sparkSession, folder)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella import config
+from tessella.functions import dsp
 from tessella.operators import frames as fr
 from tessella.plans import analysis, kit, render, separate, songs as song_plans
 from tessella.sources import wav
@@ -87,7 +88,8 @@ def test_render(made, tmp_path):
         assert x.shape[1] == want if s.kind == "loop" else abs(x.shape[1] - want) <= 0.0041 * rate
         assert np.abs(x[:, 0]).max() < 1e-4
     told = render.write_files(files, tmp_path.as_uri()).collect()
-    assert len(told) == len(facts) and all((tmp_path / "one" / r.file).stat().st_size == r.bytes for r in told)
+    assert len(told) == len(facts) and {r.path.split("/one/", 1)[1] for r in told} == set(facts)
+    assert all((tmp_path / "one" / r.file).read_bytes() == bytes(r.content) for r in files.collect())
 
 
 def test_split_and_separation(made, spark, tmp_path, monkeypatch):
@@ -96,10 +98,14 @@ def test_split_and_separation(made, spark, tmp_path, monkeypatch):
     rest = render.subtract_stem(mix, vocals)
     a, v, i = (df.where("song_id = 'one' and block_idx = 3").first().left for df in (mix, vocals, rest))
     assert np.abs(np.array(v) + np.array(i) - np.array(a)).max() < 1e-5
-    files = render.split_files(rest.where("song_id = 'one'"), kits.analysis.songs, rate=22050).collect()
-    assert files[0].file == "one_instrumental_120bpm_Fmin.wav" and wav.decode(bytes(files[0].content))[1].shape[1] == 32 * 22050
+    told = render.write_split(rest.where("song_id = 'one'"), kits.analysis.songs, (tmp_path / "out").as_uri(), rate=22050, normalise=True).collect()
+    assert [r.path.rsplit("/", 2)[1:] for r in told] == [["one", "one_instrumental_120bpm_Fmin.wav"]]
+    rate, x = wav.decode((tmp_path / "out" / "one" / "one_instrumental_120bpm_Fmin.wav").read_bytes())
+    at_once = np.stack([np.concatenate([np.array(r[c], np.float32) for r in sorted(rest.where("song_id = 'one'").collect(), key=lambda r: r.block_idx)]) for c in ("left", "right")])
+    want = dsp.peak_normalised(dsp.resampled(at_once, songs.RATE, 22050), -1.0)
+    assert rate == 22050 and x.shape == (2, 32 * 22050) and np.abs(x - want).max() < 2e-6
     with pytest.raises(wav.WavError):
-        render.split_files(rest, kits.analysis.songs, format="mp3")
+        render.write_split(rest, kits.analysis.songs, tmp_path.as_uri(), format="mp3")
     found = separate.get("quick")(mix.where("song_id = 'one'"))
     total = found.groupBy("block_idx").pivot("stem", ["drums", "bass", "other"]).agg(F.first("left")).join(mix.where("song_id = 'one'"), "block_idx").collect()
     for r in total:
