@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import dsp, labels
 from tessella.operators import frames as fr
-from tessella.operators import grids, intervals
+from tessella.operators import grids, intervals, ranking
 
 
 @dataclass
@@ -25,12 +25,45 @@ class Analysis:
     sections: DataFrame
 
 
+#: Frames whose windows are correlated in one task.
+TEMPO_CHUNK = 4096
+
+
+def _correlated(key, chunk: pd.DataFrame) -> pd.DataFrame:
+    """The sums of a chunk's windows by lag; at the song's ends the strengths fall to zero over half a window."""
+    chunk = chunk.sort_values("frame")
+    facts, own = chunk.iloc[0], chunk.loc[chunk["own"], "frame"]
+    size, n = dsp.tempo_window(int(facts["rate"])), int(facts["n"])
+    half = size // 2
+    places = np.arange(own.min() - half, own.max() + half + 1)
+    strengths = np.zeros(len(places))
+    strengths[chunk["frame"].to_numpy() - places[0]] = chunk["onset"].to_numpy()
+    strengths = np.where(places < 0, facts["first"] * (places + half) / half, np.where(places >= n, facts["last"] * (half - 1 - (places - n)) / half, strengths))
+    return pd.DataFrame({"song_id": [facts["song_id"]], "rate": [facts["rate"]], "n": [n], "sums": [dsp.correlations(strengths[: len(own) + size - 1], size)]})
+
+
+def tempos(onsets: DataFrame, start: float = 120.0) -> DataFrame:
+    """song_id, bpm of (song_id, frame, onset, rate): mean autocorrelation over windows of 8 s around each frame, with a log-normal prior.
+
+    Sums by chunk and lag first, over any number of tasks a song, then by song.
+    """
+    ends = onsets.groupBy("song_id").agg(F.count("*").alias("n"), F.min_by("onset", "frame").alias("first"), F.max_by("onset", "frame").alias("last"))
+    half = F.floor(F.floor(8 * F.col("rate") / dsp.HOP) / 2)
+    spread = ranking.with_halo(onsets, index="frame", size=TEMPO_CHUNK, halo=half).where("chunk >= 0").join(ends, "song_id")
+    spread = spread.where(F.col("chunk") * TEMPO_CHUNK < F.col("n")).select("song_id", "rate", "n", "first", "last", "chunk", "own", "frame", "onset")
+    parts = spread.groupBy("song_id", "chunk").applyInPandas(_correlated, "song_id string, rate int, n long, sums array<double>")
+    sums = parts.select("song_id", "rate", "n", F.posexplode("sums").alias("lag", "s")).groupBy("song_id", "rate", "n", "lag").agg(F.sum("s").alias("s"))
+    sums = sums.where("lag > 0").withColumn("bpm", 60 * F.col("rate") / (dsp.HOP * F.col("lag"))).where("bpm < 320")
+    prior = F.pow(F.log2("bpm") - F.log2(F.lit(start)), F.lit(2.0))
+    score = F.log1p(1e6 * F.greatest(F.col("s") / F.col("n"), F.lit(0.0))) - 0.5 * prior
+    return sums.groupBy("song_id").agg(F.min_by("bpm", F.struct(-score, "lag")).alias("bpm"))
+
+
 def _track(group: pd.DataFrame) -> pd.DataFrame:
-    """Raw tempo and beat times of one song, from its onset strengths in order."""
+    """Beat times of one song, from its onset strengths in order."""
     group = group.sort_values("frame")
-    onsets, rate = group["onset"].to_numpy(), int(group["rate"].iloc[0])
-    bpm = dsp.tempo(onsets, rate)
-    beats = dsp.beat_frames(onsets, rate, bpm) * dsp.HOP / rate
+    rate, bpm = int(group["rate"].iloc[0]), float(group["bpm"].iloc[0])
+    beats = dsp.beat_frames(group["onset"].to_numpy(), rate, bpm) * dsp.HOP / rate
     return pd.DataFrame({"song_id": group["song_id"].iloc[0], "bpm": bpm, "t_s": beats})
 
 
@@ -42,7 +75,7 @@ def track_beats(frames: DataFrame, songs: DataFrame, low: float = 70, high: floa
     """
     rate = songs.select("song_id", "rate")
     raw = frames.select("song_id", "frame", "onset").join(rate, "song_id")
-    raw = raw.groupBy("song_id").applyInPandas(_track, "song_id string, bpm double, t_s double")
+    raw = raw.join(tempos(raw), "song_id").groupBy("song_id").applyInPandas(_track, "song_id string, bpm double, t_s double")
     counted = raw.withColumn("_n", F.count("*").over(Window.partitionBy("song_id"))).where("_n >= 2")
     up = F.greatest(F.ceil(F.log2(F.lit(float(low)) / F.col("bpm"))), F.lit(0)).cast("int")
     down = F.greatest(F.ceil(F.log2(F.col("bpm") * F.pow(F.lit(2.0), F.col("up")) / F.lit(float(high)))), F.lit(0)).cast("int")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions import dsp, labels, signal
+from tessella.functions import dsp, labels, pitch, signal
 from tessella.operators import frames as fr
 from tessella.operators import grids
 from tessella.plans.candidates import mono_blocks
@@ -47,23 +47,29 @@ def render(slices: DataFrame, blocks: DataFrame, cfg: dict) -> DataFrame:
     return fr.with_audio(flat, blocks, made, "song_id string, id string, file string, content binary")
 
 
+#: By kind of stem, the lowest and highest pitch in Hz and the seconds of a frame.
+VOICES = {True: (30.0, 400.0, 4096 / 22050), False: (80.0, 1000.0, 2048 / 22050)}
+
+
 def _tones(key, slices: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-    """Pitch in Hz of bass notes and chops, mean chroma of stabs."""
+    """Pitch in Hz of bass notes and chops, all of a stem decoded in step; mean chroma of stabs."""
     if slices.empty or blocks.empty:
         return pd.DataFrame(columns=["song_id", "id", "hz", "chroma"])
     base, x = fr.put_together(blocks, "x")
     rate, rows = int(blocks["rate"].iloc[0]), []
-    for s in slices.itertuples(index=False):
-        y, hz, chroma = x[s.start - base : s.end - base], None, None
-        if s.category in ("bass_note", "vox_chop") and len(y) > 0.05 * rate:
-            hz = dsp.yin(y, rate, *((30.0, 400.0) if s.stem == "bass" else (80.0, 1000.0)))
-        elif s.category == "stab" and len(y) > 2048:
+    sung = slices[slices["category"].isin(("bass_note", "vox_chop")) & (slices["end"] - slices["start"] > 0.05 * rate)]
+    for bass, own in sung.groupby(sung["stem"] == "bass"):
+        low, high, frame_s = VOICES[bool(bass)]
+        found = pitch.pitches([x[a - base : b - base] for a, b in zip(own["start"], own["end"], strict=True)], rate, low, high, frame_s)
+        rows += [(song, i, hz, None) for song, i, hz in zip(own["song_id"], own["id"], found, strict=True)]
+    for s in slices[slices["category"] == "stab"].itertuples(index=False):
+        y = x[s.start - base : s.end - base]
+        if len(y) > 2048:
             padded = np.pad(y, 2048)
             power = np.abs(dsp.spectra(padded, np.arange(0, len(y), dsp.HOP), 4096)) ** 2
             tones = power @ dsp.chroma_filters(rate, 4096).T
             peak = tones.max(axis=1, keepdims=True)
-            chroma = (tones / np.where(peak > 0, peak, 1)).mean(axis=0)
-        rows.append((s.song_id, s.id, hz, chroma))
+            rows.append((s.song_id, s.id, None, (tones / np.where(peak > 0, peak, 1)).mean(axis=0)))
     return pd.DataFrame(rows, columns=["song_id", "id", "hz", "chroma"])
 
 
@@ -72,11 +78,11 @@ def find_notes(found: DataFrame, kept: DataFrame, blocks: DataFrame) -> DataFram
     chosen = found.join(kept.select("song_id", F.col("slice_id").alias("id")), ["song_id", "id"], "left_semi").where(F.col("category").isin("bass_note", "vox_chop", "stab"))
     flat = chosen.select("song_id", "stem", "id", "category", "start", "end")
     told = fr.with_audio(flat, mono_blocks(blocks), _tones, "song_id string, id string, hz double, chroma array<double>", margin=0)
-    pitch = told.where("hz is not null and not isnan(hz)").select("song_id", "id", labels.note_name("hz").alias("note"))
+    notes = told.where("hz is not null and not isnan(hz)").select("song_id", "id", labels.note_name("hz").alias("note"))
     fold = told.where("chroma is not null").select("song_id", "id", F.posexplode("chroma").alias("pc", "energy")).withColumn("pc", F.col("pc").cast("long"))
     silent = fold.groupBy("song_id", "id").agg(F.max("energy").alias("top")).where("top < 1e-6")
     chords = grids.name_chord(fold.join(silent, ["song_id", "id"], "left_anti"), by=["song_id", "id"], pitch_class="pc", energy="energy")
-    return pitch.unionByName(chords.select("song_id", "id", F.col("chord").alias("note")))
+    return notes.unionByName(chords.select("song_id", "id", F.col("chord").alias("note")))
 
 
 def subtract_stem(mix: DataFrame, vocals: DataFrame) -> DataFrame:

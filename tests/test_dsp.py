@@ -1,11 +1,14 @@
 """Kernels against closed forms and published tolerances."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import dsp, scoring
 from tessella.operators import frames as fr
+from tessella.plans import analysis
 from tessella.sources import wav
 from tests import songs
 
@@ -49,26 +52,78 @@ def test_filters():
         assert int((power @ dsp.chroma_filters(44100, 4096).T).argmax()) == name
 
 
-def test_pitch():
-    for hz, low, high in ((87.3, 30, 400), (440.0, 80, 1000)):
-        assert abs(dsp.yin(songs.tone(hz, 0.6), 44100, low, high) / hz - 1) < 0.01
-    assert dsp.yin(np.random.default_rng(0).standard_normal(30000), 44100, 80, 1000) is None
-    assert dsp.yin(np.zeros(10), 44100, 80, 1000) is None
+def plain_tempo(onsets, rate):
+    """Of a whole song at once."""
+    size = dsp.tempo_window(rate)
+    half = size // 2
+    ramp = np.arange(half) / half
+    padded = np.concatenate((onsets[0] * ramp, onsets, onsets[-1] * ramp[::-1]))
+    sums = dsp.correlations(padded[: len(onsets) + size - 1], size)
+    bpm = 60 * rate / (512 * np.arange(1, size))
+    score = np.log1p(1e6 * np.maximum(0, sums[1:] / len(onsets))) - 0.5 * (np.log2(bpm) - np.log2(120)) ** 2
+    return bpm[np.where(bpm < 320, score, -np.inf).argmax()]
 
 
-def test_tempo_and_beats():
+def test_tempo_by_chunks_is_that_of_the_song(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    clicks = np.zeros(2000)
+    clicks[np.round(np.arange(0, 2000 - 43, 43.066)).astype(int)] = 1.0
+    made = {"clicks": (clicks, 44100), "noise": (rng.random(3001), 44100), "short": (rng.random(30), 44100), "slow": (np.roll(clicks, 7) + 0.1 * rng.random(2000), 22050), "none": (np.zeros(900), 44100), "one": (np.ones(1), 48000)}
+    rows = [(song, i, float(v), rate) for song, (x, rate) in made.items() for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "song_id string, frame int, onset double, rate int")
+    want = {song: plain_tempo(*x) for song, x in made.items()}
+    for chunk in (64, 500, 4096):
+        monkeypatch.setattr(analysis, "TEMPO_CHUNK", chunk)
+        got = {r.song_id: r.bpm for r in analysis.tempos(table).collect()}
+        assert got == pytest.approx(want, rel=1e-12)
+    assert abs(got["clicks"] - 120) < 1
+
+
+def plain_chain(local, period, tightness):
+    total, back, begun = [], [], False
+    for i, v in enumerate(local):
+        steps = [s for s in range(round(period / 2), 2 * period + 1) if s <= i]
+        scores = [total[i - s] - tightness * np.log(s / period) ** 2 for s in steps]
+        begun = begun or v >= 0.01 * max(local)
+        total.append(v + max(scores, default=0))
+        back.append(i - steps[int(np.argmax(scores))] if scores and begun else -1)
+    return total, back
+
+
+def test_beats():
     clicks = np.zeros(2000)
     clicks[np.round(np.arange(0, 2000 - 43, 43.066)).astype(int)] = 1.0
-    bpm = dsp.tempo(clicks, 44100)
-    assert abs(bpm - 120) < 1
-    beats = dsp.beat_frames(clicks, 44100, bpm)
+    beats = dsp.beat_frames(clicks, 44100, 120.2)
     assert len(beats) > 40 and np.abs(np.diff(beats) - 43).max() <= 1
     assert len(dsp.beat_frames(np.zeros(50), 44100, 120)) == 0
+    local = np.random.default_rng(4).random(600)
+    local[:20] = 0
+    for period in (7, 40, 400):
+        total, back = dsp.chained(local, period, 100.0)
+        want = plain_chain(local.tolist(), period, 100.0)
+        assert np.allclose(total, want[0]) and back.tolist() == want[1]
+    assert dsp.local_maxima(np.array([3, 1, 2, 2, 1, 5])).tolist() == [2, 5]
+
+
+def plain_ward(rows, k):
+    runs = [[r] for r in rows]
+    while len(runs) > k:
+        costs = [len(a) * len(b) / (len(a) + len(b)) * np.square(np.mean(a, 0) - np.mean(b, 0)).sum() for a, b in zip(runs[:-1], runs[1:], strict=True)]
+        i = int(np.argmin(costs))
+        runs[i : i + 2] = [runs[i] + runs[i + 1]]
+    return np.cumsum([0, *map(len, runs)])[:-1].tolist()
 
 
 def test_ward():
     rows = np.array([[0, 0], [0.1, 0], [5, 5], [5, 5.2], [9, 0], [9.1, 0]])
     assert dsp.contiguous_ward(rows, 3).tolist() == [0, 2, 4]
+    assert dsp.contiguous_ward(np.zeros((5, 2)), 2).tolist() == [0, 4]  # of equal pairs the first
+    rng = np.random.default_rng(5)
+    for n, k in ((1, 1), (2, 5), (40, 7), (200, 10)):
+        x = rng.standard_normal((n, 3))
+        assert dsp.contiguous_ward(x, k).tolist() == plain_ward(x, k)
+    began = time.perf_counter()
+    assert len(dsp.contiguous_ward(rng.standard_normal((100_000, 25)), 10)) == 10 and time.perf_counter() - began < 30
 
 
 def test_fades_and_peak():
