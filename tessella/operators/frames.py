@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import dsp, signal
+from tessella.functions import constant_q, dsp, signal
 
 FEATURES = "song_id string, stem string, frame int, t_s double, rms double, mel array<float>, low array<float>, chroma array<float>"
 HALO = 2048
@@ -81,52 +81,77 @@ def put_together(blocks: pd.DataFrame, column: str, kind=np.float64) -> tuple[in
     return int(blocks["start_sample"].iloc[0]), np.concatenate([np.asarray(v, kind) for v in blocks[column]])
 
 
-def with_edges(blocks: DataFrame, halo: int = HALO) -> DataFrame:
+def with_edges(blocks: DataFrame, halo: int | Column = HALO) -> DataFrame:
     """Mono samples of each block with the last of the block before and the first of the one behind."""
     mono = blocks.select("song_id", "stem", "block_idx", "start_sample", "n", "total", "rate", signal.to_mono("left", "right").alias("x"))
     w = Window.partitionBy("song_id", "stem").orderBy("block_idx")
+    halo = F.lit(halo)
     tail = F.slice("x", F.greatest(F.col("n") - halo + 1, F.lit(1)), halo)
-    head = F.slice("x", 1, halo)
+    head = F.slice("x", F.lit(1), halo)
     return mono.withColumns({"before": F.lag(tail).over(w), "after": F.lead(head).over(w)})
 
 
-def _features(batches):
-    for batch in batches:
-        columns = {c: batch[c].to_pylist() for c in ("song_id", "stem", "start_sample", "n", "total", "rate")}
-        for i in range(len(batch)):
-            song, stem, start, n, total, rate = (columns[c][i] for c in columns)
-            own, before, after = (np.asarray(batch[c][i].values if batch[c][i].is_valid else [], np.float64) for c in ("x", "before", "after"))
-            x = np.zeros(HALO + n + HALO + 2)
-            x[HALO - len(before) : HALO] = before
-            x[HALO : HALO + n] = own
-            x[HALO + n : HALO + n + len(after)] = after
-            last = total // dsp.HOP + 1 if start + n >= total else -(-(start + n) // dsp.HOP)
-            frames = np.arange(-(-start // dsp.HOP), last)
-            if not len(frames):
-                continue
-            centre = frames * dsp.HOP - start + HALO
-            power = np.abs(dsp.spectra(x, centre - 1024, 2048)) ** 2
-            tones = np.abs(dsp.spectra(x, centre - 2048, 4096)) ** 2 @ dsp.chroma_filters(rate, 4096).T
-            peak = tones.max(axis=1, keepdims=True)
-            values = x[(centre - 1024)[:, None] + np.arange(2048)]
-            m = len(frames)
-
-            def lists(rows):
-                return pa.FixedSizeListArray.from_arrays(pa.array(rows.astype(np.float32).reshape(-1)), rows.shape[1]).cast(pa.list_(pa.float32()))
-
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([song] * m), pa.array([stem] * m), pa.array(frames, pa.int32()), pa.array(frames * dsp.HOP / rate),
-                    pa.array(np.sqrt((values**2).mean(axis=1))), lists(dsp.decibels(power @ dsp.mel_filters(rate, 2048).T)),
-                    lists(dsp.decibels(power @ dsp.mel_filters(rate, 2048, 64, 8000.0)[:8].T)), lists(tones / np.where(peak > 0, peak, 1)),
-                ],
-                names=["song_id", "stem", "frame", "t_s", "rms", "mel", "low", "chroma"],
-            )
-
-
-def features(blocks: DataFrame) -> DataFrame:
-    """Level, mel and low-band decibels (80 dB below the loudest at least) and chroma of every frame."""
-    raw = with_edges(blocks).mapInArrow(_features, FEATURES)
+def _edge(rate: int, constant: bool) -> int:
+    """Samples around a block that its frames need, and a few more."""
+    return max(HALO, constant_q.reach(rate)) if constant else HALO
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(rows.astype(np.float32).reshape(-1)), rows.shape[1]).cast(pa.list_(pa.float32()))
+
+
+def _features(constant: bool):
+    def run(batches):
+        for batch in batches:
+            columns = {c: batch[c].to_pylist() for c in ("song_id", "stem", "start_sample", "n", "total", "rate")}
+            for i in range(len(batch)):
+                song, stem, start, n, total, rate = (columns[c][i] for c in columns)
+                own, before, after = (np.asarray(batch[c][i].values if batch[c][i].is_valid else [], np.float64) for c in ("x", "before", "after"))
+                edge = _edge(rate, constant)
+                before, after = before[max(0, len(before) - edge) :], after[:edge]
+                x = np.zeros(edge + n + edge + 2)
+                x[edge - len(before) : edge] = before
+                x[edge : edge + n] = own
+                x[edge + n : edge + n + len(after)] = after
+                last = total // dsp.HOP + 1 if start + n >= total else -(-(start + n) // dsp.HOP)
+                frames = np.arange(-(-start // dsp.HOP), last)
+                if not len(frames):
+                    continue
+                centre = frames * dsp.HOP - start + edge
+                power = np.abs(dsp.spectra(x, centre - 1024, 2048)) ** 2
+                if constant:
+                    tones = constant_q.chroma(x, start - edge, frames, rate)
+                else:
+                    tones = np.abs(dsp.spectra(x, centre - 2048, 4096)) ** 2 @ dsp.chroma_filters(rate, 4096).T
+                    peak = tones.max(axis=1, keepdims=True)
+                    tones = tones / np.where(peak > 0, peak, 1)
+                values = x[(centre - 1024)[:, None] + np.arange(2048)]
+                m = len(frames)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([song] * m), pa.array([stem] * m), pa.array(frames, pa.int32()), pa.array(frames * dsp.HOP / rate),
+                        pa.array(np.sqrt((values**2).mean(axis=1))), _lists(dsp.decibels(power @ dsp.mel_filters(rate, 2048).T)),
+                        _lists(dsp.decibels(power @ dsp.mel_filters(rate, 2048, 64, 8000.0)[:8].T)), _lists(tones),
+                    ],
+                    names=["song_id", "stem", "frame", "t_s", "rms", "mel", "low", "chroma"],
+                )
+
+    return run
+
+
+def features(blocks: DataFrame, *, constant: bool = False) -> DataFrame:
+    """Level, mel and low-band decibels (80 dB below the loudest at least) and chroma of every frame.
+
+    Chroma is from short spectra, or with ``constant`` from kernels that are
+    long enough for low notes, for which a block gets more of its neighbours.
+    """
+    halo: int | Column = HALO
+    if constant:
+        rates = (8000, 11025, 16000, 22050, 32000, 44100, 48000, 88200, 96000)
+        halo = F.lit(_edge(96000, True))
+        for rate in reversed(rates):
+            halo = F.when(F.col("rate") == rate, _edge(rate, True)).otherwise(halo)
+    raw = with_edges(blocks, halo).mapInArrow(_features(constant), FEATURES)
     tops = raw.groupBy("song_id", "stem").agg(F.max(F.array_max("mel")).alias("_mel"), F.max(F.array_max("low")).alias("_low"))
     raw = raw.join(tops, ["song_id", "stem"])
 

@@ -53,7 +53,7 @@ def make_kits(mix: DataFrame, stems: DataFrame, cfg: dict, folder: str, source:
     prepare(mix.sparkSession)
     told = json.dumps([cfg, source, sorted(mix.inputFiles()), sorted(stems.inputFiles())], sort_keys=True)
     a, keep = cfg["analysis"], keeper(mix.sparkSession, folder, told)
-    found = analysis.analyse(keep(fr.features(mix), "mix_frames"), analysis.song_facts(mix), keep, a["min_bpm"], a["max_bpm"])
+    found = analysis.analyse(keep(fr.features(mix, constant=True), "mix_frames"), analysis.song_facts(mix), keep, a["min_bpm"], a["max_bpm"])
     frames = keep(fr.features(stems), "stem_frames")
     raw = keep(candidates.find_candidates(frames, stems, found, cfg), "candidates")
     rated = keep(scores.score(raw, stems, cfg), "scores")
