@@ -31,6 +31,7 @@ from tessella.workers import prepare
 SUFFIXES = ("wav", "wave", "aif", "aiff", "flac", "mp3", "m4a", "aac", "ogg", "opus")
 MOST_BYTES = 300 << 20
 BLOCKS = "song_id string, stem string, block_idx int, start_sample long, n int, total long, rate int, left array<float>, right array<float>"
+LISTED = "song_id string, stem string, path string, length long, sha256 string, duration_s double, error string, tag int, channels int, rate int, bits int, at long, frames long"
 #: Blocks that one row of a reading plan covers, and tasks that read at most.
 RANGE_BLOCKS = 8
 MOST_TASKS = 10_000
@@ -179,17 +180,11 @@ def _probed(max_s: float, hashes: bool):
     return run
 
 
-def list_songs(
-    spark: SparkSession, path: str, *, rights_confirmed: bool, stem_from_name: bool = False, max_s: float = 600, most_bytes: int = MOST_BYTES, hashes: bool = True
+def facts(
+    found: DataFrame, *, rights_confirmed: bool, stem_from_name: bool = False, max_s: float = 600, most_bytes: int = MOST_BYTES, hashes: bool = True
 ) -> DataFrame:
-    """song_id, stem, path, length, sha256, duration_s, ``error`` (null if the file can be taken), and where which samples lie, of each file.
-
-    With ``stem_from_name`` a file is <song>/<stem>.wav, else a whole mix. A file
-    that is damaged, too long or too large has a row that says so, and none of the
-    others suffers; one without a single byte has none, as Spark's listing leaves
-    it out. Nothing but headers is read, unless digests are asked for.
-    """
-    prepare(spark)
+    """``LISTED`` of (path, length), of a table or a stream: nothing but headers is read, unless digests are asked for."""
+    prepare(found.sparkSession)
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
@@ -200,9 +195,21 @@ def list_songs(
         .when(~suffix.isin("wav", "wave"), "only WAV is decoded here")
     )
     song = F.element_at(F.split("path", "/"), -2) if stem_from_name else stem
-    rows = files.listed(spark, path).select(song.alias("song_id"), (stem if stem_from_name else F.lit("mix")).alias("stem"), "path", "length", error.alias("error"))
-    kinds = "song_id string, stem string, path string, length long, sha256 string, duration_s double, error string, tag int, channels int, rate int, bits int, at long, frames long"
-    return rows.mapInArrow(_probed(max_s, hashes), kinds)
+    rows = found.select(song.alias("song_id"), (stem if stem_from_name else F.lit("mix")).alias("stem"), "path", "length", error.alias("error"))
+    return rows.mapInArrow(_probed(max_s, hashes), LISTED)
+
+
+def list_songs(
+    spark: SparkSession, path: str, *, rights_confirmed: bool, stem_from_name: bool = False, max_s: float = 600, most_bytes: int = MOST_BYTES, hashes: bool = True
+) -> DataFrame:
+    """song_id, stem, path, length, sha256, duration_s, ``error`` (null if the file can be taken), and where which samples lie, of each file.
+
+    With ``stem_from_name`` a file is <song>/<stem>.wav, else a whole mix. A file
+    that is damaged, too long or too large has a row that says so, and none of the
+    others suffers; one without a single byte has none, as Spark's listing leaves
+    it out.
+    """
+    return facts(files.listed(spark, path), rights_confirmed=rights_confirmed, stem_from_name=stem_from_name, max_s=max_s, most_bytes=most_bytes, hashes=hashes)
 
 
 def _read(rate: int):
