@@ -107,6 +107,8 @@ def chunks_by_bytes(offsets: np.ndarray, most: int):
 
 #: A group is handed to all tasks with its facts only if there are no more such groups than this (32 bytes each, about).
 BROADCAST_GROUPS = 500_000
+#: Partitions of a shuffle at most; more buckets than this share partitions, sorted by bucket.
+MOST_PARTITIONS = 10_000
 #: Neighbours beyond which a node's rows are joined with their least by a broadcast, if there are few enough such nodes.
 HUB = 5000
 
@@ -201,6 +203,18 @@ def groups(batches, keys: list[str]):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def by_buckets(rows: DataFrame, buckets: int, *order, column: str = "bucket") -> DataFrame:
+    """Deal out rows by a number of 0 to ``buckets`` - 1, buckets in a row to a partition where they are many, and sort by it and ``order``."""
+    parts = min(buckets, MOST_PARTITIONS)
+    part = F.expr(f"cast(cast({column} as bigint) * {parts} div {buckets} as int)")
+    return rows.repartitionById(parts, part).sortWithinPartitions(column, *order)
+
+
+def few(table: DataFrame) -> DataFrame:
+    """The table, for a broadcast if it has no more than ``BROADCAST_GROUPS`` rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
+
+
 def large_groups(rows: DataFrame, keys: list[str], most: int, label: str) -> tuple[DataFrame, int]:
     """(keys, n) of the groups of more than ``most`` rows, and how many there are."""
     found = stored(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most), label)

@@ -119,6 +119,13 @@ def leaves_of(unit: np.ndarray, forest, spills: int = SPILLS, trees: range | Non
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
     vectors = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return _normed(vectors)
+
+
+def _normed(vectors: np.ndarray) -> np.ndarray:
+    """Of length 1. Divided by a power of two near the largest component first, which changes no digit and keeps squares in range."""
+    largest = np.abs(vectors).max(axis=1, keepdims=True)
+    vectors = np.ldexp(vectors, -np.frexp(largest)[1])
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -257,7 +264,7 @@ def near_duplicates(
             if not len(fitted):
                 depth, fitted = 0, np.zeros((1, dim))
             else:
-                fitted /= np.linalg.norm(fitted, axis=1, keepdims=True)
+                fitted = _normed(fitted)
         forests[dim] = fit_forest(fitted, depth, trees or trees_of(depth), spill)
 
     kind = classes.schema["vector"].dataType.simpleString()

@@ -4,7 +4,10 @@ The first pass scatters records uniformly into buckets that fit a task's
 memory, by a seeded hash of the key columns and the text. The second reads a bucket, puts it
 in a fixed order, shuffles it by Fisher-Yates with a generator seeded by the
 bucket, and writes it. The buckets in a row are one permutation of all records,
-and shards are equal cuts of it, so their counts differ by one at most.
+and shards are equal cuts of it, so their counts differ by one at most. There
+are as many buckets as the records need; beyond ``common.MOST_PARTITIONS`` several
+share a partition, one after the other, and only partitions' counts are known
+to all tasks.
 
 Rows equal in key and text share a bucket. Where they alone fill one, they are
 scattered at random instead, and that choice is written to the shared folder, so
@@ -27,8 +30,6 @@ from . import common
 
 SHARDS = 40
 BUCKET_BYTES = 24 << 20
-#: The offsets of the buckets are sent to all tasks, 32 MB at most; beyond 100 TB buckets grow instead.
-MAX_BUCKETS = 4_000_000
 
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
@@ -40,37 +41,26 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
     return np.array(order, np.int64)
 
 
-def _shuffled(offsets: np.ndarray, shards: int, total: int, seed: int):
+def _shuffled(bases: np.ndarray, buckets: int, shards: int, total: int, seed: int):
+    """``bases``: the records before each partition."""
     # Cuts of 0..total whose sizes differ by one at most.
     cuts = np.arange(shards + 1) * total // shards
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def bucket(number: int, pieces: list[pa.RecordBatch]):
-            table = pa.Table.from_batches(pieces).drop_columns(["_bucket"])
+        part = start = None
+        for pieces in common.groups(batches, ["_bucket"]):
+            number = pieces["_bucket"][0].as_py()
+            if (own := number * len(bases) // buckets) != part:
+                part, start = own, int(bases[own])
+            table = pieces.drop_columns(["_bucket"])
             order = fisher_yates(len(table), seed * 1_000_003 + number)
             for i in range(0, len(order), common.BATCH_ROWS):
                 some = table.take(pa.array(order[i : i + common.BATCH_ROWS]))
-                place = offsets[number] + i + np.arange(len(some))
+                place = start + i + np.arange(len(some))
                 shard = np.searchsorted(cuts, place, side="right") - 1
                 some = some.append_column("shard", pa.array(shard, pa.int32()))
                 yield from some.append_column("slot", pa.array(place - cuts[shard], pa.int64())).to_batches()
-
-        now = None
-        for batch in batches:
-            numbers = batch["_bucket"].to_numpy()
-            bounds = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if a == b:
-                    continue
-                if now is not None and numbers[a] != now:
-                    yield from bucket(now, held)
-                    held = []
-                now = int(numbers[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from bucket(now, held)
+            start += len(order)
 
     return run
 
@@ -86,9 +76,9 @@ def write_shards(
     text_col, key = (f"{text_col}_in" if text_col in taken else text_col), [f"{c}_in" if c in taken else c for c in key]
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + 16
     total_size = rows.agg(F.sum(size)).first()[0] or 0
-    buckets = min(max(1, -(-total_size // bucket_bytes)), MAX_BUCKETS)
+    buckets = max(1, -(-total_size // bucket_bytes))
     mark = F.xxhash64(F.lit(seed), *key, F.xxhash64(text_col))
-    bucket = F.pmod(mark, F.lit(buckets)).cast("int")
+    bucket = F.pmod(mark, F.lit(buckets)).cast("long")
 
     def counted(rows: DataFrame) -> DataFrame:
         return rows.groupBy("_bucket").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
@@ -97,22 +87,24 @@ def write_shards(
     counts = counted(rows)
     heavy = common.stored(counts.where(F.col("bytes") > 2 * max(bucket_bytes, total_size // buckets)).select("_bucket"), "heavy-buckets")
     if not heavy.isEmpty():
-        marked = rows.withColumn("_mark", mark).join(F.broadcast(heavy), "_bucket", "left_semi")
+        marked = rows.withColumn("_mark", mark).join(common.few(heavy), "_bucket", "left_semi")
         hot = marked.groupBy("_mark").agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > bucket_bytes // 2) & (F.col("n") > 1))
         # At most two for each bucket.
         hot = common.stored(hot.select("_mark", F.lit(True).alias("_hot")), "hot-keys")
-        rows = rows.withColumn("_mark", mark).join(F.broadcast(hot), "_mark", "left")
-        scattered = F.when(F.col("_hot"), F.floor(F.rand(seed) * buckets).cast("int")).otherwise(F.col("_bucket"))
+        rows = rows.withColumn("_mark", mark).join(common.few(hot), "_mark", "left")
+        scattered = F.when(F.col("_hot"), F.floor(F.rand(seed) * buckets).cast("long")).otherwise(F.col("_bucket"))
         rows = common.stored(rows.withColumn("_bucket", scattered).drop("_mark", "_hot"), "scattered")
         counts = counted(rows)
-    counts = counts.select("_bucket", "n").toArrow()  # at most MAX_BUCKETS rows
-    filled = np.zeros(buckets, np.int64)
-    filled[counts["_bucket"].to_numpy()] = counts["n"].to_numpy()
-    offsets, total = np.cumsum(filled) - filled, int(filled.sum())
+    parts = min(buckets, common.MOST_PARTITIONS)
+    told = counts.groupBy(F.expr(f"_bucket * {parts} div {buckets}").alias("part")).agg(F.sum("n").alias("n")).collect()
+    filled = np.zeros(parts, np.int64)
+    for r in told:
+        filled[r["part"]] = r["n"]
+    bases, total = np.cumsum(filled) - filled, int(filled.sum())
     schema = T.StructType([f for f in rows.schema if f.name != "_bucket"])
     schema = schema.add("shard", T.IntegerType()).add("slot", T.LongType())
-    dealt = rows.repartitionById(buckets, F.col("_bucket")).sortWithinPartitions("_bucket", *key, F.xxhash64(text_col))
-    dealt.mapInArrow(_shuffled(offsets, shards, total, seed), schema).write.partitionBy("shard").parquet(path)
+    dealt = common.by_buckets(rows, buckets, *key, F.xxhash64(text_col), column="_bucket")
+    dealt.mapInArrow(_shuffled(bases, buckets, shards, total, seed), schema).write.partitionBy("shard").parquet(path)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -529,8 +529,7 @@ def remove_repeats(
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(spark.sparkContext.defaultParallelism, -(-size // bucket_bytes))
     dealt = rows.select("key", "th", "text").mapInArrow(_map_contexts(length, buckets), _BLOB)
-    dealt = dealt.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-    found = common.stored(dealt.mapInArrow(_reduce_contexts(length, common_anchor), _FOUND), "contexts")
+    found = common.stored(common.by_buckets(dealt, buckets).mapInArrow(_reduce_contexts(length, common_anchor), _FOUND), "contexts")
 
     def with_texts(found: DataFrame, names: list[str], how: str) -> DataFrame:
         lists = found.groupBy("key", "th").agg(F.collect_list(F.struct(*names)).alias("found"))
@@ -543,7 +542,7 @@ def remove_repeats(
     open_ = open_.join(common_, "akey", "left").withColumn("common", F.coalesce("common", F.lit(False)))
     several = with_texts(open_, ["akey", "s", "e", "common"], "inner").select("key", "th", "text", "found")
     cut = several.mapInArrow(_cut_contexts(length), _CUT)
-    cut = cut.repartition(buckets, "akey").sortWithinPartitions("akey", "key", "th", "s")
+    cut = cut.repartition(min(buckets, common.MOST_PARTITIONS), "akey").sortWithinPartitions("akey", "key", "th", "s")
     more = common.stored(cut.mapInArrow(_sort_candidates(length), _FOUND), "suffixes")
     gone = found.where("kind = 1").unionByName(more)
     return with_texts(gone, ["s", "e"], "left").select("doc_id", "text", "found").mapInArrow(

@@ -211,7 +211,12 @@ def split_entries(links: DataFrame) -> DataFrame:
             onward = jump.select("file", F.col("at").alias("to"), F.col("to").alias("next"))
             jump = jump.join(onward, ["file", "to"], "left")
             jump = common.stored(jump.select("file", "at", F.coalesce("next", "to").alias("to")), "warc-jump")
-    inside = bases.join(reached, "file").where("at >= base and at < base + size")
+    # What is reached lies in the last split that begins at or before it: one sort of both.
+    places = bases.select("file", F.col("base").alias("at"), F.struct("block", "base", "size").alias("split"))
+    places = places.unionByName(reached.select("file", "at", F.lit(None).cast(places.schema["split"].dataType).alias("split")))
+    latest = Window.partitionBy("file").orderBy("at", F.col("split").isNull(), "split.block").rowsBetween(Window.unboundedPreceding, 0)
+    inside = places.withColumn("own", F.last("split", ignorenulls=True).over(latest)).where("split is null")
+    inside = inside.where("at < own.base + own.size").select("file", F.col("own.block").alias("block"), "at")
     inside = inside.groupBy("file", "block").agg(F.min("at").alias("entry"))
     totals = bases.groupBy("file").agg(F.sum("size").alias("total"))
     whole = totals.join(reached.groupBy("file").agg(F.max("at").alias("last")), "file").select("file", (F.col("last") >= F.col("total")).alias("whole"))

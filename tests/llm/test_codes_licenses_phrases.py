@@ -242,3 +242,38 @@ def test_phrases_with_full_bits_are_the_same(spark, monkeypatch):
     table = spark.createDataFrame(rows, "lang string, text string")
     monkeypatch.setattr(phrases, "MOST_BITS", 64)
     assert by_id(phrases.phrases(table).collect()) == by_id(plain_phrases(rows))
+
+
+# Buckets that share partitions, and vectors of extreme components
+
+
+def test_buckets_that_share_partitions(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessella.llm import sharding, suffix_dedup
+
+    rng = random.Random(11)
+    passage = " ".join(rng.choice(["stone", "river", "light", "house"]) + str(rng.randrange(50)) for _ in range(60))
+    rows = [(i, " ".join(str(rng.randrange(10**6)) for _ in range(60)) + (passage if i % 5 == 0 else "")) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    shards, spans = [], []
+    for most in (10_000, 3):
+        monkeypatch.setattr(common, "MOST_PARTITIONS", most)
+        path = str(tmp_path / str(most))
+        sharding.write_shards(table, path, shards=7, bucket_bytes=3000)
+        shards.append(sorted(map(tuple, spark.read.parquet(path).select("doc_id", "text", "shard", "slot").collect())))
+        gone = suffix_dedup.remove_repeats(table, bucket_bytes=4000).select("doc_id", "n_removed", F.md5("kept"))
+        spans.append(sorted(map(tuple, gone.collect())))
+    assert shards[0] == shards[1] and spans[0] == spans[1] and sum(r[1] for r in spans[0]) > 50 * 100
+    counts = Counter(r[2] for r in shards[0])
+    assert max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r[3] for r in shards[0] if r[2] == k) == list(range(n)) for k, n in counts.items())
+
+
+def test_vectors_of_extreme_components(spark):
+    from tessella.llm import embeddings
+
+    base = [0.3, -0.7, 0.64]
+    rows = [(0, base), (1, [x * 1e200 for x in base]), (2, [x * 1e-200 for x in base]), (3, [5e-324, 0.0, 0.0]), (4, [1.7e308, 1e300, 0.0]), (5, [-x * 1e250 for x in base]), (6, [0.0] * 3), (7, [float("inf"), 0.0, 0.0])]
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(0, 2, 0), (1, 2, 0), (2, 2, 0), (3, 1, 3), (4, 1, 3), (5, 0, 5), (6, 0, 6), (7, 0, 7)]
