@@ -47,16 +47,25 @@ def separator_stem(file_stem, known) -> Column:
     return F.when(F.lower(name).isin(*known) | (inside == ""), F.lower(name)).otherwise(inside)
 
 
+def stripped(text) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(as_column(text), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def sanitised_song(name) -> Column:
-    return F.trim(F.regexp_replace(as_column(name), r'[\\/:*?"<>|]+', "_"))
+    return stripped(F.regexp_replace(as_column(name), r'[\\/:*?"<>|]+', "_"))
 
 
 def upload_name(name) -> Column:
-    """The stem of an upload, 80 characters at most, and its suffix in lower case."""
-    name = as_column(name)
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    suffix = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
-    return F.concat(F.substring(F.regexp_replace(stem, r"[^\w\- .()]+", "_"), 1, 80), suffix)
+    """The stem of an upload, 80 characters at most and "song" if nothing is left of it, and its suffix in lower case.
+
+    Letters and digits of all scripts stay. A name that begins or ends with its only full stop has no suffix.
+    """
+    last = F.element_at(F.split(as_column(name), "/"), -1)
+    suffix = F.regexp_extract(last, r"(?s)^.+(\.[^.]+)$", 1)
+    stem = F.substring(last, F.lit(1), F.length(last) - F.length(suffix))
+    stem = stripped(F.regexp_replace(stem, r"[^\p{L}\p{N}_\- .()]+", "_"))
+    return F.concat(F.when(stem == "", "song").otherwise(F.substring(stem, 1, 80)), F.lower(suffix))
 
 
 def export_clean(text) -> Column:
@@ -64,16 +73,27 @@ def export_clean(text) -> Column:
     return F.regexp_replace(plain, r"^_+|_+$", "")
 
 
-def pad_split(text) -> Column:
-    """'drums=6,vocals=4' as an array of (stem, count) in order; null counts where a number is missing."""
-    parts = F.filter(F.split(as_column(text), ","), lambda p: F.trim(p) != "")
+def pad_pairs(text) -> Column:
+    """'drums=6, vocals=4' as an array of (part, stem, count) in order; the count is null where a part isn't a name and a number."""
 
     def pair(p):
-        value = F.trim(F.try_element_at(F.split(p, "="), F.lit(2)))
-        count = F.when(value.rlike("^[0-9]+$"), value.cast("int"))
-        return F.struct(F.trim(F.element_at(F.split(p, "="), 1)).alias("stem"), count.alias("count"))
+        name, value = stripped(F.regexp_extract(p, r"(?s)^([^=]*)", 1)), stripped(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1))
+        count = F.when((name != "") & value.rlike("^[0-9]+$"), value.try_cast("int"))
+        return F.struct(p.alias("part"), name.alias("stem"), count.alias("count"))
+
+    return F.transform(F.split(as_column(text), ","), pair)
+
+
+def pad_split(text) -> Column:
+    """'drums=6,vocals=4' as an array of (stem, count) in order, blank parts left out; null counts where a number is missing."""
+    filled = F.filter(pad_pairs(text), lambda p: stripped(p["part"]) != "")
+    return F.transform(filled, lambda p: F.struct(p["stem"].alias("stem"), p["count"].alias("count")))
+
 
-    return F.transform(parts, pair)
+def pad_split_error(text) -> Column:
+    """What is wrong with a split written by hand: its first part, blank ones too, that isn't a name and a number; else null."""
+    bad = F.get(F.filter(pad_pairs(text), lambda p: p["count"].isNull()), F.lit(0))
+    return F.when(bad.isNotNull(), F.concat(F.lit("expected stem=count, got '"), bad["part"], F.lit("'")))
 
 
 def file_number(index_in_bank, top_first: bool = True) -> Column:

@@ -228,8 +228,8 @@ def q61_folder_name(spark, sf_dir):
 
 @query("""WITH p AS (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) - 1 AS i FROM part),
 k AS (SELECT p_brand, unnest(range(16)) AS i FROM (SELECT DISTINCT p_brand FROM part)),
-c AS (SELECT k.p_brand, 3 - k.i // 4 AS line, k.i % 4 AS col, lpad(((3 - k.i // 4) * 4 + k.i % 4 + 1)::VARCHAR, 2, '0') || ' ' || coalesce(trim(regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g'), '_'), 'Empty') AS name FROM k LEFT JOIN p USING (p_brand, i)),
-l AS (SELECT p_brand, line, rtrim(string_agg(rpad(name, 24, ' '), '' ORDER BY col)) AS text FROM c GROUP BY 1, 2)
+c AS (SELECT k.p_brand, 3 - k.i // 4 AS line, k.i % 4 AS col, lpad(((3 - k.i // 4) * 4 + k.i % 4 + 1)::VARCHAR, 2, '0') || ' ' || coalesce(p_name, '(empty)') AS name FROM k LEFT JOIN p USING (p_brand, i)),
+l AS (SELECT p_brand, line, '  ' || string_agg(rpad(left(name, 24), 24, ' '), ' | ' ORDER BY col) AS text FROM c GROUP BY 1, 2)
 SELECT p_brand, string_agg(text, chr(10) ORDER BY line) AS map FROM l GROUP BY 1""")
 def q62_pad_maps(spark, sf_dir):
     """Each brand's best 16 parts as a map of four by four pads."""
@@ -238,14 +238,35 @@ def q62_pad_maps(spark, sf_dir):
     slices = p.select("song_id", F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("pad").alias("kept_ord"))
     pads = p.select("song_id").distinct().withColumn("pad", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(16).cast("long"))))
     pads = pads.join(p.select("song_id", "pad", F.col("p_partkey").alias("slice_id")), ["song_id", "pad"], "left")
-    return export.pad_maps(export.export_plan(pads, slices)).select(F.col("song_id").alias("p_brand"), "map")
+    return export.pad_maps(export.export_plan(pads, slices), slices).select(F.col("song_id").alias("p_brand"), "map")
 
 
-@query(r"""WITH u AS (SELECT page_id, url || CASE WHEN page_id % 3 = 0 THEN '.WAV' WHEN page_id % 3 = 1 THEN '' ELSE ' (final) Mix.Mp3' END AS name FROM pages)
-SELECT page_id, left(regexp_replace(regexp_replace(name, '\.[^.]*$', ''), '[^\w\- .()]+', '_', 'g'), 80) || lower(regexp_extract(name, '(\.[^.]*)$', 1)) AS upload FROM u""")
+@query(r"""WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url || '.WAV' WHEN 1 THEN url || '/Größe ' || page_id || '.Mix.Mp3' WHEN 2 THEN 'a/' || left(url, 3) || ' 夜曲·' || page_id || ' ' WHEN 3 THEN url || '/.hidden' || page_id ELSE url || '/ …' || repeat('!', (page_id % 4)::INT) || ' .Flac' END AS name FROM pages),
+l AS (SELECT page_id, list_last(string_split(name, '/')) AS last FROM u), x AS (SELECT page_id, last, regexp_extract(last, '^.+(\.[^.]+)$', 1) AS suffix FROM l),
+s AS (SELECT page_id, suffix, trim(regexp_replace(left(last, length(last) - length(suffix)), '[^\p{L}\p{N}_\- .()]+', '_', 'g')) AS stem FROM x)
+SELECT page_id, CASE WHEN stem = '' THEN 'song' ELSE left(stem, 80) END || lower(suffix) AS upload FROM s""")
 def q63_upload_name(spark, sf_dir):
-    more = F.when(F.col("page_id") % 3 == 0, ".WAV").when(F.col("page_id") % 3 == 1, "").otherwise(" (final) Mix.Mp3")
-    return table(spark, sf_dir, "pages").select("page_id", labels.upload_name(F.concat("url", more)).alias("upload"))
+    """Names of uploads: paths, letters of all scripts, hidden files, names of little but signs."""
+    k, n, url = F.col("page_id") % 5, F.col("page_id").cast("string"), F.col("url")
+    name = (
+        F.when(k == 0, F.concat(url, F.lit(".WAV"))).when(k == 1, F.concat(url, F.lit("/Größe "), n, F.lit(".Mix.Mp3"))).when(k == 2, F.concat(F.lit("a/"), F.substring(url, 1, 3), F.lit(" 夜曲·"), n, F.lit(" ")))
+        .when(k == 3, F.concat(url, F.lit("/.hidden"), n)).otherwise(F.concat(url, F.lit("/ …"), F.repeat(F.lit("!"), (F.col("page_id") % 4).cast("int")), F.lit(" .Flac")))
+    )
+    return table(spark, sf_dir, "pages").select("page_id", labels.upload_name(name).alias("upload"))
+
+
+@query(r"""WITH s AS (SELECT p_partkey, 'drums=' || p_size || CASE WHEN p_partkey % 3 = 0 THEN ',' ELSE '' END || ', vocals = ' || CASE WHEN p_partkey % 4 = 0 THEN p_brand ELSE (p_partkey % 9)::VARCHAR END || CASE WHEN p_partkey % 5 = 0 THEN ',=4' WHEN p_partkey % 5 = 1 THEN ',bass=1=2' ELSE '' END AS spec FROM part),
+p AS (SELECT p_partkey, unnest(string_split(spec, ',')) AS part, unnest(range(len(string_split(spec, ',')))) AS i FROM s),
+b AS (SELECT p_partkey, arg_min(part, i) AS part FROM p WHERE NOT regexp_matches(part, '^\s*[^=\s][^=]*=\s*[0-9]+\s*$') GROUP BY 1)
+SELECT s.p_partkey, 'expected stem=count, got ' || chr(39) || b.part || chr(39) AS error FROM s LEFT JOIN b USING (p_partkey)""")
+def q82_pad_split_errors(spark, sf_dir):
+    """What is wrong with splits written by hand."""
+    k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    spec = F.concat(
+        F.lit("drums="), F.col("p_size").cast("string"), F.when(k % 3 == 0, ",").otherwise(""), F.lit(", vocals = "), F.when(k % 4 == 0, F.col("p_brand")).otherwise((k % 9).cast("string")),
+        F.when(k % 5 == 0, ",=4").when(k % 5 == 1, ",bass=1=2").otherwise(""),
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", labels.pad_split_error(spec).alias("error"))
 
 
 @query("SELECT event_id, (floor(value)::INT // 60) || ':' || lpad((floor(value)::INT % 60)::VARCHAR, 2, '0') AS clock FROM events")
@@ -323,6 +344,26 @@ def q70_todo(spark, sf_dir):
     return jobs.todo(stage_log(spark, sf_dir), "kit")
 
 
+@query(f"""WITH l AS ({LOG}), q AS (SELECT user_id::VARCHAR AS song_id, min(event_id) AS e FROM events GROUP BY 1),
+d AS (SELECT song_id, list(stage) FILTER (status = 'done') AS done FROM l GROUP BY 1),
+w AS (SELECT q.song_id, coalesce(done, []::VARCHAR[]) AS done, CASE e % 6 WHEN 0 THEN 'pick' WHEN 1 THEN 'split' END AS alone, CASE e % 6 WHEN 2 THEN 'analyze' END AS start_at, CASE WHEN e % 5 > 0 THEN 'x' END AS source, e % 11 = 0 AS force FROM q LEFT JOIN d USING (song_id)),
+x AS (SELECT *, CASE WHEN force THEN [] WHEN alone = 'split' THEN done WHEN alone = 'pick' THEN list_filter(done, lambda s: s IN ('ingest', 'separate', 'analyze')) WHEN start_at = 'analyze' THEN list_filter(done, lambda s: s IN ('ingest', 'separate')) ELSE done END AS have FROM w),
+m AS (SELECT *, list_filter(['ingest', 'separate', 'analyze', 'pick', 'render'], lambda s: NOT list_contains(have, s)) AS missing FROM x)
+SELECT song_id, CASE WHEN alone = 'split' THEN '' WHEN alone = 'pick' THEN CASE WHEN len(list_filter(missing, lambda s: s IN ('ingest', 'separate', 'analyze'))) > 0 THEN '' ELSE 'pick' END
+  WHEN list_contains(missing, 'ingest') AND source IS NULL THEN '' ELSE array_to_string(missing, ',') END AS stages,
+ CASE WHEN alone = 'split' THEN 'the kit mode has no stage split' WHEN alone = 'pick' THEN CASE WHEN len(list_filter(missing, lambda s: s IN ('ingest', 'separate', 'analyze'))) > 0 THEN 'can''t run pick before ' || array_to_string(list_filter(missing, lambda s: s IN ('ingest', 'separate', 'analyze')), ', ') END
+  WHEN list_contains(missing, 'ingest') AND source IS NULL THEN 'no input' END AS error FROM m""")
+def q83_run_plans(spark, sf_dir):
+    """What each song's next run does: one stage, all from one on, or what is missing; forced ones begin anew."""
+    e = F.col("e")
+    asked = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("song_id")).agg(F.min("event_id").alias("e"))
+    asked = asked.select(
+        "song_id", F.lit("kit").alias("mode"), F.when(e % 6 == 0, "pick").when(e % 6 == 1, "split").alias("only"), F.when(e % 6 == 2, "analyze").alias("start_at"), (e % 11 == 0).alias("force"),
+        F.when(e % 5 > 0, "x").alias("source"), F.lit(None).cast("string").alias("previous"), F.lit(True).alias("satisfied"),
+    )
+    return jobs.run_plans(asked, stage_log(spark, sf_dir)).select("song_id", F.array_join("stages", ",").alias("stages"), "error")
+
+
 @query(f"""WITH l AS ({LOG}) SELECT * FROM l WHERE stage IN ('ingest', 'separate')""")
 def q71_invalidated(spark, sf_dir):
     return jobs.invalidate_from(stage_log(spark, sf_dir), "analyze").select("song_id", "stage", "status")

@@ -52,22 +52,36 @@ def keep_top(df: DataFrame, n: int | Column, by: Sequence[str], order: Sequence[
 
 
 def above_floor(df: DataFrame, share: float, by: Sequence[str], score: str = "score") -> DataFrame:
-    """Rows of at least ``share`` of their group's best score."""
-    best = F.max(score).over(Window.partitionBy(*by))
-    return df.withColumn("_best", best).where(F.col(score) >= share * F.col("_best")).drop("_best")
+    """Rows of at least ``share`` of their group's best score, which is aggregated before it meets them: no task gets a group's rows."""
+    best = df.groupBy(*by).agg(F.max(score).alias("_best"))
+    return df.join(best, list(by)).where(F.col(score) >= share * F.col("_best")).drop("_best")
 
 
-def deal(
-    df: DataFrame, *, group: Sequence[str], queue: str, queue_order: str | Column, score: str, ties: str, count: int | Column
+def deal_ranks(
+    df: DataFrame, *, group: Sequence[str], queue: str, queue_order: str | Column, score: str, ties: str, count: int | Column, among: Column | None = None
 ) -> DataFrame:
-    """Deal round-robin: in each group one row of each queue in turn, best first, until ``count``.
+    """Add ``deal_rank``: where a row comes if in each group one row of each queue is dealt in turn, best first.
 
-    Adds ``deal_rank``. A cycle takes the best not yet dealt of every queue that
-    has one, so the deal is the order by (rank in the queue, queue).
+    A cycle takes the best not yet dealt of every queue that has one, so the deal
+    is the order by (rank in the queue, queue). Rows that can't be among the first
+    ``count``, or aren't ``among`` those that are dealt, have none; without
+    ``among`` they go.
     """
-    ranked = stable_rank(df, "_cycle", [*group, queue], [F.desc(score), ties]).where(F.col("_cycle") <= count)
-    ranked = stable_rank(ranked, "deal_rank", group, ["_cycle", queue_order, F.desc(score), ties])
-    return ranked.where(F.col("deal_rank") <= count).drop("_cycle")
+    keys = list(group) if among is None else [*group, "_among"]
+    rows = df if among is None else df.withColumn("_among", among)
+    ranked = stable_rank(rows, "_cycle", [*keys, queue], [F.desc(score), ties])
+    ranked = ranked.where(F.col("_cycle") <= count) if among is None else ranked
+    ranked = stable_rank(ranked, "deal_rank", keys, ["_cycle", queue_order, F.desc(score), ties])
+    if among is not None:
+        ranked = ranked.withColumn("deal_rank", F.when(F.col("_among") & (F.col("deal_rank") <= count), F.col("deal_rank"))).drop("_among")
+    return ranked.drop("_cycle")
+
+
+def deal(
+    df: DataFrame, *, group: Sequence[str], queue: str, queue_order: str | Column, score: str, ties: str, count: int | Column
+) -> DataFrame:
+    """The first ``count`` rows of each group by ``deal_ranks``."""
+    return deal_ranks(df, group=group, queue=queue, queue_order=queue_order, score=score, ties=ties, count=count).where(F.col("deal_rank") <= count)
 
 
 def pair_in_order(

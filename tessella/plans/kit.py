@@ -22,44 +22,62 @@ def category_rank():
     return F.coalesce(*known, F.col("category"))
 
 
-def choose_pads(found: DataFrame, cfg: dict) -> tuple[DataFrame, DataFrame]:
-    """(song_id, pad, slice_id), and (song_id, slice_id, kept_ord) of pads, then backups."""
+def choices(found: DataFrame, cfg: dict) -> DataFrame:
+    """Every candidate with ``pad`` and ``kept_ord``, null where it has none.
+
+    Pads are dealt by stem among the representatives above the floor, then filled
+    up from the stem, then from the song; backups are the best of what is left of
+    each stem. All ranks are windows within a song, so its rows, a few thousand at
+    most, are brought together once, and nothing is joined.
+    """
     kit = cfg["kit"]
-    spark = found.sparkSession
-    usable = found.where("score > 0")
-    wanted = spark.createDataFrame(list(kit["pad_split"].items()), "stem string, count int")
-    songs = found.select("song_id").distinct()
-    split = F.broadcast(wanted)
-
+    names, total = list(kit["pad_split"]), sum(kit["pad_split"].values())
+    first = {s: sum(kit["pad_split"][x] for x in names[:i]) for i, s in enumerate(names)}
+    count, base = (F.coalesce(F.create_map(*[F.lit(x) for s in names for x in (s, v[s])])[F.col("stem")], F.lit(0)) for v in (kit["pad_split"], first))
     known = F.create_map(*[F.lit(x) for s, order in CATEGORY_ORDER.items() for x in (s, "|".join(order))])
     listed = F.coalesce(F.array_contains(F.split(known[F.col("stem")], r"\|"), F.col("category")), F.lit(True))
-    reps = ranking.above_floor(usable.where("representative"), kit["min_relative_score"], ["song_id", "stem"]).where(listed)
-    reps = reps.join(split, "stem").withColumn("_turn", category_rank())
-    dealt = ranking.deal(reps, group=["song_id", "stem"], queue="category", queue_order="_turn", score="score", ties="ord", count=F.col("count"))
-    dealt = dealt.select("song_id", "stem", F.col("id").alias("slice_id"), F.col("deal_rank").alias("slot"))
-    had = dealt.groupBy("song_id", "stem").agg(F.count("*").alias("had"))
-    rest = usable.withColumnRenamed("id", "slice_id").join(dealt, ["song_id", "stem", "slice_id"], "left_anti").join(split, "stem")
-    rest = ranking.stable_rank(rest, "_more", ["song_id", "stem"], [F.desc("score"), "ord"]).join(had, ["song_id", "stem"], "left")
-    rest = rest.withColumn("slot", F.coalesce("had", F.lit(0)) + F.col("_more")).where("slot <= count")
-    picked = dealt.unionByName(rest.select("song_id", "stem", "slice_id", "slot"))
-
-    first = {s: sum(list(kit["pad_split"].values())[:i]) for i, s in enumerate(kit["pad_split"])}
-    base = F.create_map(*[F.lit(x) for s, n in first.items() for x in (s, n)])
-    every = F.array(*[F.struct(F.lit(s).alias("stem"), F.lit(i).cast("long").alias("slot")) for s, n in kit["pad_split"].items() for i in range(1, n + 1)])
-    slots = songs.select("song_id", F.explode(every).alias("s")).select("song_id", "s.stem", "s.slot")
-    pads = slots.join(picked, ["song_id", "stem", "slot"], "left").withColumn("pad", (base[F.col("stem")] + F.col("slot")).cast("int"))
-    empty = pads.where("slice_id is null").select("song_id", "pad")
-    left = usable.where("representative").withColumnRenamed("id", "slice_id").join(picked, ["song_id", "slice_id"], "left_anti")
-    extra = ranking.pair_in_order(empty, left.select("song_id", "slice_id", "score", "ord"), ["pad"], [F.desc("score"), "ord"], by=["song_id"])
-    pads = pads.join(extra.select("song_id", "pad", F.col("slice_id").alias("_extra")), ["song_id", "pad"], "left")
-    pads = pads.select("song_id", "pad", F.coalesce("slice_id", "_extra").alias("slice_id"))
-
-    on = pads.where("slice_id is not null")
-    spare = usable.withColumnRenamed("id", "slice_id").join(on, ["song_id", "slice_id"], "left_anti")
-    spare = ranking.keep_top(spare, kit["backups_per_stem"], ["song_id", "stem"], [F.desc("representative"), F.desc("score"), "ord"])
-    order = [F.desc("representative"), F.desc("score"), "ord"]
-    spare = ranking.stable_rank(spare, "_b", ["song_id"], ["stem", *order]).select("song_id", "slice_id", (F.lit(1000) + F.col("_b")).cast("int").alias("kept_ord"))
-    return pads, on.select("song_id", "slice_id", F.col("pad").alias("kept_ord")).unionByName(spare)
+    song, stem, best_first = Window.partitionBy("song_id"), Window.partitionBy("song_id", "stem"), [F.desc("score"), "ord"]
+
+    rows = found.repartition("song_id").withColumns({"_usable": F.coalesce(F.col("score") > 0, F.lit(False)), "_count": count, "_turn": category_rank()})
+    rep = F.col("_usable") & F.coalesce("representative", F.lit(False))
+    rows = rows.withColumn("_best", F.max(F.when(rep, F.col("score"))).over(stem))
+    good = rep & F.coalesce(F.col("score") >= kit["min_relative_score"] * F.col("_best"), F.lit(False)) & listed & (F.col("_count") > 0)
+    rows = ranking.deal_ranks(rows, group=["song_id", "stem"], queue="category", queue_order="_turn", score="score", ties="ord", count=F.col("_count"), among=good)
+    rows = rows.withColumns({"_had": F.count("deal_rank").over(stem), "_free": F.col("_usable") & F.col("deal_rank").isNull()})
+    more = F.row_number().over(Window.partitionBy("song_id", "stem", "_free").orderBy(*best_first))
+    rows = rows.withColumn("_slot", F.coalesce("deal_rank", F.when(F.col("_free"), F.col("_had") + more)))
+    rows = rows.withColumn("pad", F.when(F.col("_slot") <= F.col("_count"), base + F.col("_slot")).cast("int"))
+    # The k-th pad that is still empty gets the k-th best representative that is on none.
+    every = F.sequence(F.lit(1), F.lit(total))
+    rows = rows.withColumns({"_empty": F.array_except(every, F.collect_set("pad").over(song)), "_left": rep & F.col("pad").isNull()})
+    extra = F.row_number().over(Window.partitionBy("song_id", "_left").orderBy(*best_first))
+    rows = rows.withColumn("pad", F.coalesce("pad", F.when(F.col("_left"), F.get("_empty", extra - 1))))
+    rows = rows.withColumn("_spare", F.col("_usable") & F.col("pad").isNull())
+    order = [F.desc("representative"), *best_first]
+    rows = rows.withColumn("_b", F.row_number().over(Window.partitionBy("song_id", "stem", "_spare").orderBy(*order)))
+    rows = rows.withColumn("_spare", F.col("_spare") & (F.col("_b") <= kit["backups_per_stem"]))
+    backup = F.row_number().over(Window.partitionBy("song_id", "_spare").orderBy("stem", *order))
+    kept = F.coalesce("pad", F.when(F.col("_spare"), F.lit(1000) + backup))
+    return rows.select(*found.columns, "pad", kept.cast("int").alias("kept_ord"))
+
+
+def chosen_pads(chosen: DataFrame, cfg: dict) -> DataFrame:
+    """song_id, pad, slice_id of all pads of all songs; empty ones stay."""
+    on = F.map_from_entries(F.collect_list(F.when(F.col("pad").isNotNull(), F.struct("pad", "id"))))
+    songs = chosen.groupBy("song_id").agg(on.alias("on"))
+    every = F.explode(F.sequence(F.lit(1), F.lit(sum(cfg["kit"]["pad_split"].values()))))
+    return songs.select("song_id", "on", every.alias("pad")).select("song_id", "pad", F.col("on")[F.col("pad")].alias("slice_id"))
+
+
+def chosen_slices(chosen: DataFrame) -> DataFrame:
+    """song_id, slice_id, kept_ord of pads, then backups."""
+    return chosen.where("kept_ord is not null").select("song_id", F.col("id").alias("slice_id"), "kept_ord")
+
+
+def choose_pads(found: DataFrame, cfg: dict) -> tuple[DataFrame, DataFrame]:
+    """(song_id, pad, slice_id), and (song_id, slice_id, kept_ord) of pads, then backups."""
+    chosen = choices(found, cfg)
+    return chosen_pads(chosen, cfg), chosen_slices(chosen)
 
 
 def build(found: DataFrame, pads: DataFrame, kept: DataFrame, analysis: Analysis, cfg: dict, notes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

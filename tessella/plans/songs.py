@@ -57,8 +57,8 @@ def make_kits(mix: DataFrame, stems: DataFrame, cfg: dict, folder: str, source:
     frames = keep(fr.features(stems), "stem_frames")
     raw = keep(candidates.find_candidates(frames, stems, found, cfg), "candidates")
     rated = keep(scores.score(raw, stems, cfg), "scores")
-    pads, kept = kit.choose_pads(rated, cfg)
-    pads, kept = keep(pads, "pad_choice"), keep(kept, "kept")
+    chosen = keep(kit.choices(rated, cfg), "choices")
+    pads, kept = kit.chosen_pads(chosen, cfg), kit.chosen_slices(chosen)
     notes = keep(render.find_notes(rated, kept, stems), "notes")
     slices, pads = kit.build(rated, pads, kept, found, cfg, notes)
     return Kits(found, rated, keep(slices, "slices"), keep(pads, "pads"))

@@ -1,6 +1,5 @@
 """Damaged inputs, broken-off runs, large groups and long windows."""
 
-import io
 import os
 import shutil
 
@@ -128,10 +127,70 @@ def test_changed_sources_and_forced_jobs_lose_their_stages(spark):
 def test_export_has_every_file(spark):
     plan = spark.createDataFrame([("s", "Bank_A/01_Kick.wav", "k"), ("s", "Bank_A/02_Empty.wav", None)], "song_id string, path string, slice_id string")
     sound = spark.createDataFrame([("s", "k", bytearray(wav.encode(np.vstack([tone(0.5)] * 2), 8000, 24)))], "song_id string, id string, content binary")
-    maps = spark.createDataFrame([("s", "B", "two"), ("s", "A", "one")], "song_id string, bank string, map string")
-    got = {r.file: bytes(r.content) for r in export.export_files(plan, sound, maps, rate=16000).collect()}
+    texts = spark.createDataFrame([("s", "One\ntwo ö\n")], "song_id string, text string")
+    got = {r.file: bytes(r.content) for r in export.export_files(plan, sound, texts, rate=16000).collect()}
     assert set(got) == {"Bank_A/01_Kick.wav", "Bank_A/02_Empty.wav", "README.txt"}
     rate, x = wav.decode(got["Bank_A/01_Kick.wav"])
     assert rate == 16000 and x.shape == (2, 8000)
     assert wav.decode(got["Bank_A/02_Empty.wav"])[1].shape == (2, 800)
-    assert got["README.txt"].decode() == "Bank A\none\n\nBank B\ntwo" and io.BytesIO(got["README.txt"]).read()
+    assert got["README.txt"].decode() == "One\ntwo ö\n"
+
+
+def test_readme(spark):
+    slices = spark.createDataFrame([("s", "k", "Kick 1", 1), ("s", "v", "A label that is longer than a cell has room for", 2)], "song_id string, id string, label string, kept_ord int")
+    pads = spark.createDataFrame([("s", i, "k" if i == 1 else "v" if i == 18 else None) for i in range(1, 33)] + [("none", 1, None)], "song_id string, pad int, slice_id string")
+    facts = spark.createDataFrame([("s", "My song Kit", 120.04, "F minor"), ("none", "ö", None, None)], "song_id string, kit_name string, bpm double, key string")
+    got = {r.song_id: r.text.split("\n") for r in export.readmes(export.export_plan(pads, slices), slices, facts, rate=44100, bits=32).collect()}
+    lines = got["s"]
+    assert lines[:7] == ["My song Kit", "=" * 11, "", "Tempo: 120.0 BPM    Key: F minor", "Audio: 32-bit float WAV, 44.1 kHz, stereo", "Pad order: top row first (file 01 is the top-left pad)", ""]
+    empty = [f"{n:02d} (empty)".ljust(24) for n in range(1, 17)]
+    assert lines[7:9] == ["Bank A (as laid out on the pads):", ""] and lines[9] == "  " + " | ".join(empty[:4])
+    assert lines[12] == "  " + " | ".join(["13 Kick 1".ljust(24), *empty[13:]]) and lines[13] == ""
+    assert lines[14].startswith("Bank B") and lines[19] == "  " + " | ".join([empty[12], "14 A label that is longer than a cell"[:24], *empty[14:]])
+    assert lines[20] == "" and lines[21] == "How to load it" and lines[-1] == ""
+    assert got["none"][:2] == ["ö", "="] and got["none"][3] == "Tempo: unknown    Key: unknown" and got["none"][12].count(" " * 24) == 3
+    turned = export.readmes(export.export_plan(pads, slices, top_first=False), slices, facts, top_first=False).where("song_id = 's'").first().text
+    assert "01 Kick 1" in turned and "bottom-left" in turned and "24-bit WAV, 48 kHz" in turned
+
+
+PLAN = "song_id string, mode string, only string, start_at string, force boolean, source string, previous string, satisfied boolean"
+
+
+def test_run_plans(spark):
+    every = ["ingest", "separate", "analyze", "pick", "render"]
+    done = {"new": [], "all": every, "some": every[:3], "split": [*every[:3], "split"]}
+    status = spark.createDataFrame([(s, x, "done") for s, own in done.items() for x in own] + [("some", "pick", "failed")], "song_id string, stage string, status string")
+    cases = [
+        (("new", "kit", None, None, False, "a", None, True), [], every, None),
+        (("new", "kit", None, None, False, None, None, True), [], [], "no input"),
+        (("all", "kit", None, None, False, None, "a", True), [], [], None),
+        (("all", "kit", None, None, True, "a", "a", True), every, every, None),
+        (("all", "kit", None, None, False, "b", "a", True), every, every, None),
+        (("all", "kit", "pick", None, False, None, "a", True), ["pick", "render"], ["pick"], None),
+        (("all", "kit", None, "analyze", False, None, "a", True), every[2:], every[2:], None),
+        (("all", "kit", None, None, False, None, "a", False), ["separate", "pick", "render"], ["separate", "pick", "render"], None),
+        (("all", "split", None, None, False, None, "a", False), ["separate"], ["separate", "split"], None),
+        (("some", "kit", "render", None, False, None, "a", True), [], [], "can't run render before pick"),
+        (("new", "kit", "pick", None, False, None, None, True), [], [], "can't run pick before ingest, separate, analyze"),
+        (("split", "split", "render", None, False, None, "a", True), [], [], "the split mode has no stage render"),
+        (("split", "dance", None, None, False, None, "a", True), [], [], "unknown mode dance"),
+        (("split", "kit", None, "pick", False, None, "a", False), ["separate", "split"], ["separate", "pick", "render"], None),
+    ]
+    for request, dropped, stages, error in cases:
+        [r] = jobs.run_plans(spark.createDataFrame([request], PLAN), status).collect()
+        assert (r.dropped, r.stages, r.error) == (sorted(dropped), stages, error), request
+
+
+def test_stage_runs_and_options(spark):
+    import datetime
+
+    t = [datetime.datetime(2024, 1, 1, 0, 0, k) for k in range(20)]
+    rows = [("s", "pick", "running", t[0], None), ("s", "pick", "failed", t[3], "no"), ("s", "pick", "running", t[5], None), ("s", "pick", "done", t[9], None), ("s", "render", "running", t[9], None), ("s", "split", "done", t[4], None), ("s", "ingest", "done", t[1], None), ("s", "ingest", "running", t[2], None)]
+    got = {r.stage: (r.status, r.seconds, r.error) for r in jobs.stage_runs(spark.createDataFrame(rows, "song_id string, stage string, status string, at timestamp, error string")).collect()}
+    assert got == {"pick": ("done", 4.0, None), "render": ("running", None, None), "split": ("done", None, None), "ingest": ("running", None, None)}
+    forms = [(None, None, None, None, None, None, None), ("drums=10,vocals=6", "htdemucs_ft.v-2", "wav", True, False, None, True), ("drums=3", "a/b", "ogg", False, True, True, False), ("drums=8,,vocals=8", " ", "", None, None, None, None), ("x=16,y", "größe", "mp3", None, None, None, None)]
+    df = spark.createDataFrame([(i, *f) for i, f in enumerate(forms)], "i int, pads string, model string, format string, hq_vocals boolean, fast boolean, normalize boolean, include_stems boolean")
+    got = [(r.options, r.errors) for r in jobs.checked_options(df).orderBy("i").collect()]
+    assert got[0] == ({}, []) and got[1] == ({"pads": "drums=10,vocals=6", "model": "htdemucs_ft.v-2", "format": "wav", "hq_vocals": "true", "include_stems": "true"}, [])
+    assert got[2][1] == ["pad split: 3 pads; there are 16, 32 or 64", "unknown model name", "format must be wav, flac or mp3"]
+    assert got[3][1] == ["pad split: expected stem=count, got ''"] and "model" not in got[3][0] and got[4][1] == ["pad split: expected stem=count, got 'y'"]
