@@ -4,25 +4,29 @@ The vocabulary splits a text into words before it merges bytes, so the ids of
 a text are those of its words in a row. Texts are cut into words here, about
 ``AT_ONCE`` bytes at a time by Arrow where that is sure to be right, and each
 distinct word goes to the tokenizers library once; a worker remembers the ids of
-the words it has met, in about ``REMEMBERED`` bytes, and when these are full the
-half that it has met most often. A text that holds one of the
+the words it has met by 128 bits of hash, in about ``REMEMBERED`` bytes, and when
+these are full the half that it has met most often. A text that holds one of the
 vocabulary's special strings goes to the library whole.
 """
 
 from __future__ import annotations
 
 import gc
+import os
 import re
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+
+from . import common
 
 #: Bytes of remembered words, about, at which a worker drops the rarer half.
 REMEMBERED = 40 << 20
-#: What a remembered word takes besides its own bytes and ids.
-_WORD_BYTES = 180
+#: What a remembered word takes besides its ids: two halves of its hash, its number, and what is known of it.
+_WORD_BYTES = 36
 #: Bytes of text that are encoded at a time.
 AT_ONCE = 1 << 20
 _MARKS = (",", ".")
@@ -41,12 +45,12 @@ class _Grown:
     """An array that grows."""
 
     def __init__(self, kind: type) -> None:
-        self.room, self.n = np.zeros(1 << 16, kind), 0
+        self.room, self.n = np.zeros(1 << 12, kind), 0
 
     def extend(self, values) -> None:
         values = np.asarray(values, self.room.dtype)
         if self.n + len(values) > len(self.room):
-            self.room = np.concatenate((self.room[: self.n], np.zeros(self.n + len(values), self.room.dtype)))
+            self.room = np.concatenate((self.room[: self.n], np.zeros(self.n // 4 + len(values), self.room.dtype)))
         self.room[self.n : self.n + len(values)] = values
         self.n += len(values)
 
@@ -59,58 +63,81 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         self.tokenizer = Tokenizer.from_file(path)
         special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.special_pattern = "|".join(map(re.escape, special)) or None
         self.words = regex.compile(public_tokenizers.PATTERN).findall
-        self.code: dict[str, int] = {}
-        self.held = 0
-        self.uses = _Grown(np.int64)
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # in the order of the hashes
+        self._empty()
+
+    def _empty(self) -> None:
+        self.check, self.uses = _Grown(np.uint64), _Grown(np.int32)
         self.start, self.length, self.ids = _Grown(np.int32), _Grown(np.int32), _Grown(np.uint32)
         self.odd, self.sign, self.mark = _Grown(bool), _Grown(bool), _Grown(bool)
 
+    @property
+    def held(self) -> int:
+        return _WORD_BYTES * self.uses.n + 4 * self.ids.n
+
     def _forget(self) -> None:
         """Drop the words that were met least often, half of them at least."""
-        n = len(self.code)
+        n = self.uses.n
         uses = self.uses.room[:n]
-        keep = np.flatnonzero(uses > np.partition(uses, n // 2)[n // 2])
-        words, lengths = list(self.code), self.length.room[keep].astype(np.int64)
+        stay = uses > np.partition(uses, n // 2)[n // 2]
+        keep = np.flatnonzero(stay)
+        lengths = self.length.room[keep].astype(np.int64)
         before = np.cumsum(lengths) - lengths
         ids = self.ids.room[np.repeat(self.start.room[keep] - before, lengths) + np.arange(int(lengths.sum()))]
-        self.code = {words[k]: i for i, k in enumerate(keep.tolist())}
-        for name, values in (("uses", uses[keep] // 2), ("start", before), ("length", lengths), ("ids", ids), *((m, getattr(self, m).room[keep]) for m in ("odd", "sign", "mark"))):
-            grown = _Grown(getattr(self, name).room.dtype)
-            grown.extend(values)
-            setattr(self, name, grown)
-        self.held = _WORD_BYTES * len(keep) + sum(map(len, self.code)) + 4 * len(ids)
-
-    def _codes(self, words: list[str]) -> np.ndarray:
+        known = {m: getattr(self, m).room[keep] for m in ("check", "odd", "sign", "mark")} | {"uses": uses[keep] // 2, "start": before, "length": lengths, "ids": ids}
+        own = stay[self.numbers]
+        self.hashes, self.numbers = self.hashes[own], (np.cumsum(stay) - 1)[self.numbers[own]].astype(np.int32)
+        self._empty()
+        for name, values in known.items():
+            getattr(self, name).extend(values)
+
+    def _codes(self, words: pa.Array) -> np.ndarray:
         """The numbers of distinct words; those not met before are learnt."""
-        codes = np.fromiter(map(self.code.get, words, repeat(-1)), np.int32, len(words))
+        data, at = common.utf8(words)
+        data, at = data.tobytes(), at.tolist()
+        found = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]), np.uint64).reshape(-1, 2)
+        place = np.searchsorted(self.hashes, found[:, 0])
+        codes = np.full(len(found), -1, np.int32)
+        inside = np.flatnonzero(place < len(self.hashes))
+        inside = inside[self.hashes[place[inside]] == found[inside, 0]]
+        numbers = self.numbers[place[inside]]
+        same = self.check.room[numbers] == found[inside, 1]
+        codes[inside[same]] = numbers[same]
+
         unknown = np.flatnonzero(codes < 0)
-        codes[unknown] = len(self.code) + np.arange(len(unknown))
-        new = [words[i] for i in unknown.tolist()]
+        if not len(unknown):
+            return codes
+        codes[unknown] = self.uses.n + np.arange(len(unknown))
         gc.disable()  # the objects of the library make no cycles
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            self.start.extend(self.ids.n + np.cumsum(lengths) - lengths)
-            self.length.extend(lengths)
-            self.ids.extend(np.fromiter(chain.from_iterable(got), np.uint32))
-            self.uses.extend(np.zeros(len(some), np.int64))
-            last = [w[-1:] for w in some]
-            # A cut before or after an odd piece may fall inside a word, and
-            # one behind a sign does if a comma or full stop follows.
-            blank = np.array([(w[1:2] if w[:1] == " " else w[:1]).isspace() or x in _BLANK or x.isspace() for w, x in zip(some, last, strict=True)])
-            self.odd.extend(blank & np.array([w != "\n" for w in some]))
-            self.sign.extend([not x.isalnum() for x in last])
-            self.mark.extend([w[:1] in _MARKS for w in some])
-            self.held += _WORD_BYTES * len(some) + sum(map(len, some)) + 4 * int(lengths.sum())
-            self.code.update(zip(some, range(len(self.code), len(self.code) + len(some)), strict=True))
+        for i in range(0, len(unknown), 20_000):
+            self._learn(words.take(pa.array(unknown[i : i + 20_000])).to_pylist())
         gc.enable()
+        self.check.extend(found[unknown, 1])
+        fresh, numbers = found[unknown, 0], codes[unknown]
+        order = np.argsort(fresh)
+        place = np.searchsorted(self.hashes, fresh[order])
+        self.hashes, self.numbers = np.insert(self.hashes, place, fresh[order]), np.insert(self.numbers, place, numbers[order])
         return codes
 
+    def _learn(self, words: list[str]) -> None:
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        self.start.extend(self.ids.n + np.cumsum(lengths) - lengths)
+        self.length.extend(lengths)
+        self.ids.extend(np.fromiter(chain.from_iterable(got), np.uint32))
+        self.uses.extend(np.zeros(len(words), np.int32))
+        last = [w[-1:] for w in words]
+        # A cut before or after an odd piece may fall inside a word, and
+        # one behind a sign does if a comma or full stop follows.
+        self.odd.extend([((w[1:2] if w[:1] == " " else w[:1]).isspace() or x in _BLANK or x.isspace()) and w != "\n" for w, x in zip(words, last, strict=True)])
+        self.sign.extend([not x.isalnum() for x in last])
+        self.mark.extend([w[:1] in _MARKS for w in words])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (and the last's end). Nulls are empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -151,7 +178,7 @@ class Encoder:
         cut = pc.split_pattern(cut, "\x01")
         at = cut.offsets.to_numpy().astype(np.int64)
         pieces = cut.flatten().dictionary_encode()
-        codes = self._codes(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())[pieces.indices.to_numpy()]
+        codes = self._codes(pieces.dictionary)[pieces.indices.to_numpy()]
 
         awkward = self.odd.room[codes]
         ends = np.concatenate((at[:-1], at[1:] - 1))  # an empty first or last piece does no harm
@@ -165,12 +192,12 @@ class Encoder:
             for i in np.flatnonzero(bad):
                 words = self.words(texts[i].as_py())
                 distinct = dict.fromkeys(words)
-                numbers = dict(zip(distinct, self._codes(list(distinct)).tolist(), strict=True))
+                numbers = dict(zip(distinct, self._codes(pa.array(list(distinct), pa.string())).tolist(), strict=True))
                 each[i] = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
             codes = np.concatenate(each)
             at = np.concatenate(([0], np.cumsum([len(x) for x in each])))
 
-        self.uses.room[: len(self.code)] += np.bincount(codes, minlength=len(self.code))
+        self.uses.room[: self.uses.n] += np.bincount(codes, minlength=self.uses.n).astype(np.int32)
         lengths = self.length.room[codes]
         after = np.cumsum(lengths, dtype=np.int64)
         n = int(after[-1]) if len(after) else 0
