@@ -6,14 +6,17 @@ are those that ``plans.songs`` runs on audio.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella import config
 from tessella.functions import labels, scoring, signal
 from tessella.operators import grids, islands, ranking
-from tessella.plans import analysis, candidates, export, jobs, kit, render, views
-from tessella.queries import CLEAN, EVENTS, TIME, events, query, r, table  # queries are added to its list
+from tessella.plans import analysis, candidates, export, jobs, kit, render, scores, views
+from tessella.queries import CHUNK, CLEAN, EVENTS, TIME, events, query, r, signal_blocks, table  # queries are added to its list
+from tessella.workers import prepare
 
 BY = ["song_id", "stem"]
 
@@ -61,17 +64,23 @@ def q50_loud_runs(spark, sf_dir):
     return islands.active_runs(f.join(tops, BY), by=BY, frame="frame", active=loud)
 
 
-@query(f"""WITH f AS ({FRAMES}), w AS (SELECT song_id, stem, frame // 20 AS win, frame % 20 AS pos, value FROM f),
-p AS (SELECT song_id, stem, win, pos // 2 AS frame, max(value) AS peak, count(*) AS n FROM w GROUP BY ALL),
-m AS (SELECT *, max(peak) OVER (PARTITION BY song_id, stem, win) AS top FROM p)
-SELECT song_id, stem, win, (win * 20)::BIGINT AS start, (win * 20 + least(sum(n), (max(CASE WHEN peak > top * pow(10, -6 / 20.0) THEN frame END) + 2) * 2))::BIGINT AS "end" FROM m GROUP BY song_id, stem, win""")
+@query(f"""WITH f AS ({FRAMES}), w AS (SELECT song_id, stem, frame // 20 AS win, frame % 20 AS pos, value, count(*) OVER (PARTITION BY song_id, stem, frame // 20) AS n FROM f),
+m AS (SELECT *, max(CASE WHEN pos // 2 < n // 2 THEN value END) OVER (PARTITION BY song_id, stem, win) AS top FROM w),
+e AS (SELECT song_id, stem, win, n, max(CASE WHEN pos // 2 < n // 2 AND value > top * pow(10, -6 / 20.0) THEN pos // 2 END) AS last FROM m GROUP BY 1, 2, 3, 4)
+SELECT song_id, stem, win, (win * 20)::BIGINT AS start, (win * 20 + CASE WHEN n < 4 OR last IS NULL THEN n ELSE least(n, (last + 2) * 2) END)::BIGINT AS "end" FROM e""")
 def q51_tail_trim(spark, sf_dir):
-    """Windows of 20 frames without their quiet tails: the last loud one of each window's peaks by two, and a little more."""
-    w = frames(spark, sf_dir).withColumns({"win": F.floor(F.col("frame") / 20).cast("long"), "at": F.floor(F.pmod(F.col("frame"), F.lit(20)) / 2).cast("long")})
-    p = w.groupBy(*BY, "win", "at").agg(F.max("value").alias("peak"), F.count("*").alias("n"))
-    ends = grids.loud_end(p, by=[*BY, "win"], frame="at", peak="peak", db=6.0).join(p.groupBy(*BY, "win").agg(F.sum("n").alias("n")), [*BY, "win"])
-    start = F.col("win") * 20
-    return ends.select("song_id", "stem", "win", start.alias("start"), (start + F.least("n", (F.col("last") + 2) * 2)).alias("end"))
+    """Windows of 20 frames without their quiet tails, cut in steps of two by the function that cuts one-shots."""
+    w = frames(spark, sf_dir).withColumn("win", F.floor(F.col("frame") / 20).cast("long"))
+    x = w.groupBy(*BY, "win").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "value"))), lambda s: s["value"]).alias("x"))
+
+    def run(batches):
+        for batch in batches:
+            kept = [candidates.trimmed(v.values.to_numpy(zero_copy_only=False), 6.0, 2) for v in batch["x"]]
+            start = pc.multiply(batch["win"], 20)
+            yield pa.RecordBatch.from_arrays([batch["song_id"], batch["stem"], batch["win"], start, pc.add(start, pa.array(kept, pa.int64()))], names=["song_id", "stem", "win", "start", "end"])
+
+    prepare(spark)
+    return x.mapInArrow(run, "song_id string, stem string, win long, start long, end long")
 
 
 CAND = f"""t AS (SELECT user_id::VARCHAR AS song_id, event_type AS stem, floor(t_s)::BIGINT AS s, lead(floor(t_s)::BIGINT) OVER (PARTITION BY user_id, event_type ORDER BY floor(t_s)::BIGINT, event_id) AS nxt FROM ({EVENTS})),
@@ -142,6 +151,20 @@ def q56_full_score(spark, sf_dir):
     return scoring.final_score(li.select("l_orderkey", "l_linenumber", *[v.alias(k) for k, v in parts.items()]), scoring.WEIGHTS)
 
 
+@query("""WITH i AS (SELECT event_type AS stem, value * value AS e, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS at FROM events), n AS (SELECT stem, count(*) AS n FROM i GROUP BY 1),
+w AS (SELECT stem, k * 1000 AS start FROM n, (SELECT unnest(range(100000)) AS k) WHERE k * 1000 < n),
+s AS (SELECT w.stem, w.start, sum(CASE WHEN i.stem = w.stem THEN e ELSE 0 END) AS own, sum(e) AS every FROM w JOIN i ON i.at // 1000 * 1000 = w.start OR i.at // 1000 * 1000 = w.start + 1000 WHERE i.at >= w.start AND i.at < w.start + 1500 GROUP BY 1, 2)
+SELECT stem, start::BIGINT AS start, round(own / every, 6) AS isolation FROM s""")
+def q84_isolation(spark, sf_dir):
+    """The share of its own stem in all stems' energy of windows of 1,500 samples, begun every 1,000: what candidates are scored by."""
+    blocks = signal_blocks(table(spark, sf_dir, "events"))
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(1000).cast("long")))
+    windows = blocks.where("block_idx = 0").select("song_id", "stem", starts.alias("start"))
+    windows = windows.select("song_id", "stem", F.concat_ws("-", "stem", "start").alias("id"), "start", (F.col("start") + 1500).alias("end"))
+    told = scores.isolation(windows, blocks, CHUNK).join(windows, ["song_id", "id"])
+    return told.select("stem", "start", r("isolation", 6).alias("isolation"))
+
+
 # ------------------------------------------------------------------ kits
 
 

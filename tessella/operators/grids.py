@@ -25,7 +25,7 @@ def one_shots(onsets: DataFrame, *, by: Sequence[str], at: str, ties: str, longe
 
 
 def grid_loops(grid: DataFrame, *, start: str, lengths: dict, limit: str, bars: str = "bars") -> DataFrame:
-    """A loop of each length from each place of the grid that ends by ``limit``; ``lengths`` is by bars."""
+    """A loop of each length from each place of the grid that ends by ``limit``; ``lengths``, numbers or columns, is by bars."""
     every = F.array(*[F.struct(F.lit(b).cast("long").alias("b"), F.lit(n).cast("long").alias("n")) for b, n in lengths.items()])
     loops = grid.withColumn("_loop", F.explode(every))
     loops = loops.withColumns({"end": F.col(start) + F.col("_loop.n"), bars: F.col("_loop.b")})
@@ -48,25 +48,6 @@ def prefix_energy(df: DataFrame, *, by: Sequence[str], order: str, energy: str,
     return sums.withColumn("before", F.col("until") - F.col(energy))
 
 
-def loud_end(frames: DataFrame, *, by: Sequence[str], frame: str, peak: str, db: float) -> DataFrame:
-    """``last``: of each group the last frame whose peak is less than ``db`` below the highest; two aggregations."""
-    tops = frames.groupBy(*by).agg(F.max(peak).alias("_top"))
-    loud = F.col(peak) > F.col("_top") * F.pow(F.lit(10.0), F.lit(-db / 20.0))
-    return frames.join(tops, list(by)).groupBy(*by).agg(F.max(F.when(loud, F.col(frame))).alias("last"))
-
-
-def halved(beats: DataFrame, *, by: Sequence[str], index: str) -> DataFrame:
-    """Every other beat, from the first; ``index`` counts from 1."""
-    return beats.where(F.col(index) % 2 == 1)
-
-
-def doubled(beats: DataFrame, *, by: Sequence[str], index: str, at: str) -> DataFrame:
-    """The beats and the midpoints between them."""
-    after = F.lead(at).over(Window.partitionBy(*by).orderBy(index))
-    middle = beats.withColumn(at, (F.col(at) + after) / 2).where(F.col(at).isNotNull())
-    return beats.unionByName(middle)
-
-
 def bar_phase(beats: DataFrame, *, by: Sequence[str], beat: str, cues: Sequence[str], bar: int = 4) -> DataFrame:
     """The phase of the bar where the cues' z-scores are highest on average; the first of equals."""
     w = Window.partitionBy(*by)

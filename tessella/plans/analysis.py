@@ -76,6 +76,13 @@ def track_beats(frames: DataFrame, songs: DataFrame, low: float = 70, high: floa
     rate = songs.select("song_id", "rate")
     raw = frames.select("song_id", "frame", "onset").join(rate, "song_id")
     raw = raw.join(tempos(raw), "song_id").groupBy("song_id").applyInPandas(_track, "song_id string, bpm double, t_s double")
+    found = folded(raw, low, high)
+    return found.unionByName(fallback_beats(songs.join(found.select("song_id").distinct(), "song_id", "left_anti").where("duration_s > 0")))
+
+
+def folded(raw: DataFrame, low: float, high: float) -> DataFrame:
+    """song_id, idx, t_s, bpm of the beats (song_id, t_s, bpm) of songs that have two: midpoints in between while the tempo is below
+    ``low``, every other beat while it is above ``high``; the tempo is that of a line through the beats, or the folded one of four or fewer."""
     counted = raw.withColumn("_n", F.count("*").over(Window.partitionBy("song_id"))).where("_n >= 2")
     up = F.greatest(F.ceil(F.log2(F.lit(float(low)) / F.col("bpm"))), F.lit(0)).cast("int")
     down = F.greatest(F.ceil(F.log2(F.col("bpm") * F.pow(F.lit(2.0), F.col("up")) / F.lit(float(high)))), F.lit(0)).cast("int")
@@ -91,8 +98,7 @@ def track_beats(frames: DataFrame, songs: DataFrame, low: float = 70, high: floa
         F.count("*").alias("n"), F.regr_slope("t_s", F.col("idx").cast("double")).alias("period"), F.first(F.col("bpm") * parts / F.pow(F.lit(2.0), F.col("down"))).alias("folded")
     )
     tempo = tempo.select("song_id", F.when((F.col("n") > 4) & (F.col("period") > 0), 60 / F.col("period")).otherwise(F.col("folded")).alias("bpm"))
-    found = split.select("song_id", "idx", "t_s").join(tempo, "song_id")
-    return found.unionByName(fallback_beats(songs.join(tempo, "song_id", "left_anti").where("duration_s > 0")))
+    return split.select("song_id", "idx", "t_s").join(tempo, "song_id")
 
 
 def fallback_beats(songs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from tessella.operators import clusters
 from tessella.operators import frames as fr
 from tessella.plans.candidates import mono_blocks
 
+
 def _energies(key, windows: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
     """Energy of windows in one stem, as differences of a running sum over the blocks that they reach."""
     energy = np.zeros(len(windows))
@@ -23,11 +24,11 @@ def _energies(key, windows: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"song_id": windows["song_id"], "id": windows["id"], "own": windows["own"] == key[1], "energy": energy})
 
 
-def isolation(found: DataFrame, blocks: DataFrame) -> DataFrame:
+def isolation(found: DataFrame, blocks: DataFrame, size: int = fr.BLOCK) -> DataFrame:
     """song_id, id, isolation: a window's energy in its own stem against that in all stems."""
     stems = blocks.where("block_idx = 0").select("song_id", "stem")
     windows = found.select("song_id", "id", F.col("stem").alias("own"), "start", "end").join(stems, "song_id")
-    told = fr.with_audio(windows, mono_blocks(blocks), _energies, "song_id string, id string, own boolean, energy double", margin=0)
+    told = fr.with_audio(windows, mono_blocks(blocks), _energies, "song_id string, id string, own boolean, energy double", margin=0, size=size)
     mine = F.sum(F.when(F.col("own"), F.col("energy")).otherwise(0.0))
     return told.groupBy("song_id", "id").agg(scoring.isolation(mine, F.sum("energy")).alias("isolation"))
 

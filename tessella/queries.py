@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import labels, scoring, signal
+from tessella.functions import dsp, labels, scoring, signal
 from tessella.operators import clusters, grids, intervals, islands, ranking
+from tessella.operators import frames as fr
+from tessella.plans import analysis
+from tessella.workers import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +60,19 @@ def chunks(e: DataFrame, halo: int) -> tuple[DataFrame, Window]:
     return ranking.with_halo(e, index="idx", size=CHUNK, halo=halo), Window.partitionBy("event_type", "chunk").orderBy("idx")
 
 
+def signal_blocks(e: DataFrame) -> DataFrame:
+    """Events as the song "events" of a stem for each type: blocks of ``CHUNK`` samples in order."""
+    prepare(e.sparkSession)
+    i = indexed(e).withColumn("at", F.col("idx") - 1)
+    total = e.groupBy("event_type").agg(F.count("*").alias("total"))
+    x = F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda s: s["value"])
+    b = i.groupBy("event_type", F.floor(F.col("at") / CHUNK).cast("int").alias("block_idx")).agg(x.alias("left")).join(total, "event_type")
+    return b.select(
+        F.lit("events").alias("song_id"), F.col("event_type").alias("stem"), "block_idx", (F.col("block_idx") * CHUNK).cast("long").alias("start_sample"),
+        F.size("left").alias("n"), "total", F.lit(44100).alias("rate"), "left", F.col("left").alias("right"),
+    )
+
+
 def r(x, n: int = 4):
     return F.round(x, n)
 
@@ -108,15 +125,18 @@ w AS (SELECT event_type, unnest([100, 200, 300, 400]) AS target FROM (SELECT DIS
 SELECT w.event_type, target::BIGINT AS target, coalesce(arg_min(idx, abs(idx - target) * 1000000 + idx), target)::BIGINT AS crossing
 FROM w LEFT JOIN z ON z.event_type = w.event_type AND abs(idx - target) <= 20 GROUP BY w.event_type, w.target""")
 def q06_zero_crossing(spark, sf_dir):
-    """The sign change nearest to each of some places, within 20, else the place; the first of equals."""
+    """The sign change nearest to each of some places, within 20, else the place; the first of equals. Slices are cut by the same function."""
     e = table(spark, sf_dir, "events")
     means = e.groupBy("event_type").agg(F.avg("value").alias("mean"))
-    e, w = chunks(indexed(e.join(means, "event_type").withColumn("x", F.col("value") - F.col("mean"))), 1)
-    z = e.withColumn("before", F.lag("x").over(w)).where("own and (x < 0) <> (before < 0)").select("event_type", "idx")
-    targets = means.select("event_type").withColumn("target", F.explode(F.array(*[F.lit(x).cast("long") for x in (100, 200, 300, 400)])))
-    near = targets.join(z, "event_type").where(F.abs(F.col("idx") - F.col("target")) <= 20)
-    near = near.groupBy("event_type", "target").agg(F.min_by("idx", F.struct(F.abs(F.col("idx") - F.col("target")), "idx")).alias("crossing"))
-    return targets.join(near, ["event_type", "target"], "left").withColumn("crossing", F.coalesce("crossing", "target"))
+    blocks = signal_blocks(e.join(means, "event_type").withColumn("value", F.col("value") - F.col("mean")))
+    targets = means.select(F.lit("events").alias("song_id"), F.col("event_type").alias("stem"), F.explode(F.array(*[F.lit(x - 1).cast("long") for x in (100, 200, 300, 400)])).alias("start"))
+
+    def run(key, windows, parts):
+        base, x = fr.put_together(parts, "left")
+        found = [dsp.nearest_crossing(x, at - base, 20) + base + 1 for at in windows["start"]]
+        return pd.DataFrame({"event_type": windows["stem"], "target": windows["start"] + 1, "crossing": found})
+
+    return fr.with_audio(targets.withColumn("end", F.col("start")), blocks, run, "event_type string, target long, crossing long", margin=30, size=CHUNK)
 
 
 @query("""SELECT event_id, round(CASE WHEN p < 1e-6 THEN value ELSE value * pow(10, -1 / 20.0) / p END, 6) AS normalised
@@ -180,15 +200,16 @@ def q12_onset_strength(spark, sf_dir):
     return h.select("event_type", "hour", r(F.greatest(rise, F.lit(0.0))).alias("onset"))
 
 
-@query(f"""WITH b AS (SELECT user_id, t_s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM ({EVENTS}))
-SELECT user_id, 'half' AS fold, round(t_s, 3) AS t_s FROM b WHERE idx % 2 = 0
-UNION ALL SELECT user_id, 'double', round(t_s, 3) FROM b
-UNION ALL SELECT user_id, 'double', round((t_s + nxt) / 2, 3) FROM (SELECT user_id, t_s, lead(t_s) OVER (PARTITION BY user_id ORDER BY idx) AS nxt FROM b) WHERE nxt IS NOT NULL""")
+@query(f"""WITH b AS (SELECT user_id AS song_id, t_s, [30, 60, 120, 200, 400][(user_id % 5 + 1)::INT] AS bpm, count(*) OVER (PARTITION BY user_id) AS n, lead(t_s) OVER (PARTITION BY user_id ORDER BY t_s) AS after FROM (SELECT DISTINCT user_id, t_s FROM ({EVENTS}))),
+d AS (SELECT song_id, CASE bpm WHEN 200 THEN 2 WHEN 400 THEN 4 ELSE 1 END AS each, t_s + CASE WHEN j = 0 THEN 0 ELSE (after - t_s) * j / CASE bpm WHEN 30 THEN 4 ELSE 2 END END AS t_s
+ FROM b, (SELECT unnest(range(4)) AS j) WHERE n >= 2 AND (j = 0 OR after IS NOT NULL AND j < CASE bpm WHEN 30 THEN 4 WHEN 60 THEN 2 ELSE 1 END)),
+k AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY t_s) - 1 AS i FROM d)
+SELECT song_id, (i // each)::BIGINT AS idx, round(t_s, 3) AS t_s FROM k WHERE i % each = 0""")
 def q13_tempo_folding(spark, sf_dir):
-    b = ranking.stable_rank(events(spark, sf_dir), "idx", ["user_id"], TIME).select("user_id", "idx", "t_s")
-    half = grids.halved(b, by=["user_id"], index="idx").select("user_id", F.lit("half").alias("fold"), r("t_s", 3).alias("t_s"))
-    double = grids.doubled(b, by=["user_id"], index="idx", at="t_s").select("user_id", F.lit("double").alias("fold"), r("t_s", 3).alias("t_s"))
-    return half.unionByName(double)
+    """Beats of songs of 30 to 400 a minute, folded into 70 to 180: midpoints added, or every other one left out."""
+    b = events(spark, sf_dir).select(F.col("user_id").alias("song_id"), "t_s").distinct()
+    bpm = F.element_at(F.array(*[F.lit(float(x)) for x in (30, 60, 120, 200, 400)]), (F.col("song_id") % 5 + 1).cast("int"))
+    return analysis.folded(b.withColumn("bpm", bpm), 70, 180).select("song_id", F.col("idx").cast("long").alias("idx"), r("t_s", 3).alias("t_s"))
 
 
 @query(f"SELECT event_type, floor(t_s / {DAY_S})::BIGINT AS beat, round(avg(value), 8) AS level, count(*) AS n FROM ({EVENTS}) GROUP BY 1, 2")
