@@ -28,7 +28,8 @@ def choices(found: DataFrame, cfg: dict) -> DataFrame:
     Pads are dealt by stem among the representatives above the floor, then filled
     up from the stem, then from the song; backups are the best of what is left of
     each stem. All ranks are windows within a song, so its rows, a few thousand at
-    most, are brought together once, and nothing is joined.
+    most, are brought together once, and nothing is joined. Rows that share an id
+    with one that has a pad are on it as well, and are dealt no more.
     """
     kit = cfg["kit"]
     names, total = list(kit["pad_split"]), sum(kit["pad_split"].values())
@@ -36,23 +37,24 @@ def choices(found: DataFrame, cfg: dict) -> DataFrame:
     count, base = (F.coalesce(F.create_map(*[F.lit(x) for s in names for x in (s, v[s])])[F.col("stem")], F.lit(0)) for v in (kit["pad_split"], first))
     known = F.create_map(*[F.lit(x) for s, order in CATEGORY_ORDER.items() for x in (s, "|".join(order))])
     listed = F.coalesce(F.array_contains(F.split(known[F.col("stem")], r"\|"), F.col("category")), F.lit(True))
-    song, stem, best_first = Window.partitionBy("song_id"), Window.partitionBy("song_id", "stem"), [F.desc("score"), "ord"]
+    song, stem, same = (Window.partitionBy(*by) for by in (["song_id"], ["song_id", "stem"], ["song_id", "id"]))
+    best_first = [F.desc("score"), "ord"]
 
     rows = found.repartition("song_id").withColumns({"_usable": F.coalesce(F.col("score") > 0, F.lit(False)), "_count": count, "_turn": category_rank()})
     rep = F.col("_usable") & F.coalesce("representative", F.lit(False))
     rows = rows.withColumn("_best", F.max(F.when(rep, F.col("score"))).over(stem))
     good = rep & F.coalesce(F.col("score") >= kit["min_relative_score"] * F.col("_best"), F.lit(False)) & listed & (F.col("_count") > 0)
     rows = ranking.deal_ranks(rows, group=["song_id", "stem"], queue="category", queue_order="_turn", score="score", ties="ord", count=F.col("_count"), among=good)
-    rows = rows.withColumns({"_had": F.count("deal_rank").over(stem), "_free": F.col("_usable") & F.col("deal_rank").isNull()})
+    rows = rows.withColumns({"_had": F.count("deal_rank").over(stem), "_free": F.col("_usable") & (F.count("deal_rank").over(same) == 0)})
     more = F.row_number().over(Window.partitionBy("song_id", "stem", "_free").orderBy(*best_first))
     rows = rows.withColumn("_slot", F.coalesce("deal_rank", F.when(F.col("_free"), F.col("_had") + more)))
     rows = rows.withColumn("pad", F.when(F.col("_slot") <= F.col("_count"), base + F.col("_slot")).cast("int"))
     # The k-th pad that is still empty gets the k-th best representative that is on none.
     every = F.sequence(F.lit(1), F.lit(total))
-    rows = rows.withColumns({"_empty": F.array_except(every, F.collect_set("pad").over(song)), "_left": rep & F.col("pad").isNull()})
+    rows = rows.withColumns({"_empty": F.array_except(every, F.collect_set("pad").over(song)), "_left": rep & (F.count("pad").over(same) == 0)})
     extra = F.row_number().over(Window.partitionBy("song_id", "_left").orderBy(*best_first))
     rows = rows.withColumn("pad", F.coalesce("pad", F.when(F.col("_left"), F.get("_empty", extra - 1))))
-    rows = rows.withColumn("_spare", F.col("_usable") & F.col("pad").isNull())
+    rows = rows.withColumn("_spare", F.col("_usable") & (F.count("pad").over(same) == 0))
     order = [F.desc("representative"), *best_first]
     rows = rows.withColumn("_b", F.row_number().over(Window.partitionBy("song_id", "stem", "_spare").orderBy(*order)))
     rows = rows.withColumn("_spare", F.col("_spare") & (F.col("_b") <= kit["backups_per_stem"]))

@@ -68,7 +68,7 @@ def signal_blocks(e: DataFrame) -> DataFrame:
     x = F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda s: s["value"])
     b = i.groupBy("event_type", F.floor(F.col("at") / CHUNK).cast("int").alias("block_idx")).agg(x.alias("left")).join(total, "event_type")
     return b.select(
-        F.lit("events").alias("song_id"), F.col("event_type").alias("stem"), "block_idx", (F.col("block_idx") * CHUNK).cast("long").alias("start_sample"),
+        F.when(F.col("event_type").isNotNull(), "events").alias("song_id"), F.col("event_type").alias("stem"), "block_idx", (F.col("block_idx") * CHUNK).cast("long").alias("start_sample"),
         F.size("left").alias("n"), "total", F.lit(44100).alias("rate"), "left", F.col("left").alias("right"),
     )
 

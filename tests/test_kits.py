@@ -50,8 +50,8 @@ def test_export_and_views(spark, tmp_path):
     paths = {r.pad: r.path for r in plan.collect() if r.pad}
     assert [paths[i] for i in (1, 4, 13, 16)] == ["Bank_A/13_Kick_0_a.wav", "Bank_A/16_Kick_3_a.wav", "Bank_A/01_Kick_12_a.wav", "Bank_A/04_Kick_15_a.wav"]
     assert paths[6] == "Bank_A/10_Empty.wav" and {r.path for r in plan.where("pad is null").collect()} == {f"Extras/Kick_{i}_a.wav" for i in (5, 16, 17, 18)}
-    text = export.pad_maps(plan).first()["map"].split("\n")
-    assert len(text) == 4 and text[0].startswith("01 Kick_12_a") and text[3][24:].startswith("14 Kick_1_a")
+    text = export.pad_maps(plan, slices).first()["map"].split("\n")
+    assert len(text) == 4 and text[0].startswith("  01 Kick 12 (a)") and text[3][26:].startswith(" | 14 Kick 1 (a) ") and "10 (empty)" in text[2]
     lines = {r.pad: r.line for r in export.summary_lines(pads, slices).collect()}
     assert lines[6] == " 6  (empty)" and lines[1].split() == ["1", "Kick", "0", "(a)", "1.00", "s", "0.50"]
     name = spark.range(1).select(export.folder_name(F.lit("Song (x) Kit"), F.lit(92.04), F.lit("Fmin")).alias("n")).first().n
