@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ CATEGORY_ORDER = {
     "vocals": ("vox_chop", "vox_phrase"), "other": ("other_loop", "stab"),
 }
 
+#: Candidates that a task ranks, about; a song's stay together.
+TASK_ROWS = 1 << 16
+
 
 def category_rank():
     """A column that sorts categories as they are dealt; those of other stems go by name."""
@@ -28,8 +33,10 @@ def choices(found: DataFrame, cfg: dict) -> DataFrame:
     Pads are dealt by stem among the representatives above the floor, then filled
     up from the stem, then from the song; backups are the best of what is left of
     each stem. All ranks are windows within a song, so its rows, a few thousand at
-    most, are brought together once, and nothing is joined. Rows that share an id
-    with one that has a pad are on it as well, and are dealt no more.
+    most, are brought together once, and nothing is joined. A task holds a sort for
+    each window, so songs are dealt out to as many tasks as make ``TASK_ROWS``
+    each, whatever the session's partitions. Rows that share an id with one that
+    has a pad are on it as well, and are dealt no more.
     """
     kit = cfg["kit"]
     names, total = list(kit["pad_split"]), sum(kit["pad_split"].values())
@@ -40,7 +47,8 @@ def choices(found: DataFrame, cfg: dict) -> DataFrame:
     song, stem, same = (Window.partitionBy(*by) for by in (["song_id"], ["song_id", "stem"], ["song_id", "id"]))
     best_first = [F.desc("score"), "ord"]
 
-    rows = found.repartition("song_id").withColumns({"_usable": F.coalesce(F.col("score") > 0, F.lit(False)), "_count": count, "_turn": category_rank()})
+    tasks = max(1, math.ceil(found.count() / TASK_ROWS))
+    rows = found.repartition(tasks, "song_id").withColumns({"_usable": F.coalesce(F.col("score") > 0, F.lit(False)), "_count": count, "_turn": category_rank()})
     rep = F.col("_usable") & F.coalesce("representative", F.lit(False))
     rows = rows.withColumn("_best", F.max(F.when(rep, F.col("score"))).over(stem))
     good = rep & F.coalesce(F.col("score") >= kit["min_relative_score"] * F.col("_best"), F.lit(False)) & listed & (F.col("_count") > 0)
