@@ -63,7 +63,11 @@ def shingle_hashes(text: bytes, words_each: int) -> np.ndarray:
 
 def fingerprint(text: bytes, words_each: int = 3) -> int:
     """The fingerprint of UTF-8 bytes, as a signed 64-bit integer."""
-    hashes = shingle_hashes(text, words_each)
+    return fingerprint_of(shingle_hashes(text, words_each))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles by their hashes, as a signed 64-bit integer."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         some = hashes[i : i + (1 << 16)]

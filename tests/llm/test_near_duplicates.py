@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessella.llm import near_duplicates
+from tessella.llm import near_duplicates, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -68,3 +69,43 @@ def test_links_below_the_similarity_are_refused(spark):
     rows = [(i, " ".join(w), None, "s", 0) for i, w in enumerate((words, near, far))] + [(8, "", None, "s", 0), (9, None, None, "s", 0)]
     got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), "")
     assert sorted(r.doc_id for r in got.collect()) == [0, 2, 8]
+
+
+def bits(a, b):
+    return ((a ^ b) & (2**64 - 1)).bit_count()
+
+
+def test_links_come_from_the_fingerprints(spark, texts):
+    """Of the pairs that are similar enough, those further apart than the radius are not linked: the trees find what is linked."""
+    every = {t: simhash.fingerprint_of(near_duplicates.shingles(t.encode(), 5)) for t in texts}
+    pairs = [(a, b) for i, a in enumerate(texts) for b in texts[:i] if 0.8 <= jaccard(a, b) < 1]
+    far = [bits(every[a], every[b]) for a, b in pairs]
+    assert max(far) <= near_duplicates.RADIUS
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    groups = []
+    for radius in (0, sorted(far)[len(far) // 2]):
+        up = {t: t for t in texts}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for (a, b), n in zip(pairs, far, strict=True):
+            if n <= radius:
+                up[find(a)] = find(b)
+        groups.append(len({find(t) for t in texts}))
+        assert near_duplicates.near_components(docs, radius=radius).select("component").distinct().count() == groups[-1]
+    assert groups[1] < groups[0]
+
+
+@pytest.mark.parametrize("sides", [False, True])
+def test_tree_of_a_tile_against_all_pairs(sides):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 12, dtype=np.uint64)
+    prints = np.concatenate([base, base, base ^ rng.integers(0, 2**20, 12, dtype=np.uint64), rng.integers(0, 2**64, 20, dtype=np.uint64)])
+    side = rng.random(len(prints)) < 0.5 if sides else None
+    got = near_duplicates.within(prints, side, 28)
+    for i, a in enumerate(prints.tolist()):
+        for j, b in enumerate(prints.tolist()):
+            assert got[i, j] == (bits(a, b) <= 28 and not (sides and side[i] == side[j]))
