@@ -12,7 +12,7 @@ from tessella.plans import kit
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["q58_kept_order"])
+@pytest.mark.parametrize("name", ["q57_pads", "q58_kept_order", "q59_pad_slices", "q60_swapped_pad"])
 def test_tasks_grow_with_the_candidates(spark, name, monkeypatch):
     want = queries.QUERIES[name](spark, DATA).toPandas()
     monkeypatch.setattr(kit, "TASK_ROWS", 250)
