@@ -20,6 +20,14 @@ CATEGORY_ORDER = {
 #: Candidates that a task ranks, about; a song's stay together.
 TASK_ROWS = 1 << 16
 
+#: Slices that a task joins with pads, about.
+JOIN_ROWS = 1 << 19
+
+
+def tasks(rows: DataFrame, each: int) -> int:
+    """As many tasks as make about ``each`` rows each."""
+    return max(1, math.ceil(rows.count() / each))
+
 
 def category_rank():
     """A column that sorts categories as they are dealt; those of other stems go by name."""
@@ -47,8 +55,7 @@ def choices(found: DataFrame, cfg: dict) -> DataFrame:
     song, stem, same = (Window.partitionBy(*by) for by in (["song_id"], ["song_id", "stem"], ["song_id", "id"]))
     best_first = [F.desc("score"), "ord"]
 
-    tasks = max(1, math.ceil(found.count() / TASK_ROWS))
-    rows = found.repartition(tasks, "song_id").withColumns({"_usable": F.coalesce(F.col("score") > 0, F.lit(False)), "_count": count, "_turn": category_rank()})
+    rows = found.repartition(tasks(found, TASK_ROWS), "song_id").withColumns({"_usable": F.coalesce(F.col("score") > 0, F.lit(False)), "_count": count, "_turn": category_rank()})
     rep = F.col("_usable") & F.coalesce("representative", F.lit(False))
     rows = rows.withColumn("_best", F.max(F.when(rep, F.col("score"))).over(stem))
     good = rep & F.coalesce(F.col("score") >= kit["min_relative_score"] * F.col("_best"), F.lit(False)) & listed & (F.col("_count") > 0)
@@ -139,5 +146,6 @@ def swap_pad(pads: DataFrame, song, pad: int, slice_id: str | None) -> DataFrame
 
 
 def pad_slices(pads: DataFrame, slices: DataFrame) -> DataFrame:
-    """Pads with their slices; empty pads stay."""
-    return pads.join(slices.withColumnRenamed("id", "slice_id"), ["song_id", "slice_id"], "left")
+    """Pads with their slices; empty pads stay. The join has a task for each ``JOIN_ROWS`` slices, whatever the session's partitions."""
+    by, n = ["song_id", "slice_id"], tasks(slices, JOIN_ROWS)
+    return pads.repartition(n, *by).join(slices.withColumnRenamed("id", "slice_id").repartition(n, *by), by, "left")
