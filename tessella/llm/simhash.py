@@ -66,13 +66,23 @@ def fingerprint(text: bytes, words_each: int = 3) -> int:
     return fingerprint_of(shingle_hashes(text, words_each))
 
 
-def fingerprint_of(hashes: np.ndarray) -> int:
-    """The fingerprint of shingles by their hashes, as a signed 64-bit integer."""
+def ones_of(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each of the 64 bits is set."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         some = hashes[i : i + (1 << 16)]
         ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+    return ones
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The bits that are set in over half of ``n`` hashes, as a signed 64-bit integer."""
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles by their hashes, as a signed 64-bit integer."""
+    return majority(ones_of(hashes), len(hashes))
 
 
 def _fingerprints(words_each: int):
@@ -112,19 +122,21 @@ class BKTree:
         order = np.argsort(slots)
         self.slots, self.kids = slots[order], kids[order]
 
-    def near(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of all values at most ``radius`` away from the queries."""
+    def near(self, queries: np.ndarray, radius: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) of all values at most ``radius`` away from the queries, or each query's own."""
+        radius = np.broadcast_to(radius, len(queries))
         found_q, found_n = [], []
         q = np.arange(len(queries) if len(self.values) else 0)
         node = np.zeros(len(q), np.int64)
         while len(q):
             self.visited += len(q)
             d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
-            hit = d <= radius
+            r = radius[q]
+            hit = d <= r
             found_q.append(q[hit])
             found_n.append(node[hit])
-            low = np.searchsorted(self.slots, node * _EDGES + np.maximum(d - radius, 0))
-            n = np.searchsorted(self.slots, node * _EDGES + np.minimum(d + radius, 64), side="right") - low
+            low = np.searchsorted(self.slots, node * _EDGES + np.maximum(d - r, 0))
+            n = np.searchsorted(self.slots, node * _EDGES + np.minimum(d + r, 64), side="right") - low
             q = np.repeat(q, n)
             node = self.kids[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(q))]
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_q, found_n))

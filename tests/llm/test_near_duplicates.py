@@ -109,3 +109,57 @@ def test_tree_of_a_tile_against_all_pairs(sides):
     for i, a in enumerate(prints.tolist()):
         for j, b in enumerate(prints.tolist()):
             assert got[i, j] == (bits(a, b) <= 28 and not (sides and side[i] == side[j]))
+
+
+def nine(i):
+    """Nine words, five shingles, of which the first eight words have four."""
+    return [f"{i}{c}" for c in "abcdefghi"]
+
+
+def test_no_link_is_left_to_chance(spark):
+    """Similar texts, 4 of 5 shingles, whose fingerprints are 29 and 30 bits apart, and some of which no band of MinHashes agrees."""
+    seeds = [705848, 864916, 1083592, 193328, 325719]
+    far = [bits(*(simhash.fingerprint_of(near_duplicates.shingles(" ".join(w).encode(), 5)) for w in (nine(i), nine(i)[:8]))) for i in seeds]
+    assert far[:3] == [30, 29, 29]
+    rows = [(10 * k + j, " ".join(words), None, "s", 0) for k, i in enumerate(seeds) for j, words in enumerate((nine(i), nine(i)[:8], nine(i)[:7] + ["other"] * 9))]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(10 * k + j for k in range(5) for j in (0, 2))
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 1])
+def test_reach_and_shards_hold_every_similar_pair(spark, similarity):
+    """Random sets of 1 to 60 shingles: no similar pair differs in more bits than the reach of either, and each is linked."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 60))]
+        texts.append(" ".join(words))
+        for _ in range(4):
+            some = words[rng.randint(0, len(words) // 4) : len(words) - rng.randint(0, len(words) // 4)]
+            texts.append(" ".join(some + [f"x{rng.randrange(10**6)}" for _ in range(rng.randint(0, 3))]))
+    texts = sorted(set(texts))
+    sets = [near_duplicates.shingles(t.encode(), 5) for t in texts]
+    prints = [simhash.fingerprint_of(s) for s in sets]
+    reaches = [near_duplicates.reach(simhash.ones_of(s), len(s), similarity) for s in sets]
+    assert all((n == 0) == (similarity == 1) for n, s in zip(reaches, sets, strict=True) if len(s) > 20)
+    up, found = list(range(len(texts))), 0
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if jaccard(a, texts[j]) >= similarity:
+                found += 1
+                assert bits(prints[i], prints[j]) <= min(reaches[i], reaches[j])
+                up[find(i)] = find(j)
+    assert found > 50 or similarity == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = near_duplicates.near_components(docs, similarity=similarity).collect()
+    assert {r.doc_id: r.component for r in got}.keys() == set(range(len(texts)))
+    groups = {}
+    for r in got:
+        groups.setdefault(r.component, set()).add(find(r.doc_id))
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({find(i) for i in up})
