@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessella import queries
 from tessella.functions import labels
 from tessella.operators import frames as fr
 from tessella.operators import grids, ranking
@@ -63,6 +64,14 @@ def test_letters_of_any_number(spark):
     assert {r.n: r.x for r in df.select("n", labels.letters("n").alias("x")).collect()} == {**{n: name_of(n) for n in some}, None: None}
 
 
+def test_loops_beyond_two_letters(spark, tmp_path):
+    """The 703rd loop of a brand and those after it have three letters, as in the reference; q35's SQL has a sign and a letter there."""
+    spark.range(1, 731).selectExpr("id AS p_partkey", "'b' AS p_brand", "1 AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.p_partkey: (r.label, r.file) for r in queries.q35_slice_labels(spark, str(tmp_path)).collect()}
+    assert got == {n: (f"Drum loop {name_of(n)} (2 bar)", f"Drums_Loop_{name_of(n)}_2bar_120bpm_Fmin") for n in range(1, 731)}
+    assert got[702][0] == "Drum loop ZZ (2 bar)" and got[703][0] == "Drum loop AAA (2 bar)"
+
+
 @pytest.mark.parametrize("by", [["g"], []])
 def test_block_rank_is_a_rank(spark, by):
     rng = np.random.default_rng(1)
